@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from trailmark.registry import models
+from trailmark.registry import models, parts
 
 
 def all_queries():
     out = {}
-    for mod in (models,):
+    for mod in (models, parts):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles():
     out = {}
-    for mod in (models,):
+    for mod in (models, parts):
         out.update(mod.ORACLE)
     return out
