@@ -25,7 +25,6 @@ def query_param(query: Column, name: str, decode: bool = True) -> Column:
     The first occurrence wins.  Values are form-decoded ('+' is a space,
     ``%xx`` escapes); an undecodable value is kept as it is.
     """
-    present = query.rlike(f"(^|&){name}=")
-    raw = F.regexp_extract(query, f"(?:^|&){name}=([^&#]*)", 1)
-    value = F.coalesce(F.try_url_decode(raw), raw) if decode else raw
-    return F.when(present, value)
+    hit = F.regexp_substr(query, F.lit(f"(^|&){name}=[^&#]*"))  # NULL when absent
+    raw = F.regexp_replace(hit, f"^&?{name}=", "")
+    return F.coalesce(F.try_url_decode(raw), raw) if decode else raw

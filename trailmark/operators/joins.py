@@ -9,13 +9,27 @@ from trailmark.operators.ranking import asc, top1_per_group
 
 # Largest dimension (rows) that is shipped to every task instead of shuffled.
 MAX_BROADCAST_ROWS = 2_000_000
+# Optimizer size estimate below which no row count is needed (in-memory / tiny inputs).
+STATS_BOUND_BYTES = 8 * 1024 * 1024
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (exact for in-memory relations), if available."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - not available on every client
+        return None
 
 
 def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``dim`` only when it is proven small; otherwise leave the join to a shuffle.
 
-    ``count`` runs on the (small, pruned) dimension only, never on the fact side.
+    A tiny optimizer estimate is accepted as is; otherwise the rows are
+    counted (on the small, pruned dimension only, never the fact side).
     """
+    size = plan_size_bytes(dim)
+    if size is not None and size <= STATS_BOUND_BYTES:
+        return F.broadcast(dim)
     n = dim.limit(max_rows + 1).count()
     return F.broadcast(dim) if n <= max_rows else dim
 

@@ -18,7 +18,7 @@ from trailmark.plans.sessions import (event_counts, session_aggs, session_engage
                                       session_lasts)
 from trailmark.plans.views import dedupe_views, not_robot, unified_views, view_aggs
 from trailmark.registry import oracle_models as om
-from trailmark.registry.models import CFG, events, model_input, sessions, users_parts
+from trailmark.registry.models import CFG, events, model, model_input, sessions, users_parts
 from trailmark.registry.oracle_base import base_ctes, full_match, with_ctes
 from trailmark.sources.tables import atomic, read_table
 
@@ -30,7 +30,12 @@ USERS = SESS + om.users_ctes()
 
 
 def _views(s, sf):
-    return unified_views(events(s, sf), CFG, with_model_tstamp=False)
+    return model(s, sf).views
+
+
+def _mev(s, sf):
+    """Materialised unified_events of a fresh model build."""
+    return model(s, sf).events
 
 
 def _eid_num(col="event_id"):
@@ -141,7 +146,7 @@ def q_view_time_fallback(s, sf):
 
 def q_views_left_viewaggs(s, sf):
     v = _views(s, sf).select("view_id", "session_identifier")
-    a = view_aggs(events(s, sf)).withColumn("has_aggs", F.lit(True))
+    a = view_aggs(_mev(s, sf)).withColumn("has_aggs", F.lit(True))
     return v.join(a, ["view_id", "session_identifier"], "left").select(
         "view_id", "session_identifier", F.coalesce("has_aggs", F.lit(False)).alias("has_aggs"))
 
@@ -218,14 +223,14 @@ QUERIES = {
         "user_identifier", "first_session_identifier", "start_tstamp"),
     "users_last_session": lambda s, sf: users_parts(s, sf)[2].select(
         "user_identifier", "last_platform", "last_page_url", "last_event_id"),
-    "pv_engaged_time": lambda s, sf: __import__("trailmark.plans.metrics", fromlist=["x"]).pv_engaged_time(events(s, sf), CFG),
-    "screen_summary_metrics": lambda s, sf: __import__("trailmark.plans.metrics", fromlist=["x"]).screen_summary_metrics(events(s, sf)),
-    "pv_scroll_depth": lambda s, sf: __import__("trailmark.plans.metrics", fromlist=["x"]).pv_scroll_depth(events(s, sf)),
-    "session_aggs": lambda s, sf: session_aggs(events(s, sf)).select(
+    "pv_engaged_time": lambda s, sf: model(s, sf).pv_engaged_time,
+    "screen_summary_metrics": lambda s, sf: model(s, sf).screen_summary_metrics,
+    "pv_scroll_depth": lambda s, sf: model(s, sf).pv_scroll_depth,
+    "session_aggs": lambda s, sf: session_aggs(_mev(s, sf)).select(
         "session_identifier", "start_tstamp", "end_tstamp", "total_events", "views", "absolute_time_in_s"),
-    "event_counts": lambda s, sf: event_counts(events(s, sf)).select("session_identifier", "event_counts_string"),
-    "session_engaged_time": lambda s, sf: session_engaged_time(events(s, sf), CFG),
-    "session_conversions": lambda s, sf: session_aggs(events(s, sf)).select(
+    "event_counts": lambda s, sf: event_counts(_mev(s, sf)).select("session_identifier", "event_counts_string"),
+    "session_engaged_time": lambda s, sf: session_engaged_time(_mev(s, sf), CFG),
+    "session_conversions": lambda s, sf: session_aggs(_mev(s, sf)).select(
         "session_identifier", "cv_view_page_volume",
         F.round("cv_view_page_total", 2).alias("cv_view_page_total"),
         "cv_view_page_first_conversion", "cv_view_page_converted"),
@@ -234,21 +239,21 @@ QUERIES = {
         "user_identifier", "first_session_identifier", "last_session_identifier"),
     "count_by_app": q_count_by_app,
     "count_events": q_count_events,
-    "view_aggs": lambda s, sf: view_aggs(events(s, sf)),
+    "view_aggs": lambda s, sf: view_aggs(_mev(s, sf)),
     "dedupe_events": q_dedupe_events,
-    "dedupe_views": lambda s, sf: dedupe_views(events(s, sf)).select("view_id", "event_id", "session_identifier"),
+    "dedupe_views": lambda s, sf: dedupe_views(_mev(s, sf)).select("view_id", "event_id", "session_identifier"),
     "view_in_session_index": lambda s, sf: _views(s, sf).select("view_id", "session_identifier", "event_id",
                                                                   "view_in_session_index"),
     "views_in_session": lambda s, sf: _views(s, sf).select("view_id", "session_identifier", "views_in_session"),
-    "session_firsts": lambda s, sf: session_firsts(events(s, sf)).select("session_identifier", "event_id", "event_name"),
-    "session_lasts": lambda s, sf: session_lasts(events(s, sf)).select("session_identifier", "event_id", "event_name"),
+    "session_firsts": lambda s, sf: session_firsts(_mev(s, sf)).select("session_identifier", "event_id", "event_name"),
+    "session_lasts": lambda s, sf: session_lasts(_mev(s, sf)).select("session_identifier", "event_id", "event_name"),
     "users_sessions": lambda s, sf: users_parts(s, sf)[0].select(
         "session_identifier", "user_identifier", "user_start_tstamp", "user_end_tstamp", "on_web", "on_mobile"),
     "dedupe_dimension": q_dedupe_dimension,
     "order_by_desc": q_count_by_app,
     "limit_lookup": q_limit_lookup,
     "top1_per_group": q_top1_per_group,
-    "union_all_metrics": lambda s, sf: __import__("trailmark.plans.metrics", fromlist=["x"]).pv_scroll_depth(events(s, sf)),
+    "union_all_metrics": lambda s, sf: model(s, sf).pv_scroll_depth,
 }
 
 

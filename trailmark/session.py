@@ -23,6 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TRAILMARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ansi.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -48,3 +49,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def constant_null_columns(df) -> dict[str, str]:
+    """Output columns that the optimizer folded to a NULL literal (name -> type)."""
+    out = {}
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        if plan.nodeName() != "Project":
+            return out
+        plist = plan.projectList()
+        for i in range(plist.size()):
+            e = plist.apply(i)
+            if e.nodeName() == "Alias" and e.child().nodeName() == "Literal" and e.child().value() is None:
+                out[e.name()] = e.dataType().catalogString()
+    except Exception:  # noqa: BLE001 - plan introspection is an optimisation only
+        return {}
+    return out
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Cuts the lineage at a reuse point: later branches scan the table (with
+    column pruning) instead of re-running the shuffles that produced it, and a
+    lost executor re-reads shared storage instead of recomputing.  Columns the
+    optimizer proved constant NULL are not stored; they are re-added as typed
+    literals on read, so the result has the same schema and values.
+    """
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    cols = df.columns
+    nulls = constant_null_columns(df)
+    if len(nulls) == len(cols):
+        nulls = {}
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.drop(*nulls).write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    if nulls:
+        back = back.withColumns({n: F.lit(None).cast(t) for n, t in nulls.items()})
+    return back.select(*cols)
