@@ -6,7 +6,7 @@ Lookups against reference tables are joins (broadcast only after a size check).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import query_param
@@ -33,3 +33,160 @@ def campaign_attribution(df: DataFrame, params: dict | None = None, query_col: s
         vals = [query_param(q, n) for n in names]
         out[col] = (F.coalesce(*vals) if len(vals) > 1 else vals[0]) if vals else F.lit(None).cast("string")
     return df.withColumns(out)
+
+
+# --- E02 event fingerprint ----------------------------------------------------
+
+def event_fingerprint(df: DataFrame, params: dict | None = None, query_col: str = "page_urlquery",
+                      out: str = "event_fingerprint") -> DataFrame:
+    """SHA-1 of the query string's ``k=v`` pairs, excluded keys dropped, sorted, joined with '&'."""
+    excluded = (params or {}).get("excludeParameters", FINGERPRINT_EXCLUDE)
+    q = F.col(query_col)
+    pairs = F.filter(F.split(q, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*excluded))
+    return df.withColumn(out, F.when(q.isNotNull(), F.sha1(F.concat_ws("&", F.array_sort(pairs)))))
+
+
+# --- E03 referer parser -------------------------------------------------------
+
+def url_host(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)
+
+
+def referer_parser(df: DataFrame, referers: DataFrame, params: dict | None = None,
+                   refr_host: str = "refr_urlhost", page_url: str = "page_url") -> DataFrame:
+    """refr_medium / refr_source from a host lookup table.
+
+    Own host or a listed internal domain -> 'internal'; unknown host -> 'unknown'.
+    """
+    from trailmark.operators.joins import dim_lookup
+
+    internal = [d.lower() for d in (params or {}).get("internalDomains", [])]
+    looked = dim_lookup(df, referers, refr_host, "host", {"medium": "__rm", "source": "__rs"},
+                        order="host", prefix="__ref")
+    h = F.lower(F.col(refr_host))
+    is_internal = (h == F.lower(url_host(F.col(page_url)))) | (h.isin(*internal) if internal else F.lit(False))
+    return (looked.withColumns({
+        "refr_medium": F.when(h.isNull(), F.lit(None).cast("string")).when(is_internal, "internal")
+        .otherwise(F.coalesce(F.col("__rm"), F.lit("unknown"))),
+        "refr_source": F.when(h.isNull() | is_internal, F.lit(None).cast("string")).otherwise(F.col("__rs")),
+    }).drop("__rm", "__rs"))
+
+
+# --- E04 IP anonymisation -----------------------------------------------------
+
+def anon_ip(df: DataFrame, params: dict | None = None, col: str = "user_ipaddress") -> DataFrame:
+    """Replace the last ``anonOctets`` octets of an IPv4 address by 'x'; other values unchanged."""
+    n = int((params or {}).get("anonOctets", 1))
+    parts = F.split(F.col(col), r"\.")
+    masked = F.concat_ws(".", F.transform(parts, lambda x, i: F.when(i >= 4 - n, F.lit("x")).otherwise(x)))
+    from trailmark.functions.ip import IPV4_PATTERN
+    return df.withColumn(col, F.when(F.col(col).rlike(IPV4_PATTERN), masked).otherwise(F.col(col)))
+
+
+# --- E05 PII pseudonymisation -------------------------------------------------
+
+PII_DEFAULT = {"pii": [{"pojo": {"field": "user_id"}}],
+               "strategy": {"pseudonymize": {"hashFunction": "SHA-1", "salt": "salty"}}}
+
+
+def _pii_fields(params: dict) -> list[str]:
+    return [p["pojo"]["field"] for p in params.get("pii", []) if "pojo" in p]
+
+
+def _hash(col: Column, params: dict) -> Column:
+    ps = params.get("strategy", {}).get("pseudonymize", {})
+    salted = F.concat(col.cast("string"), F.lit(ps.get("salt", "")))
+    fn = ps.get("hashFunction", "SHA-1").upper().replace("-", "")
+    if fn == "SHA1":
+        return F.sha1(salted)
+    if fn == "MD5":
+        return F.md5(salted)
+    return F.sha2(salted, int(fn.replace("SHA", "")))
+
+
+def pii_pseudonymize(df: DataFrame, params: dict | None = None) -> DataFrame:
+    """Listed fields -> hash(value || salt); NULL stays NULL."""
+    params = params or PII_DEFAULT
+    return df.withColumns({f: _hash(F.col(f), params) for f in _pii_fields(params)})
+
+
+def pii_events(df: DataFrame, params: dict | None = None, key: str = "event_id") -> DataFrame:
+    """The emitted PII rows: (event id, field, original, hashed) for each non-NULL listed field."""
+    params = params or PII_DEFAULT
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("original"),
+                                 _hash(F.col(f), params).alias("hashed")) for f in _pii_fields(params)])
+    return (df.select(key, F.explode(entries).alias("p"))
+            .filter(F.col("p.original").isNotNull())
+            .select(key, "p.field", "p.original", "p.hashed"))
+
+
+# --- E09 / E10 header and cookie extraction ------------------------------------
+
+def cookie_extractor(df: DataFrame, params: dict | None = None, cookie_col: str = "cookie",
+                     out: str = "cookie_context") -> DataFrame:
+    """The named cookies of the Cookie header as an array of (name, value)."""
+    names = (params or {}).get("cookies", [])
+    pairs = F.transform(F.filter(F.split(F.col(cookie_col), ";"), lambda x: F.trim(x) != ""),
+                        lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("name"),
+                                           F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("value")))
+    return df.withColumn(out, F.filter(pairs, lambda p: p["name"].isin(*names)) if names
+                         else F.array().cast("array<struct<name:string,value:string>>"))
+
+
+def http_header_extractor(df: DataFrame, params: dict | None = None, headers_col: str = "headers",
+                          out: str = "header_context") -> DataFrame:
+    """Headers (array of name/value structs) whose name fully matches ``headersPattern``."""
+    pattern = (params or {}).get("headersPattern", ".*")
+    return df.withColumn(out, F.filter(F.col(headers_col), lambda h: h["name"].rlike(f"^(?:{pattern})$")))
+
+
+# --- E11 cross-navigation ---------------------------------------------------------
+
+def cross_navigation(df: DataFrame, params: dict | None = None, url_col: str = "page_url",
+                     param: str = "_sp") -> DataFrame:
+    """refr_domain_userid / refr_dvce_tstamp from a ``_sp=<domain user id>.<epoch millis>`` link decoration."""
+    from trailmark.functions.text import query_param
+
+    q = F.regexp_extract(F.col(url_col), r"\?([^#]*)", 1)
+    v = query_param(q, param)
+    duid = F.regexp_extract(v, r"^(.*)\.([0-9]+)$", 1)
+    ms = F.regexp_extract(v, r"^(.*)\.([0-9]+)$", 2).try_cast("bigint")
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return df.withColumns({
+        "refr_domain_userid": F.when(v.rlike(r"^.+\.[0-9]+$"), duid),
+        "refr_dvce_tstamp": F.when(v.rlike(r"^.+\.[0-9]+$"), F.timestamp_add("MILLISECOND", ms, epoch)),
+    })
+
+
+# --- E12 custom script --------------------------------------------------------------
+
+def custom_script(df: DataFrame, fn, schema: str) -> DataFrame:
+    """User code over Arrow batches (``fn(pandas.DataFrame) -> pandas.DataFrame``).
+
+    Runs per partition with ``mapInPandas`` (vectorised); prefer a SQL
+    expression via ``DataFrame.withColumn(name, F.expr(...))`` when possible.
+    """
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf)
+    return df.mapInPandas(run, schema)
+
+
+# --- E13 pipeline -------------------------------------------------------------------
+
+DEFAULT_ORDER = ("campaign_attribution", "event_fingerprint", "referer_parser", "currency_conversion",
+                 "ip_lookups", "iab_spiders_and_robots", "anon_ip", "custom_script", "pii_enrichment")
+
+
+def event_pipeline(df: DataFrame, enrichments: dict[str, dict], steps: dict) -> DataFrame:
+    """Apply the enabled enrichments in a fixed order (script after currency/IP lookups, PII last).
+
+    ``enrichments`` maps name -> configuration ``data`` object (``enabled`` +
+    ``parameters``); ``steps`` maps name -> ``fn(df, parameters) -> df``.
+    Configurations are replaced by name, as one JSON file per enrichment.
+    """
+    for name in DEFAULT_ORDER:
+        conf = enrichments.get(name)
+        if conf and conf.get("enabled") and name in steps:
+            df = steps[name](df, conf.get("parameters", {}))
+    return df
