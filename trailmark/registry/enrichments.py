@@ -261,5 +261,4 @@ ORACLE = {
         f"SELECT a.event_id, {_qp('utm_medium', 'a.page_urlquery')} AS mkt_medium, "
         f"{_qp('utm_source', 'a.page_urlquery')} AS mkt_source, {_qp('utm_campaign', 'a.page_urlquery')} AS mkt_campaign, "
         f"{_fp('a.page_urlquery')} AS event_fingerprint,")),
-}) f ON a.event_id = f.event_id"),
 }
