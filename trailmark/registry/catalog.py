@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from trailmark.registry import enrichments, io, models, parts
+from trailmark.registry import enrichments, io, models, parts, validation
 
 
 def all_queries():
     out = {}
-    for mod in (models, parts, enrichments, io):
+    for mod in (models, parts, enrichments, io, validation):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles():
     out = {}
-    for mod in (models, parts, enrichments, io):
+    for mod in (models, parts, enrichments, io, validation):
         out.update(mod.ORACLE)
     return out
