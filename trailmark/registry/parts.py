@@ -188,6 +188,8 @@ QUERIES = {
     "coalesce_entity_versions": q_coalesce_entity_versions,
     "session_identifier": q_session_identifier,
     "user_identifier": _ev_cols("user_identifier", "CAST(user_identifier AS STRING) AS stitched_user_id"),
+    "stitched_user_id": _ev_cols("CAST(user_identifier AS STRING) AS stitched_user_id"),
+    "select_view": lambda s, sf: _views(s, sf),
     "view_id": _ev_cols("view_id"),
     "device_session_index": _ev_cols("device_session_index"),
     "device_attrs": _ev_cols("os_type", "os_version", "device_identifier", "referrer", "url", "screen_resolution"),
@@ -282,6 +284,7 @@ ORACLE = {
     "session_identifier": with_ctes(ATOMIC_ONLY, f"SELECT event_id, CASE WHEN {_N} % 3 = 0 THEN 'cs-' || event_id "
                                     "ELSE domain_sessionid END AS session_identifier FROM atomic"),
     "user_identifier": _ev_sql("user_identifier", "CAST(user_identifier AS VARCHAR) AS stitched_user_id"),
+    "stitched_user_id": _ev_sql("CAST(user_identifier AS VARCHAR) AS stitched_user_id"),
     "view_id": _ev_sql("view_id"),
     "device_session_index": _ev_sql("device_session_index"),
     "device_attrs": _ev_sql("os_type", "os_version", "device_identifier", "referrer", "url", "screen_resolution"),
@@ -360,6 +363,8 @@ ORACLE = {
                       "(PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) = 1",
 }
 ORACLE["order_by_desc"] = ORACLE["count_by_app"]
+from trailmark.registry.models import ORACLE as _MODEL_ORACLE  # noqa: E402
+ORACLE["select_view"] = _MODEL_ORACLE["unified_views"]
 for _k, _src in (("pv_engaged_time", "unified_pv_engaged_time"), ("screen_summary_metrics", "unified_screen_summary_metrics"),
                  ("pv_scroll_depth", "unified_pv_scroll_depth"), ("union_all_metrics", "unified_pv_scroll_depth")):
     from trailmark.registry.models import ORACLE as _MO

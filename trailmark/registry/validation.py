@@ -166,7 +166,18 @@ def q_upsert(s, sf):
 
 
 QUERIES = {k: _kw_query(p, kw) for k, (p, kw, _) in KEYWORD_RULES.items()}
+def q_atomic_field(s, sf):
+    """Atomic-field failure: a true timestamp before the epoch (planted every 17th event)."""
+    from trailmark.functions.timeutil import epoch_micros
+    a = atomic(s, sf)
+    n = F.substring(F.col("event_id"), 2, 20).cast("bigint")
+    ms = F.when(n % 17 == 0, F.lit(-1)).otherwise((epoch_micros(F.col("derived_tstamp")) / 1000).cast("bigint"))
+    return a.withColumn("true_tstamp_ms", ms).filter(F.col("true_tstamp_ms") < 0).select(
+        "event_id", F.lit("true_tstamp").alias("path"), F.lit("minimum").alias("keyword"))
+
+
 QUERIES.update({
+    "validate_atomic_field": q_atomic_field,
     "validate_json": violations,
     "validate_multiple_failures": lambda s, sf: violations(s, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n_errors")),
     "size_violation": lambda s, sf: V.size_violation(read_table(s, sf, "documents"), "text", 10000)
@@ -227,6 +238,8 @@ ORACLE.update({
     "upsert_schema_catalog": with_ctes(ATOMIC, f"SELECT DISTINCT {SKEY} AS schema_key, CASE WHEN {SKEY} LIKE '%-1' THEN 'v2' "
                                                "ELSE 'v1' END AS body FROM atomic"),
     "incomplete_predicate": f"SELECT event_id FROM events WHERE {PROPS_BAD}",
+    "validate_atomic_field": with_ctes(ATOMIC, "SELECT event_id, 'true_tstamp' AS path, 'minimum' AS keyword FROM atomic "
+                                               "WHERE CAST(substr(event_id, 2) AS BIGINT) % 17 = 0"),
     "querystring_error_planted": "SELECT page_id, q, 'generic_error' AS failure FROM (SELECT page_id, regexp_extract(url, '\\?([^#]*)', 1) "
                                  "|| CASE page_id % 5 WHEN 0 THEN '&x=%zz' WHEN 1 THEN '&y=a b' WHEN 2 THEN '&z=%4' ELSE '&w=%41' END AS q "
                                  "FROM pages) WHERE page_id % 5 IN (0, 1, 2)",
