@@ -54,3 +54,24 @@ def test_fixture_model_invariants(spark):
     assert u.count() == u.select("user_identifier").distinct().count() > 0
     ev = m.events
     assert ev.count() == ev.select("event_id").distinct().count()
+
+
+def test_rank_in_group_matches_row_number(spark):
+    from pyspark.sql import Window
+
+    from trailmark.operators.ranking import asc, rank_in_group
+    base = spark.range(0, 3000).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string")))
+        .alias("g"),
+        (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(secs=(F.col("id") * 7 % 5000).cast("int")))
+        .cast("timestamp_ntz").alias("ts"),
+        F.col("id").cast("string").alias("k"))
+    base = base.unionByName(base.limit(5).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    order = [asc("ts"), asc("k")]
+    got = rank_in_group(base, "g", "ts", order, "r", count_out="n", bucket_seconds=60)
+    want = base.withColumn("r2", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    j = got.join(want, ["g", "ts", "k"])
+    assert j.count() == base.count()
+    assert j.filter(F.col("r") != F.col("r2")).count() == 0
+    sizes = {r.g: r.c for r in base.groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}
+    assert all(r.n == sizes[r.g] for r in got.select("g", "n").distinct().collect())

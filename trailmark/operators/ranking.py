@@ -38,3 +38,31 @@ def dedupe_dimension(dim: DataFrame, key: str, order: str = "name") -> DataFrame
     """One row per (lower-cased) dimension key, first by ``order``."""
     return (top1_per_group(dim.withColumn("__k", F.lower(F.col(key))), ["__k"], [asc(order)])
             .drop("__k"))
+
+
+def rank_in_group(df: DataFrame, group: str, ts_col: str, order: Sequence[Column], out: str,
+                  count_out: str | None = None, bucket_seconds: int = 60) -> DataFrame:
+    """``row_number() over (partition by group order by ts_col, ...)`` without sorting a group in one task.
+
+    ``order`` must start with ``ts_col`` ascending, NULLs last.  Rows are cut
+    into (group, time bucket) slices; each slice is ranked on its own
+    (hash-partitioned on both keys, so a hot group spreads over many tasks),
+    then shifted by the row count of the group's earlier slices, taken from a
+    small per-group table of slice counts.  ``count_out`` adds the group size
+    (the whole-partition max of the rank).
+    """
+    from trailmark.functions.timeutil import epoch_micros, floor_div
+
+    big = F.lit(9_223_372_036_854_775_807)
+    bucket = F.coalesce(floor_div(epoch_micros(F.col(ts_col)), bucket_seconds * 1_000_000), big)
+    d = df.withColumn("__slice", bucket)
+    counts = d.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    w_prev = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_prev), F.lit(0)))
+    if count_out:
+        offsets = offsets.withColumn(count_out, F.sum("__n").over(Window.partitionBy(group)))
+    offsets = offsets.drop("__n")
+    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(group, "__slice").orderBy(*order)))
+    j = local.join(offsets, local[group].eqNullSafe(offsets[group]) & (local["__slice"] == offsets["__slice"]))
+    j = j.drop(offsets[group]).drop(offsets["__slice"])
+    return j.withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint")).drop("__slice", "__local", "__off")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.config import ModelConfig
 from trailmark.functions import rules
 from trailmark.functions.contracts import VIEWS_COLUMNS
 from trailmark.functions.timeutil import seconds_between
-from trailmark.operators.ranking import asc, top1_per_group
+from trailmark.operators.ranking import asc, rank_in_group, top1_per_group
 from trailmark.plans.metrics import KEYS, pv_engaged_time, pv_scroll_depth, screen_summary_metrics
 
 
@@ -60,15 +60,14 @@ def unified_views(events: DataFrame, cfg: ModelConfig, engaged: DataFrame | None
              asc("vertical_pixels_scrolled"), asc("horizontal_percentage_scrolled"),
              asc("vertical_percentage_scrolled")]
     end = F.coalesce(c("_t_end"), c("derived_tstamp"))
+    # W03 + W04: skew-safe rank (range-split by time, see rank_in_group) and session size.
+    j = rank_in_group(j, "session_identifier", "derived_tstamp", order, "view_in_session_index",
+                      count_out="views_in_session")
     j = j.withColumns({
-        "view_in_session_index": F.row_number().over(
-            Window.partitionBy("session_identifier").orderBy(*order)).cast("bigint"),
         "end_tstamp": end,
         "engaged_time_in_s": F.coalesce(c("_t_eng"), F.lit(0.0)),
         "absolute_time_in_s": F.coalesce(c("_t_abs"), seconds_between(c("derived_tstamp"), end).cast("double")),
         "model_tstamp": F.current_timestamp(),
     })
-    # Whole-partition max of the index = number of view rows in the session.
-    j = j.withColumn("views_in_session", F.count(F.lit(1)).over(Window.partitionBy("session_identifier")))
     cols = [x for x in VIEWS_COLUMNS if with_model_tstamp or x != "model_tstamp"]
     return j.select(*cols)
