@@ -39,3 +39,15 @@ def test_validate_json_keywords(spark):
                    (4, "$.a", "type"), (4, "$.e", "enum"), (5, "$", "json")] or \
         sorted(got) == sorted([(2, "$.a", "required"), (2, "$.n", "maximum"), (3, "$", "additionalProperties"),
                                (3, "$.a", "maxLength"), (4, "$.a", "type"), (4, "$.e", "enum"), (5, "$", "json")])
+
+
+def test_split_partitions_input(spark):
+    """good and bad partition the input; incomplete is exactly the bad set."""
+    docs = spark.createDataFrame([(1, '{"k": 10}'), (2, '{"k": 99}'), (3, '{"k": "x"}'), (4, "{bad")],
+                                 "event_id int, props string")
+    checked = V.validate_json(docs, "props", {"properties": {"k": {"type": "integer", "maximum": 50}}})
+    out = V.split_good_bad_incomplete(checked)
+    good = {r.event_id for r in out["good"].collect()}
+    bad = {r.event_id for r in out["bad"].collect()}
+    inc = {r.event_id for r in out["incomplete"].collect()}
+    assert good | bad == {1, 2, 3, 4} and not good & bad and inc == bad == {2, 3, 4}

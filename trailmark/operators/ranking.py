@@ -66,3 +66,26 @@ def rank_in_group(df: DataFrame, group: str, ts_col: str, order: Sequence[Column
     j = local.join(offsets, local[group].eqNullSafe(offsets[group]) & (local["__slice"] == offsets["__slice"]))
     j = j.drop(offsets[group]).drop(offsets["__slice"])
     return j.withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint")).drop("__slice", "__local", "__off")
+
+
+def running_total_in_group(df: DataFrame, group: str, ts_col: str, order: Sequence[Column], value: Column,
+                           out: str, slice_seconds: int = 1) -> DataFrame:
+    """Running ``sum(value)`` per group in ``order`` (rows frame), split into time slices.
+
+    Same technique as :func:`rank_in_group`: per-slice running sums plus the
+    total of the group's earlier slices, so a hot group is spread over tasks.
+    ``order`` must start with ``ts_col`` ascending, NULLs last.
+    """
+    from trailmark.functions.timeutil import epoch_micros, floor_div
+
+    big = F.lit(9_223_372_036_854_775_807)
+    d = df.withColumn("__slice", F.coalesce(floor_div(epoch_micros(F.col(ts_col)), slice_seconds * 1_000_000), big)) \
+        .withColumn("__val", value)
+    totals = d.groupBy(group, "__slice").agg(F.sum("__val").alias("__tot"))
+    w_prev = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(w_prev), F.lit(0))).drop("__tot")
+    w_local = Window.partitionBy(group, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("__run", F.sum("__val").over(w_local))
+    j = local.join(offsets, local[group].eqNullSafe(offsets[group]) & (local["__slice"] == offsets["__slice"]))
+    j = j.drop(offsets[group]).drop(offsets["__slice"])
+    return j.withColumn(out, F.col("__off") + F.col("__run")).drop("__slice", "__val", "__run", "__off")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,15 +50,16 @@ def batch_by_size_or_delay(df: DataFrame, ts_col: str, size: Column, max_bytes:
     """Assign each record to an emitted batch: a new batch starts every ``max_delay`` window or
     when the running byte count inside the window exceeds ``max_bytes``.
 
-    The running sum is partitioned by the delay window, so no single task
-    sees more than one window of traffic.
+    The running byte count is computed per one-second slice of each window
+    and shifted by the window's earlier slices (``running_total_in_group``),
+    so even a window holding a large share of all records is spread over tasks.
     """
-    w_start = F.window(F.col(ts_col), max_delay).start
-    df = df.withColumn("batch_window", w_start).withColumn("__size", size.cast("bigint"))
-    w = Window.partitionBy("batch_window").orderBy(F.col(ts_col), *[F.col(c) for c in order]) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = F.sum("__size").over(w)
-    return df.withColumn("batch_no", F.floor((cum - 1) / F.lit(max_bytes)).cast("bigint")).drop("__size")
+    from trailmark.operators.ranking import asc, running_total_in_group
+
+    df = df.withColumn("batch_window", F.window(F.col(ts_col), max_delay).start)
+    df = running_total_in_group(df, "batch_window", ts_col, [asc(ts_col), *[asc(c) for c in order]],
+                                size.cast("bigint"), "__cum")
+    return df.withColumn("batch_no", F.floor((F.col("__cum") - 1) / F.lit(max_bytes)).cast("bigint")).drop("__cum")
 
 
 def start_position(df: DataFrame, position: str, ts_col: str = "collector_tstamp", at=None) -> DataFrame:
