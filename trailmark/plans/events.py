@@ -18,10 +18,14 @@ DERIVED_COLUMNS = (
 )
 
 
-def conform_atomic(df: DataFrame) -> DataFrame:
-    """Add every atomic field missing from ``df`` as a typed NULL column (schema evolution)."""
+PRE_DEDUPE_FIELDS = ("event_id", "app_id", "collector_tstamp", "dvce_created_tstamp", "domain_sessionid",
+                     "domain_userid")
+
+
+def conform_atomic(df: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Add every atomic field missing from ``df`` (or from ``only``) as a typed NULL column."""
     missing = {}
-    for name in ATOMIC_FIELDS:
+    for name in (only or ATOMIC_FIELDS):
         if name not in df.columns:
             t = "timestamp_ntz" if name in TIMESTAMP_FIELDS else atomic_type(name)
             missing[name] = F.lit(None).cast(t)
@@ -65,11 +69,16 @@ def output_columns(df: DataFrame) -> list[str]:
 
 
 def unified_events(atomic: DataFrame, cfg: ModelConfig) -> DataFrame:
-    """M01.  Order matters: app filter before the de-duplication, bot filter after it."""
-    df = filter_app_id(conform_atomic(atomic), cfg)
+    """M01.  Order matters: app filter before the de-duplication, bot filter after it.
+
+    Only the columns the input really has cross the de-duplication shuffle;
+    absent fields and entity columns (typed NULLs, row-wise derivations) are
+    added after it, so they never widen the shuffled rows.
+    """
+    df = filter_app_id(conform_atomic(atomic, PRE_DEDUPE_FIELDS), cfg)
     df = df.withColumn("session_identifier", session_identifier(df, cfg))
     df = df.withColumn("user_identifier", F.col("domain_userid"))
-    df = dedupe_events(df)
+    df = conform_atomic(dedupe_events(df))
     df = add_device_fields(extract_entities(df, cfg))
     df = bot_filter(df, cfg)
     return df.select(*output_columns(df))
