@@ -25,6 +25,8 @@ def query_param(query: Column, name: str, decode: bool = True) -> Column:
     The first occurrence wins.  Values are form-decoded ('+' is a space,
     ``%xx`` escapes); an undecodable value is kept as it is.
     """
-    hit = F.regexp_substr(query, F.lit(f"(^|&){name}=[^&#]*"))  # NULL when absent
-    raw = F.regexp_replace(hit, f"^&?{name}=", "")
+    prefix = f"{name}="
+    # first '&'-separated item starting with 'name=' (no regex per row); NULL when absent
+    hit = F.get(F.filter(F.split(query, "&"), lambda item: item.startswith(prefix)), 0)
+    raw = F.substring_index(F.substring(hit, len(prefix) + 1, 1 << 30), "#", 1)
     return F.coalesce(F.try_url_decode(raw), raw) if decode else raw
