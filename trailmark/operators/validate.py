@@ -295,3 +295,16 @@ def upsert_schema_catalog(existing: DataFrame, published: DataFrame, allow_patch
 
 def ensure_list(x) -> Sequence:
     return x if isinstance(x, (list, tuple)) else [x]
+
+
+def violation_rows(df: DataFrame, col: str, schema: dict, keys: Sequence[str]) -> DataFrame:
+    """One row per violation: ``keys`` + (path, keyword).
+
+    The per-document error arrays are written once (``materialize``) before
+    they are exploded: exploding straight over the compiled check expression
+    makes the optimizer re-evaluate it per output field (measured ~8x slower).
+    """
+    from trailmark.session import materialize
+
+    checked = materialize(validate_json(df, col, schema).select(*keys, "errors"), "json_errors")
+    return checked.select(*keys, F.explode("errors").alias("__e")).select(*keys, "__e.path", "__e.keyword")

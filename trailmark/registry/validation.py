@@ -84,9 +84,8 @@ def violations(spark, sf) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _VIOLATIONS:
-        v = V.validate_json(materialize(documents(spark, sf), "documents_json"), "doc", DOC_SCHEMA)
-        flat = v.select("id", F.explode("errors").alias("e")).select("id", "e.path", "e.keyword")
-        _VIOLATIONS[key] = materialize(flat, "json_violations")
+        docs = materialize(documents(spark, sf), "documents_json")
+        _VIOLATIONS[key] = V.violation_rows(docs, "doc", DOC_SCHEMA, ["id"])
     return _VIOLATIONS[key]
 
 
