@@ -6,12 +6,15 @@ signature.  Sets that share a band key are candidates; the share of equal bits,
 corrected for chance collisions, estimates their similarity, and those that may
 reach the threshold are confirmed on the full sets.
 
-Equal word sequences are one class from the start.  Inside a band key not all
-pairs are formed: every class is first compared with the key's smallest class.
-Classes that are linked already need no comparison, so only keys whose classes
-still lie in different components go into further rounds: there each class meets
-its most similar unlinked partners (blocks of a key in separate tasks, twice as
-many partners each round) until no untried candidate is left.  Nothing is capped.
+Equal word sequences are one class from the start.  No step forms all pairs of a
+group in rows.  Inside a band key the classes are searched breadth-first by their
+signatures: each found class is compared with those not found yet, so a key of
+mutual copies costs one comparison a class, and only its tree leaves the task.
+Trees of all keys make clusters; two classes that are linked are always in one.
+In a cluster every class is first confirmed against its smallest one.  Clusters
+with classes left over are searched in full, exactly, block against block in
+separate tasks; again only a spanning tree of confirmed links leaves a task.
+Nothing is capped.
 
 The chance that a pair at similarity 0.8 shares no band key is
 (1 - 0.8**4)**32 < 1e-7; the estimate's cut lies six deviations below it.
@@ -28,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import lists, mixed, slices, text_buffer, word_hashes, written
@@ -38,7 +41,8 @@ HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 WORDS_OF_SIG = HASHES * BITS // 64
 CHUNK = 4 << 20
-BLOCK = 4096  # classes of a band key compared by one task at most
+KEY_BLOCK = 4096  # classes of a band key searched by one task: two blocks at most
+SET_BLOCK = 512  # full sets of a cluster compared by one task: two blocks at most
 SLACK = 6  # deviations of the estimate below the threshold at which a candidate is given up
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,17 +135,6 @@ def signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
         read, schema)
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity estimated from two packed signatures: equal bits, less those expected by chance."""
-    ones = F.lit(0x5555555555555555)
-    differ = F.lit(0)
-    for i in range(WORDS_OF_SIG):
-        x = F.get(a, i).bitwiseXOR(F.get(b, i))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
-    chance = 2.0 ** -BITS
-    return (1 - differ / HASHES - chance) / (1 - chance)
-
-
 def cut_for(threshold: float) -> float:
     chance = 2.0 ** -BITS
     p = chance + (1 - chance) * threshold
@@ -149,7 +142,7 @@ def cut_for(threshold: float) -> float:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, codes) of the classes in ``wanted`` (cid, doc_id, k1, k2); the set of each is read from its document."""
+    """(cid, cluster, codes) of the classes in ``wanted`` (cid, cluster, doc_id, k1, k2), read from their documents."""
 
     def read(batches):
         for batch in slices(batches, "text", CHUNK):
@@ -158,101 +151,151 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_co
             own = (keys[:, 0] == batch.column(2).to_numpy()) & (keys[:, 1] == batch.column(3).to_numpy())
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array([found[i][0].tobytes() for i in at], pa.binary())],
-                names=["cid", "codes"])
+                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
+                 pa.array([found[i][0].tobytes() for i in at], pa.binary())], names=["cid", "cluster", "codes"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = wanted.join(texts, "doc_id").select("cid", "doc_id", "k1", "k2", "text")
-    return rows.mapInArrow(read, "cid long, codes binary").dropDuplicates(["cid"])
+    rows = wanted.join(texts, "doc_id").select("cid", "cluster", "k1", "k2", "text")
+    return rows.mapInArrow(read, "cid long, cluster long, codes binary")
+
+
+def runs(batches, names: list[str]):
+    """Rows of sorted batches gathered by their first columns ``names``: (key, rows) of each run."""
+    held, last, k = [], None, len(names)
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for row in zip(*cols):
+            if row[:k] != last:
+                if held:
+                    yield last, held
+                held, last = [], row[:k]
+            held.append(row[k:])
+    if held:
+        yield last, held
+
+
+def in_blocks(df: DataFrame, key: str, size: int, cols: list[str]) -> DataFrame:
+    """Rows of ``key`` (of ``n`` rows) dealt to pairs of blocks (i, j), so that any two rows meet in one of them."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    dealt = df.withColumn("own", F.pmod(F.xxhash64("cid", key), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *cols)
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "cid")
+
+
+def edges_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
+                                       pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def trees(n: int, near) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph in which ``near(i, some)`` tells which of ``some`` are i's neighbours."""
+    out, left = [], np.arange(n)
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = near(i, left)
+            found = left[hit].tolist()
+            out += [(i, j) for j in found]
+            queue += found
+            left = left[~hit]
+    return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked): whether den * intersection >= num * union on the full sets."""
-    left = sets.select(F.col("cid").alias("a"), F.col("codes").alias("ca"))
-    right = sets.select(F.col("cid").alias("b"), F.col("codes").alias("cb"))
+def likely(shared: DataFrame, cut: float) -> DataFrame:
+    """Edges (a, b) of a spanning forest, for each band key, of the pairs estimated at ``cut`` or more.
 
-    def check(batches):
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y)
-                # two sorted sets: what is equal to its neighbour is common
-                if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-                    linked.append(False)
-                    continue
-                all_codes = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(all_codes[1:] == all_codes[:-1]))
-                linked.append(den * common >= num * (both - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
-                                             names=["a", "b", "linked"])
+    ``shared`` has key, cid, sig and n, the key's classes.
+    """
 
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ca", "cb")
-    return rows.mapInArrow(check, "a long, b long, linked boolean")
+    def scan(batches):
+        mask, chance = np.uint64(0x5555555555555555), 2.0 ** -BITS
+        most = int((1 - cut) * (1 - chance) * HASHES)
+        for _, rows in runs(batches, ["key", "i", "j"]):
+            if len(rows) < 2:
+                continue
+            cid = [r[0] for r in rows]
+            sig = np.array([r[1] for r in rows], np.int64).view(np.uint64)
 
+            def near(i, some):
+                x = sig[some] ^ sig[i]
+                return np.bitwise_count((x | (x >> np.uint64(1))) & mask).sum(axis=1, dtype=np.int64) <= most
 
-def nearest_unlinked(members: DataFrame, cut: float, most: int) -> DataFrame:
-    """Candidate pairs (a, b) inside a band key whose classes lie in different components.
+            if pairs := trees(len(rows), near):
+                yield edges_batch([(cid[i], cid[j]) for i, j in pairs])
 
-    ``members`` has key, cid, comp, sig, tried (partners refuted before) and n,
-    the key's size.  A key of more than ``BLOCK`` classes is compared block by
-    block in separate tasks.  Of each class the ``most`` likeliest partners are
-    given.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid", "key"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    m = members.withColumn("own", own).withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "comp", "sig", "tried")
-    order = ["key", "i", "j", "cid"]
-
-    def compare(cid, comp, sig, tried):
-        n = len(cid)
-        pairs = set()
-        mask = np.uint64(0x5555555555555555)
-        for at in range(0, n, 256):
-            x = sig[at:at + 256, None, :] ^ sig[None, :, :]
-            x = (x | (x >> np.uint64(1))) & mask
-            est = (1 - np.bitwise_count(x).sum(axis=2, dtype=np.int64) / HASHES - 2.0 ** -BITS) / (1 - 2.0 ** -BITS)
-            est[comp[at:at + 256, None] == comp[None, :]] = -1
-            for r in np.flatnonzero((est >= cut).any(axis=1)):
-                row = est[r]
-                if len(tried[at + r]):
-                    row[np.isin(cid, tried[at + r])] = -1
-                best = np.flatnonzero(row >= cut)
-                best = best[np.argsort(-row[best], kind="stable")[:most]]
-                a = int(cid[at + r])
-                pairs.update((max(a, int(b)), min(a, int(b))) for b in cid[best])
-        return pairs
+    return in_blocks(shared, "key", KEY_BLOCK, ["cid", "sig"]).mapInArrow(scan, "a long, b long").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have den * intersection >= num * union."""
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    both = np.sort(np.concatenate([x, y]))  # what equals its neighbour is common
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return den * common >= num * (len(x) + len(y) - common)
 
-    def scan(batches):
-        held, last = [], None
-
-        def flush():
-            cid = np.array([h[0] for h in held], np.int64)
-            comp = np.array([h[1] for h in held], np.int64)
-            if len(held) < 2 or (comp == comp[0]).all():
-                return None
-            sig = np.array([h[2] for h in held], np.int64).view(np.uint64)
-            pairs = compare(cid, comp, sig, [np.array(h[3] or [], np.int64) for h in held])
-            if not pairs:
-                return None
-            a, b = zip(*sorted(pairs))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+def starred(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, cluster, linked): whether each class is linked to its cluster's smallest one."""
+    hubs = sets.filter("cid = cluster").select("cluster", F.col("codes").alias("hub"))
+
+    def check(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for key, i, j, *rest in zip(*cols):
-                if (key, i, j) != last:
-                    if held and (out := flush()) is not None:
-                        yield out
-                    held, last = [], (key, i, j)
-                held.append(rest)
-        if held and (out := flush()) is not None:
-            yield out
+            linked = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den)
+                      for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
+                                             names=["cid", "cluster", "linked"])
+
+    return sets.join(hubs, "cluster").select("cid", "cluster", "codes", "hub").mapInArrow(
+        check, "cid long, cluster long, linked boolean")
+
+
+def intersections(codes: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by matrix products over the codes that repeat."""
+    n = len(codes)
+    owner = np.repeat(np.arange(n), [len(c) for c in codes])
+    flat = np.concatenate(codes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    head = np.concatenate([[True], flat[1:] != flat[:-1]])
+    which = np.cumsum(head) - 1
+    often = np.bincount(which) > 1
+    keep = often[which]
+    owner, which = owner[keep], (np.cumsum(often) - 1)[which[keep]]
+    out = np.zeros((n, n), np.float32)
+    step = 1024
+    cut = np.searchsorted(which, np.arange(0, int(often.sum()) + step, step))
+    for k, (a, z) in enumerate(zip(cut, cut[1:])):
+        dense = np.zeros((n, step), np.float32)
+        dense[owner[a:z], which[a:z] - k * step] = 1
+        out += dense @ dense.T
+    return out.astype(np.int64)
+
+
+def remaining(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of a spanning forest, for each two blocks of a cluster, of all pairs that are linked.
+
+    ``members`` has cluster, cid, comp (what the star has joined), codes and n.
+    """
 
-    dealt = m.repartition("key", "i", "j").sortWithinPartitions(*order)
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    def scan(batches):
+        for _, rows in runs(batches, ["cluster", "i", "j"]):
+            comp = np.array([r[1] for r in rows], np.int64)
+            if (comp == comp[0]).all():
+                continue
+            codes = [np.frombuffer(r[2], np.uint64) for r in rows]
+            size = np.array([len(c) for c in codes], np.int64)
+            common = intersections(codes)
+            true = den * common >= num * (size[:, None] + size[None, :] - common)
+            known = comp[:, None] == comp[None, :]
+            near = true | known
+            pairs = [(i, j) for i, j in trees(len(rows), lambda i, some: near[i, some]) if not known[i, j]]
+            if pairs:
+                yield edges_batch([(rows[i][0], rows[j][0]) for i, j in pairs])
+
+    return in_blocks(members, "cluster", SET_BLOCK, ["cid", "comp", "codes"]).mapInArrow(scan, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -267,49 +310,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"),
                                                     F.first("bands").alias("bands"))
                       .withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
-    cut = cut_for(num / den)
 
     post = classes.select("cid", F.explode("bands").alias("key"))
-    keys = written(post.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).filter("n > 1"),
-                   "minhash-keys")
-    shared = written(post.join(keys, "key"), "minhash-shared")
-    sig = classes.select("cid", "sig")
-    stars = shared.filter("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = (stars.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
-             .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
-             .filter(estimate(F.col("sa"), F.col("sb")) >= cut).select("a", "b"))
-    pairs = written(stars, "minhash-pairs")
-    checked, sets, most = None, None, 4
+    keys = post.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = post.join(keys, "key").join(classes.select("cid", "sig"), "cid")
+    clusters = written(components(likely(shared, cut_for(num / den))), "minhash-clusters").withColumnsRenamed(
+        {"node": "cid", "comp": "cluster"})
+
+    wanted = classes.join(clusters, "cid").select("cid", "cluster", "doc_id", "k1", "k2")
+    sets = written(sets_of(docs, wanted, width, id_col, text_col).dropDuplicates(["cid"]), "minhash-sets")
+    star = written(starred(sets, num, den), "minhash-stars")
+    left = star.groupBy("cluster").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter(~F.col("all"))
+    comp = F.when(F.col("linked"), F.col("cluster")).otherwise(F.col("cid")).alias("comp")
+    members = star.join(left.select("cluster", "n"), "cluster").select("cid", "n", comp).join(sets, "cid")
+    links = star.filter("linked AND cid != cluster").select(F.col("cid").alias("a"), F.col("cluster").alias("b"))
+    links = links.unionByName(remaining(members, num, den))
+
     # rows of one id are one node: their classes are linked
-    of = table.join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select(F.col("doc_id").alias("d"), "cid").filter(
-        "d is not null")
+    of = known.join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select(F.col("doc_id").alias("d"), "cid")
     several = of.groupBy("d").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).filter("b != top")
     same_id = of.join(several, "d").filter("cid != b").select(F.col("cid").alias("a"), "b").distinct()
-    while True:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("cid"), "cid", "left_anti")
-        new = written(sets_of(docs, classes.join(wanted, "cid").select("cid", "doc_id", "k1", "k2"), width, id_col,
-                              text_col), "minhash-sets")
-        sets = new if sets is None else sets.unionByName(new)
-        now = written(confirmed(pairs, sets, num, den), "minhash-checked")
-        checked = now if checked is None else checked.unionByName(now)
-        links = checked.filter("linked").select("a", "b").unionByName(same_id)
-        comp = written(components(links), "minhash-components")
-        # keys whose classes are not all linked yet
-        placed = shared.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-            "comp", F.coalesce("comp", "cid")).select("key", "cid", "comp", "n")
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-        refuted = checked.filter(~F.col("linked"))
-        tried = refuted.select(F.col("a").alias("cid"), F.col("b").alias("x")).unionByName(
-            refuted.select(F.col("b").alias("cid"), F.col("a").alias("x"))).groupBy("cid").agg(
-            F.collect_set("x").alias("tried"))
-        members = (placed.join(open_keys.select("key"), "key").join(sig, "cid").join(tried, "cid", "left")
-                   .select("key", "cid", "comp", "sig", "tried", "n"))
-        pairs = written(nearest_unlinked(members, cut, most), "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        most *= 2
+
+    comp = written(components(links.unionByName(same_id)), "minhash-components")
     named = comp.join(classes.select(F.col("cid").alias("node"), "doc_id"), "node")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component"))
     of_class = (classes.select("cid", "k1", "k2", "doc_id")
