@@ -7,8 +7,9 @@ it.  Lines of fewer than five different words are never compared.
 
 Equal sets are one class.  A class is joined with others over its prefix: its
 words in order of rarity, of which so many come first that a match must share one
-of them.  Length and positional filters follow, and then the Jaccard similarity of
-the whole word sets.  The order of rarity need only be the same for all lines, so
+of them.  Length and positional filters follow, then a bitmap filter (64 bits of
+word parity, of which two sets differ in no more than they differ in words), and
+then the Jaccard similarity of the whole word sets.  The order of rarity need only be the same for all lines, so
 word counts are kept in a table of fixed size (counts of hashed words), which is
 the only thing that every task gets.
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import written
 
 LEAST_WORDS = 5
-BUCKETS = 65536
+BUCKETS = 1 << 20
+FILTER_BITS = 1 << 23
 SPACES = r"[\x20\x09-\x0D]+"
 #: similarity as whole numbers: NUM / DEN = 0.8
 NUM, DEN = 4, 5
@@ -54,17 +56,11 @@ def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def rarity(lines: DataFrame) -> Column:
     """Array of ``BUCKETS`` ranks: twice the binary logarithm of how many words of the corpus fall into each.
 
-    A scalar subquery over a grouped count of fixed size (65,536 small numbers).
+    A scalar subquery over a grouped count of fixed size (four megabytes).
     """
-    spark = lines.sparkSession
     counts = (lines.select(F.explode(F.split("line", SPACES, -1)).alias("word")).groupBy(bucket(F.col("word")).alias("b"))
-              .agg(F.count("*").alias("n")))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    full = every.join(counts, "b", "left").select("b", F.floor(2 * F.log2(F.coalesce("n", F.lit(1)))).cast("int")
-                                                  .alias("rank"))
-    ranks = full.agg(F.sort_array(F.collect_list(F.struct("b", "rank"))).alias("x")).select(
-        F.transform("x", lambda x: x["rank"]).alias("x"))
-    return ranks.scalar()
+              .agg(F.floor(2 * F.log2(F.count("*"))).cast("int").alias("rank")))
+    return table_of(counts, "b", "rank", BUCKETS, F.lit(0))
 
 
 def word_codes(line: Column, ranks: Column) -> Column:
@@ -74,11 +70,48 @@ def word_codes(line: Column, ranks: Column) -> Column:
         F.get(ranks, bucket(x)).cast("long"), 56).bitwiseOR(F.xxhash64(x).bitwiseAND(low))))
 
 
+def shifted(x: Column, by: Column, name: str = "shiftleft") -> Column:
+    return F.call_function(name, x, by.cast("int"))
+
+
+def parity(codes: Column) -> Column:
+    """Sixty-four bits: the parity of how many words fall on each."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shifted(one, x.bitwiseAND(63))))
+
+
+def table_of(df: DataFrame, key: str, value: str, size: int, none: Column) -> Column:
+    """A scalar array of ``size`` values from a grouped frame, ``none`` where a key is absent."""
+    every = df.sparkSession.range(size).select(F.col("id").alias(key))
+    full = every.join(df.select(F.col(key).cast("long").alias(key), value), key, "left").select(
+        key, F.coalesce(F.col(value), none).alias(value))
+    listed = full.agg(F.sort_array(F.collect_list(F.struct(key, value))).alias("x"))
+    return listed.select(F.transform("x", lambda x: x[value]).alias("x")).scalar()
+
+
+def among(wanted: DataFrame, cols: list[str]):
+    """A filter that passes every row of ``wanted`` (and few others while its 2**23 bits are sparse)."""
+    place = lambda: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    at = wanted.select(place().alias("h"))
+    words = at.groupBy(F.shiftright("h", 6).alias("w")).agg(
+        F.bit_or(shifted(F.lit(1).cast("long"), F.col("h").bitwiseAND(63))).alias("m"))
+    bits = table_of(words, "w", "m", FILTER_BITS // 64, F.lit(0).cast("long"))
+
+    def keep(df: DataFrame) -> DataFrame:
+        df = df.withColumn("__h", place()).withColumn("__bits", bits)
+        word = F.get("__bits", F.shiftright("__h", 6).cast("int"))
+        return df.filter(shifted(word, F.col("__h").bitwiseAND(63), "shiftrightunsigned").bitwiseAND(1) == 1).drop(
+            "__h", "__bits")
+
+    return keep
+
+
 def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, row, line_no, k1, k2, size, prefix) of every line, written.
+    """(doc_id, row, line_no, k1, k2, size, prefix, p) of every line, written.
 
     ``k1``/``k2`` are a 128-bit key of the word set, null for a line too short to
-    compare; ``prefix`` the 32-bit codes of its rarest words.
+    compare; ``prefix`` the 32-bit codes of its rarest words; ``p`` its parity
+    bits.
     """
     lines = text_lines(docs, id_col, text_col)
     ranks = rarity(lines)
@@ -91,7 +124,7 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     out = codes.select(
         "doc_id", "row", "line_no", F.when(long_enough, F.xxhash64("codes")).alias("k1"),
         F.when(long_enough, F.xxhash64(F.lit(1), "codes", F.lit(2))).alias("k2"), F.size("codes").alias("size"),
-        F.when(long_enough, prefix).alias("prefix"))
+        F.when(long_enough, prefix).alias("prefix"), F.when(long_enough, parity(F.col("codes"))).alias("p"))
     return written(out, "line-classes")
 
 
@@ -100,7 +133,7 @@ def class_table(lines: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no", "row")
     out = (lines.filter("k1 is not null").groupBy("k1", "k2")
            .agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"),
-                F.first("prefix").alias("prefix")))
+                F.first("prefix").alias("prefix"), F.first("p").alias("p")))
     return written(out.withColumn("cid", F.monotonically_increasing_id()), "line-class")
 
 
@@ -119,16 +152,22 @@ def candidates(classes: DataFrame) -> DataFrame:
     # at the first shared word no more than the rest of the shorter tail can be shared
     rest = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
     enough = (DEN + NUM) * rest >= NUM * (F.col("sa") + F.col("sb"))
-    return a.join(b, "word").filter(larger & alike & enough).groupBy("a", "b").agg(F.lit(1).alias("seen")).drop("seen")
+    pairs = a.join(b, "word").filter(larger & alike & enough).groupBy("a", "b").agg(F.lit(1).alias("seen"))
+    bits = [classes.select(F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("p").alias(f"p{x}")) for x in "ab"]
+    both = pairs.join(bits[0], "a").join(bits[1], "b")
+    differ = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb")))
+    return both.filter((DEN + NUM) * differ <= (DEN - NUM) * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of different classes (a, b) whose word sets have a Jaccard similarity of 0.8 or more; written."""
     pairs = written(candidates(classes), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    places = classes.join(wanted, "cid").select("cid", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"),
-                                                F.col("first.line_no").alias("l"))
-    lines = text_lines(docs, id_col, text_col)
+    places = written(classes.join(wanted, "cid").select(
+        "cid", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.line_no").alias("l")),
+        "line-places")
+    of = places.select(F.col("d").alias("doc_id"), F.col("r").alias("row"), F.col("l").alias("line_no"))
+    lines = among(of, ["doc_id", "row", "line_no"])(text_lines(docs, id_col, text_col))
     same = (lines["line_no"] == places["l"]) & (lines["row"] == places["r"]) & lines["doc_id"].eqNullSafe(places["d"])
     texts = written(lines.join(places, same).select("cid", "line").dropDuplicates(["cid"]), "line-texts")
     left = texts.select(F.col("cid").alias("a"), F.col("line").alias("la"))
