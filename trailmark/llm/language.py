@@ -48,6 +48,8 @@ def ngrams(text: str, longest: int = LONGEST) -> np.ndarray:
     """All n-grams (up to three characters of 21 bits) that hold a letter and no inner gap."""
     c = codes(text)
     out = [c[c != 32]]
+    if len(out[0]) == 0:
+        return out[0]
     key = c
     for n in range(2, longest + 1):
         key = (key[:-1] << np.uint64(21)) | c[n - 1:]
