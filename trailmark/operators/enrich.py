@@ -75,12 +75,17 @@ def referer_parser(df: DataFrame, referers: DataFrame, params: dict | None = Non
 # --- E04 IP anonymisation -----------------------------------------------------
 
 def anon_ip(df: DataFrame, params: dict | None = None, col: str = "user_ipaddress") -> DataFrame:
-    """Replace the last ``anonOctets`` octets of an IPv4 address by 'x'; other values unchanged."""
+    """Replace the last ``anonOctets`` octets of an IPv4 address, or ``anonSegments`` segments of an IPv6
+    address, by 'x'; values that are neither stay unchanged."""
     n = int((params or {}).get("anonOctets", 1))
+    k = int((params or {}).get("anonSegments", 1))
     parts = F.split(F.col(col), r"\.")
     masked = F.concat_ws(".", F.transform(parts, lambda x, i: F.when(i >= 4 - n, F.lit("x")).otherwise(x)))
-    from trailmark.functions.ip import IPV4_PATTERN
-    return df.withColumn(col, F.when(F.col(col).rlike(IPV4_PATTERN), masked).otherwise(F.col(col)))
+    from trailmark.functions.ip import IPV4_PATTERN, IPV6_PATTERN
+    parts6 = F.split(F.col(col), ":")
+    masked6 = F.concat_ws(":", F.transform(parts6, lambda x, i: F.when(i >= F.size(parts6) - k, F.lit("x")).otherwise(x)))
+    return df.withColumn(col, F.when(F.col(col).rlike(IPV4_PATTERN), masked)
+                         .when(F.col(col).rlike(IPV6_PATTERN), masked6).otherwise(F.col(col)))
 
 
 # --- E05 PII pseudonymisation -------------------------------------------------
@@ -183,10 +188,25 @@ def event_pipeline(df: DataFrame, enrichments: dict[str, dict], steps: dict) ->
 
     ``enrichments`` maps name -> configuration ``data`` object (``enabled`` +
     ``parameters``); ``steps`` maps name -> ``fn(df, parameters) -> df``.
-    Configurations are replaced by name, as one JSON file per enrichment.
+    Configurations are replaced by name, as one JSON file per enrichment.  An
+    enabled enrichment without a step (given or registered) raises: skipping it
+    silently would, say, leave identifiers in clear.  Steps outside the fixed
+    order run before the last one, pseudonymisation.
     """
-    for name in DEFAULT_ORDER:
-        conf = enrichments.get(name)
-        if conf and conf.get("enabled") and name in steps:
-            df = steps[name](df, conf.get("parameters", {}))
+    steps = _REGISTERED | steps
+    enabled = [name for name, conf in enrichments.items() if conf and conf.get("enabled")]
+    if lacking := sorted(set(enabled) - set(steps)):
+        raise ValueError(f"enabled enrichments without a step: {', '.join(lacking)}")
+    order = [*DEFAULT_ORDER[:-1], *[n for n in enabled if n not in DEFAULT_ORDER], DEFAULT_ORDER[-1]]
+    for name in order:
+        if name in enabled:
+            df = steps[name](df, enrichments[name].get("parameters", {}))
     return df
+
+
+_REGISTERED: dict = {}
+
+
+def register_enrichment(name: str, fn) -> None:
+    """Make ``fn(df, parameters) -> df`` the step of the enrichment called ``name``."""
+    _REGISTERED[name] = fn

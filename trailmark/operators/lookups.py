@@ -172,8 +172,9 @@ def sql_lookup_enrich(df: DataFrame, table: DataFrame, df_key: str, table_key: s
 def rate_lookup(df: DataFrame, rates: DataFrame, currency_col: str, date_col: str, base_currency: str = "EUR",
                 out: str = "rate") -> DataFrame:
     """Rate of ``currency`` at the close of the day before ``date_col`` (EOD_PRIOR); base currency = 1."""
-    r = rates.select(F.col("currency").alias("__c"), F.date_add(F.col("rate_date"), 1).alias("__d"),
-                     F.col("rate").alias("__r"))
+    # one rate per currency and day (the smallest of several), so that a lookup cannot multiply rows
+    r = rates.groupBy(F.col("currency").alias("__c"), F.date_add(F.col("rate_date"), 1).alias("__d")).agg(
+        F.min("rate").alias("__r"))
     r = bounded_broadcast(r)
     d = F.to_date(F.col(date_col))
     j = df.join(r, (df[currency_col] == r["__c"]) & (d == r["__d"]), "left")

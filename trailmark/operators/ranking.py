@@ -30,8 +30,14 @@ def top1_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def dedupe_events(df: DataFrame) -> DataFrame:
-    """One row per event_id, the earliest by collector then device time."""
-    return top1_per_group(df, ["event_id"], [asc("collector_tstamp"), asc("dvce_created_tstamp")])
+    """One row per event_id, the earliest by collector then device time (ties: least row hash).
+
+    The hash makes the surviving copy the same in a retried task.
+    """
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+             and "variant" not in f.dataType.simpleString()]
+    return top1_per_group(df, ["event_id"], [asc("collector_tstamp"), asc("dvce_created_tstamp"),
+                                             F.xxhash64(*plain).asc()])
 
 
 def dedupe_dimension(dim: DataFrame, key: str, order: str = "name") -> DataFrame:

@@ -267,8 +267,9 @@ def missing_schema_policy(events: DataFrame, catalog: DataFrame, schema_col: str
     j = events.join(keys, events[schema_col] == keys["__k"], "left")
     missing = F.col("__k").isNull()
     if exit_on_missing:
-        j = j.withColumn("__chk", F.when(missing, F.raise_error(F.concat(F.lit("missing schema "), F.col(schema_col)))))
-        return j.drop("__chk", "__k").withColumn("output", F.lit("good"))
+        # in the output itself: a column of its own would be pruned and never evaluated
+        why = F.concat(F.lit("missing schema "), F.coalesce(F.col(schema_col), F.lit("(none)")))
+        return j.withColumn("output", F.when(missing, F.raise_error(why).cast("string")).otherwise("good")).drop("__k")
     return j.withColumn("output", F.when(missing, "failed").otherwise("good")).drop("__k")
 
 
@@ -293,10 +294,6 @@ def upsert_schema_catalog(existing: DataFrame, published: DataFrame, allow_patch
     return tagged.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__new")
 
 
-def ensure_list(x) -> Sequence:
-    return x if isinstance(x, (list, tuple)) else [x]
-
-
 def violation_rows(df: DataFrame, col: str, schema: dict, keys: Sequence[str]) -> DataFrame:
     """One row per violation: ``keys`` + (path, keyword).
 

@@ -63,7 +63,14 @@ def session_aggs(events: DataFrame) -> DataFrame:
 
 
 def session_engaged_time(events: DataFrame, cfg: ModelConfig) -> DataFrame:
-    """Hb * (distinct (view, bucket) - pinged views) + pinged views * min_visit_length."""
+    """Engaged seconds of every session, 0 for those without pings."""
+    every = not_robot(events).filter(F.col(SID).isNotNull()).select(SID).distinct()
+    return every.join(pinged_time(events, cfg), SID, "left").select(
+        SID, F.coalesce("engaged_time_in_s", F.lit(0).cast("bigint")).alias("engaged_time_in_s"))
+
+
+def pinged_time(events: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """hb * (distinct (view, bucket) - pinged views) + pinged views * min_visit_length, of sessions with pings."""
     pings = not_robot(events.filter((F.col("event_name") == "page_ping") & F.col("view_id").isNotNull()))
     per_view = (pings.groupBy(SID, "view_id")
                 .agg(F.countDistinct(heartbeat_bucket(F.col("dvce_created_tstamp"), cfg.heartbeat)).alias("nb")))
@@ -126,7 +133,7 @@ def unified_sessions(events: DataFrame, cfg: ModelConfig, dims: dict[str, DataFr
     a = session_aggs(events).withColumnsRenamed({"start_tstamp": "a_start", "end_tstamp": "a_end",
                                                  "absolute_time_in_s": "a_abs"})
     j = (f.join(lasts, SID, "left").join(a, SID, "left")
-         .join(session_engaged_time(events, cfg), SID, "left")
+         .join(pinged_time(events, cfg), SID, "left")
          .join(event_counts(events), SID, "left"))
     starts_with_ping = c("event_name") == "page_ping"
     out = {

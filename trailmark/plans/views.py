@@ -19,10 +19,10 @@ def not_robot(df: DataFrame) -> DataFrame:
 
 
 def dedupe_views(events: DataFrame) -> DataFrame:
-    """page/screen views with a view id, one row per view_id (earliest)."""
+    """page/screen views with a view id, one row per view_id (earliest; ties: least event_id)."""
     v = not_robot(events.filter(F.col("event_name").isin("page_view", "screen_view")
                                 & F.col("view_id").isNotNull()))
-    return top1_per_group(v, ["view_id"], [asc("derived_tstamp"), asc("dvce_created_tstamp")])
+    return top1_per_group(v, ["view_id"], [asc("derived_tstamp"), asc("dvce_created_tstamp"), asc("event_id")])
 
 
 def view_aggs(events: DataFrame) -> DataFrame:

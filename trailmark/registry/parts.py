@@ -330,8 +330,7 @@ ORACLE = {
     "session_aggs": with_ctes(SESS, "SELECT session_identifier, a_start AS start_tstamp, a_end AS end_tstamp, "
                               "total_events, views, a_abs AS absolute_time_in_s FROM s_a"),
     "event_counts": with_ctes(SESS, "SELECT session_identifier, event_counts_string FROM s_a"),
-    "session_engaged_time": with_ctes(SESS, "SELECT session_identifier, a_eng AS engaged_time_in_s FROM s_a "
-                                      "WHERE a_eng > 0"),
+    "session_engaged_time": with_ctes(SESS, "SELECT session_identifier, coalesce(a_eng, 0) AS engaged_time_in_s FROM s_a"),
     "session_conversions": with_ctes(BASE, "SELECT session_identifier, "
                                      "count(CASE WHEN event_name = 'page_view' THEN 1 END) AS cv_view_page_volume, "
                                      "round(sum(CASE WHEN event_name = 'page_view' THEN coalesce(tr_total_base, 0.5) ELSE 0 END), 2) "
