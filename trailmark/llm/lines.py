@@ -29,7 +29,8 @@ from trailmark.llm.common import written
 LEAST_WORDS = 5
 BUCKETS = 1 << 20
 FILTER_BITS = 1 << 23
-SPACES = r"[\x20\x09-\x0D]+"
+#: white space within a line, besides the blank
+SPACES = "\t\x0b\x0c\r"
 #: similarity as whole numbers: NUM / DEN = 0.8
 NUM, DEN = 4, 5
 
@@ -38,19 +39,27 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def blanks(text: Column) -> Column:
+    """``text`` with a blank for each white space but the line ends: a split at one blank needs no regular expression."""
+    for x in SPACES:
+        text = F.replace(text, F.lit(x), F.lit(" "))
+    return text
+
+
 def words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(line, SPACES, -1)), "")
+    """Words of a line of ``blanks()``; those between two blanks are empty."""
+    return F.split(line, " ", -1)
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def bucket(word_hash: Column) -> Column:
+    return word_hash.bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, line_no, line) of every line; ``row`` tells texts that share an id."""
+    """(doc_id, row, line_no, line) of every line, with blanks for white space; ``row`` tells texts that share an id."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.select("doc_id", F.xxhash64("text").alias("row"),
-                       F.posexplode_outer(split_lines(F.col("text"))).alias("line_no", "line"))
+                       F.posexplode_outer(split_lines(blanks(F.col("text")))).alias("line_no", "line"))
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -58,7 +67,8 @@ def rarity(lines: DataFrame) -> Column:
 
     A scalar subquery over a grouped count of fixed size (four megabytes).
     """
-    counts = (lines.select(F.explode(F.split("line", SPACES, -1)).alias("word")).groupBy(bucket(F.col("word")).alias("b"))
+    counts = (lines.select(F.explode(words(F.col("line"))).alias("word"))
+              .groupBy(bucket(F.xxhash64("word")).alias("b"))
               .agg(F.floor(2 * F.log2(F.count("*"))).cast("int").alias("rank")))
     return table_of(counts, "b", "rank", BUCKETS, F.lit(0))
 
@@ -66,8 +76,9 @@ def rarity(lines: DataFrame) -> Column:
 def word_codes(line: Column, ranks: Column) -> Column:
     """The line's different words as sorted numbers: rarity in the top bits, 56 bits of hash below."""
     low = F.lit((1 << 56) - 1)
-    return F.sort_array(F.transform(words(line), lambda x: F.shiftleft(
-        F.get(ranks, bucket(x)).cast("long"), 56).bitwiseOR(F.xxhash64(x).bitwiseAND(low))))
+    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
+        F.get(ranks, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))))
 
 
 def shifted(x: Column, by: Column, name: str = "shiftleft") -> Column:
@@ -138,45 +149,43 @@ def class_table(lines: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes (a: not smaller than b) that share a prefix word and pass the length and positional filters.
+    """(a, b, s): pairs of classes (a: not smaller than b) and the sum of their sizes.
 
-    The larger line probes with its whole prefix (size - ceil(0.8 size) + 1
-    words), the smaller is found by its first size - ceil(8/9 size) + 1.
+    They share a prefix word and pass the length, positional and bitmap filters.
+    The prefix of a class is size - ceil(0.8 size) + 1 words; the positional
+    filter cuts it to what a pair of these two sizes needs.  Both sides are the
+    same postings, so they are dealt out once.
     """
-    post = classes.select("cid", "size", F.posexplode("prefix").alias("pos", "word"))
-    a = post.select("word", F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
-    b = (post.filter(F.col("pos") < F.floor(F.col("size") * (DEN - NUM) / (DEN + NUM)) + 1)
-         .select("word", F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb")))
+    post = classes.select("cid", "size", "p", F.posexplode("prefix").alias("pos", "word"))
+    a, b = (post.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
+                        F.col("p").alias(f"p{x}")) for x in "ab")
+    both = F.col("sa") + F.col("sb")
     larger = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))
     alike = DEN * F.col("sb") >= NUM * F.col("sa")
     # at the first shared word no more than the rest of the shorter tail can be shared
-    rest = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
-    enough = (DEN + NUM) * rest >= NUM * (F.col("sa") + F.col("sb"))
-    pairs = a.join(b, "word").filter(larger & alike & enough).groupBy("a", "b").agg(F.lit(1).alias("seen"))
-    bits = [classes.select(F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("p").alias(f"p{x}")) for x in "ab"]
-    both = pairs.join(bits[0], "a").join(bits[1], "b")
-    differ = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb")))
-    return both.filter((DEN + NUM) * differ <= (DEN - NUM) * (F.col("sa") + F.col("sb"))).select("a", "b")
+    enough = (DEN + NUM) * F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= NUM * both
+    near = (DEN + NUM) * F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (DEN - NUM) * both
+    return a.join(b, "word").filter(larger & alike & enough & near).groupBy("a", "b").agg(F.min(both).alias("s"))
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs of different classes (a, b) whose word sets have a Jaccard similarity of 0.8 or more; written."""
+def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
+          text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pairs of different classes (a, b) whose word sets have a Jaccard similarity of 0.8 or more, and the rows of
+    ``classes`` that are in candidate pairs; both written."""
     pairs = written(candidates(classes), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    places = written(classes.join(wanted, "cid").select(
-        "cid", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.line_no").alias("l")),
-        "line-places")
-    of = places.select(F.col("d").alias("doc_id"), F.col("r").alias("row"), F.col("l").alias("line_no"))
-    lines = among(of, ["doc_id", "row", "line_no"])(text_lines(docs, id_col, text_col))
-    same = (lines["line_no"] == places["l"]) & (lines["row"] == places["r"]) & lines["doc_id"].eqNullSafe(places["d"])
-    texts = written(lines.join(places, same).select("cid", "line").dropDuplicates(["cid"]), "line-texts")
+    places = written(classes.select("cid", "k1", "k2", "first", "n").join(wanted, "cid"), "line-places")
+    of = places.select("cid", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"),
+                       F.col("first.line_no").alias("l"))
+    lines = among(of.select(F.col("d").alias("doc_id"), F.col("r").alias("row"), F.col("l").alias("line_no")),
+                  ["doc_id", "row", "line_no"])(text_lines(docs, id_col, text_col))
+    same = (lines["line_no"] == of["l"]) & (lines["row"] == of["r"]) & lines["doc_id"].eqNullSafe(of["d"])
+    texts = written(lines.join(of, same).select("cid", "line").dropDuplicates(["cid"]), "line-texts")
     left = texts.select(F.col("cid").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("cid").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", words(F.col("la")).alias("wa"),
-                                                         words(F.col("lb")).alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return written(both.filter((DEN + NUM) * common >= NUM * (F.size("wa") + F.size("wb"))).select("a", "b"),
-                   "line-links")
+    common = F.size(F.array_intersect(F.array_remove(words(F.col("la")), ""), words(F.col("lb"))))
+    both = pairs.join(left, "a").join(right, "b")
+    return written(both.filter((DEN + NUM) * common >= NUM * F.col("s")).select("a", "b"), "line-links"), places
 
 
 def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -187,13 +196,14 @@ def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     lines = classed(docs, id_col, text_col, least)
     classes = class_table(lines)
-    pairs = links(docs, classes, id_col, text_col)
-    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    of = classes.select(F.col("cid").alias("b"), F.col("first").alias("f"), F.col("n").alias("m"))
+    pairs, places = links(docs, classes, id_col, text_col)
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    of = places.select(F.col("cid").alias("b"), F.col("first").alias("f"), F.col("n").alias("m"))
     linked = ways.join(of, "b").groupBy(F.col("a").alias("cid")).agg(F.min("f").alias("f"), F.sum("m").alias("m"))
-    full = classes.join(linked, "cid", "left").select(
-        "k1", "k2", F.least("first", F.coalesce("f", "first")).alias("f"),
-        (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    # lines of other classes match a class, and the lines of its own
+    others = places.join(linked, "cid").select("k1", "k2", F.least("first", "f").alias("f"), "m")
+    own = classes.filter("n > 1").select("k1", "k2", F.col("first").alias("f"), (F.col("n") - 1).alias("m"))
+    full = others.unionByName(own).groupBy("k1", "k2").agg(F.min("f").alias("f"), F.sum("m").alias("n_links"))
     before = (F.col("f.doc_id").isNull() & F.col("doc_id").isNotNull()) | (F.col("f.doc_id") < F.col("doc_id")) | (
         F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("f.line_no") < F.col("line_no")))
     removed = F.coalesce(F.col("f").isNotNull() & before, F.lit(False))
