@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -17,13 +18,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+
+    It drops them when the driver collects its garbage, which a driver with a
+    large heap may not do before a job of many steps ends.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back.
 
     Cuts the lineage: later steps read shared storage, so a lost executor costs
-    no recomputation of what came before.
+    no recomputation of what came before, and the shuffle files of the steps
+    before can go.
     """
     spark = df.sparkSession
+    release(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
