@@ -351,6 +351,8 @@ ORACLE = {
                                            "CROSS JOIN (VALUES (1), (2)) t(copy)"),
     "scan_lake_table": "SELECT * FROM events",
     "scan_csv_seed": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "sink_fan_out": with_ctes(ATOMIC, "SELECT event_id, app_id, collector_tstamp FROM atomic UNION ALL "
+                                      "SELECT event_id, app_id, collector_tstamp FROM atomic"),
     "append_windowed": SUBSET,
     "stream_load": SUBSET,
     "resume_from_checkpoint": SUBSET,
