@@ -9,7 +9,8 @@ Equal sets are one class.  A class is joined with others over its prefix: its
 words in order of rarity, of which so many come first that a match must share one
 of them.  Length and positional filters follow, then a bitmap filter (64 bits of
 word parity, of which two sets differ in no more than they differ in words), and
-then the Jaccard similarity of the whole word sets.  The order of rarity need only be the same for all lines, so
+then the Jaccard similarity of the whole word sets, words standing for themselves as
+64-bit hashes.  The order of rarity need only be the same for all lines, so
 word counts are kept in a table of fixed size (counts of hashed words), which is
 the only thing that every task gets.
 
@@ -51,8 +52,8 @@ def words(line: Column) -> Column:
     return F.split(line, " ", -1)
 
 
-def bucket(word_hash: Column) -> Column:
-    return word_hash.bitwiseAND(BUCKETS - 1).cast("int")
+def bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(BUCKETS - 1)
 
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,23 +63,38 @@ def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.posexplode_outer(split_lines(blanks(F.col("text")))).alias("line_no", "line"))
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(docs: DataFrame, text_col: str) -> Column:
     """Array of ``BUCKETS`` ranks: twice the binary logarithm of how many words of the corpus fall into each.
 
-    A scalar subquery over a grouped count of fixed size (four megabytes).
+    A scalar subquery over a grouped count of fixed size (four megabytes).  Line
+    ends part words too, so whole texts are split at once.
     """
-    counts = (lines.select(F.explode(words(F.col("line"))).alias("word"))
-              .groupBy(bucket(F.xxhash64("word")).alias("b"))
+    text = F.replace(blanks(F.col(text_col).cast("string")), F.lit("\n"), F.lit(" "))
+    counts = (docs.select(F.explode(words(text)).alias("word")).groupBy(bucket(F.col("word")).alias("b"))
               .agg(F.floor(2 * F.log2(F.count("*"))).cast("int").alias("rank")))
     return table_of(counts, "b", "rank", BUCKETS, F.lit(0))
 
 
 def word_codes(line: Column, ranks: Column) -> Column:
-    """The line's different words as sorted numbers: rarity in the top bits, 56 bits of hash below."""
-    low = F.lit((1 << 56) - 1)
-    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-        F.get(ranks, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))))
+    """The line's different words as sorted numbers: rarity in the top bits, 56 bits of hash below.
+
+    One function over the words makes the numbers; what follows is generated code
+    over arrays without nulls.
+    """
+    low, none = F.lit((1 << 56) - 1), F.lit(-1).cast("long")
+
+    def code(word: Column) -> Column:
+        # ``ranks`` stands here once: a second use would make it a column, copied with every line
+        rank = F.coalesce(F.get(ranks, bucket(word)), F.lit(0)).cast("long")
+        return F.when(word == "", none).otherwise(F.shiftleft(rank, 56).bitwiseOR(F.xxhash64(word).bitwiseAND(low)))
+
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words(line), code)), none))
+
+
+def word_hashes(line: Column) -> Column:
+    """The line's different words as 64-bit hashes."""
+    hashes = F.array_distinct(F.transform(words(line), lambda x: F.xxhash64(x)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
 def shifted(x: Column, by: Column, name: str = "shiftleft") -> Column:
@@ -125,7 +141,7 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     bits.
     """
     lines = text_lines(docs, id_col, text_col)
-    ranks = rarity(lines)
+    ranks = rarity(docs, text_col)
     codes = lines.withColumn("ranks", ranks).select("doc_id", "row", "line_no", word_codes(F.col("line"), F.col(
         "ranks")).alias("codes"))
     # the generator keeps the codes of a line from being computed once for each use
@@ -180,10 +196,11 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     lines = among(of.select(F.col("d").alias("doc_id"), F.col("r").alias("row"), F.col("l").alias("line_no")),
                   ["doc_id", "row", "line_no"])(text_lines(docs, id_col, text_col))
     same = (lines["line_no"] == of["l"]) & (lines["row"] == of["r"]) & lines["doc_id"].eqNullSafe(of["d"])
-    texts = written(lines.join(of, same).select("cid", "line").dropDuplicates(["cid"]), "line-texts")
-    left = texts.select(F.col("cid").alias("a"), F.col("line").alias("la"))
-    right = texts.select(F.col("cid").alias("b"), F.col("line").alias("lb"))
-    common = F.size(F.array_intersect(F.array_remove(words(F.col("la")), ""), words(F.col("lb"))))
+    found = lines.join(of, same).select("cid", word_hashes(F.col("line")).alias("words")).dropDuplicates(["cid"])
+    sets = written(found, "line-sets")
+    left = sets.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
+    common = F.size(F.array_intersect("wa", "wb"))
     both = pairs.join(left, "a").join(right, "b")
     return written(both.filter((DEN + NUM) * common >= NUM * F.col("s")).select("a", "b"), "line-links"), places
 
