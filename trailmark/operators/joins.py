@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.ranking import asc, top1_per_group
 
-# Largest dimension (rows) that is shipped to every task instead of shuffled.
-MAX_BROADCAST_ROWS = 2_000_000
-# Optimizer size estimate below which no row count is needed (in-memory / tiny inputs).
+# Largest dimension, by the optimizer's size estimate, that is shipped to every task.
 STATS_BOUND_BYTES = 8 * 1024 * 1024
 
 
@@ -21,17 +19,13 @@ def plan_size_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only when it is proven small; otherwise leave the join to a shuffle.
+def bounded_broadcast(dim: DataFrame, max_bytes: int = STATS_BOUND_BYTES) -> DataFrame:
+    """Hint a broadcast of ``dim`` where its size estimate is within ``max_bytes``; else leave the join as it is.
 
-    A tiny optimizer estimate is accepted as is; otherwise the rows are
-    counted (on the small, pruned dimension only, never the fact side).
+    For the range and pattern lists, whose joins have no equal key; no job is run.
     """
     size = plan_size_bytes(dim)
-    if size is not None and size <= STATS_BOUND_BYTES:
-        return F.broadcast(dim)
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
+    return F.broadcast(dim) if size is not None and size <= max_bytes else dim
 
 
 def keyed_dimension(dim: DataFrame, key: str, outputs: dict[str, str], order: str | None = None,
@@ -50,8 +44,8 @@ def dim_lookup(df: DataFrame, dim: DataFrame, left_col: str, dim_key: str, outpu
     """Case-insensitive left lookup: ``lower(df.left_col) = lower(dim.dim_key)``.
 
     The dimension is first reduced to one row per lowered key (so the lookup
-    can never multiply fact rows) and broadcast when small enough.
+    can never multiply fact rows); how it is joined is left to the optimizer.
     """
-    d = bounded_broadcast(keyed_dimension(dim, dim_key, outputs, order, prefix))
+    d = keyed_dimension(dim, dim_key, outputs, order, prefix)
     k = f"{prefix}_key"
     return df.join(d, F.lower(df[left_col]) == d[k], "left").drop(k)

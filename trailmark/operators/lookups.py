@@ -159,7 +159,6 @@ def sql_lookup_enrich(df: DataFrame, table: DataFrame, df_key: str, table_key: s
     """
     keyed = (table.groupBy(F.col(table_key).alias("__k"))
              .agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*columns), ignorenulls=False).alias("__row")))
-    keyed = bounded_broadcast(keyed)
     j = df.join(keyed, df[df_key] == keyed["__k"], "left")
     return (j.withColumns({
         out: F.when(F.col("__n") == 1, F.col("__row")),
@@ -175,7 +174,6 @@ def rate_lookup(df: DataFrame, rates: DataFrame, currency_col: str, date_col: st
     # one rate per currency and day (the smallest of several), so that a lookup cannot multiply rows
     r = rates.groupBy(F.col("currency").alias("__c"), F.date_add(F.col("rate_date"), 1).alias("__d")).agg(
         F.min("rate").alias("__r"))
-    r = bounded_broadcast(r)
     d = F.to_date(F.col(date_col))
     j = df.join(r, (df[currency_col] == r["__c"]) & (d == r["__d"]), "left")
     return j.withColumn(out, F.when(F.col(currency_col) == base_currency, F.lit(1.0)).otherwise(F.col("__r"))) \

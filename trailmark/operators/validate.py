@@ -21,7 +21,19 @@ FAILURE_SCHEMA = "iglu:com.snowplowanalytics.snowplow/failure/jsonschema/1-0-0"
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 FORMATS = {"email": EMAIL_PATTERN, "uuid": UUID_PATTERN,
-           "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"}
+           "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$",
+           "date": r"^\d{4}-\d{2}-\d{2}$",
+           "ipv4": r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(?!$)|$)){4}$",
+           "ipv6": r"^(?=.*:.*:)(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+                   r"|(?=.*::)([0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})$",
+           "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]*$"}
+# Keywords that the compiler applies, and those that only describe a schema; any other is refused.
+APPLIED = {"type", "enum", "const", "required", "properties", "additionalProperties", "patternProperties",
+           "maxProperties", "minProperties", "dependencies", "items", "additionalItems", "maxItems", "minItems",
+           "uniqueItems", "maxLength", "minLength", "pattern", "format", "maximum", "minimum", "exclusiveMaximum",
+           "exclusiveMinimum", "multipleOf", "oneOf", "anyOf", "allOf", "not"}
+DESCRIPTIVE = {"$schema", "$id", "id", "$comment", "self", "title", "description", "default", "examples",
+               "definitions", "deprecated", "$supersedes", "$supersededBy"}
 
 
 # --- V01 / V02 / V04 ------------------------------------------------------------
@@ -110,9 +122,11 @@ def compile_schema(schema: dict, v: Column, path: str = "$", b: _Bindings | None
     """(violated?, path, keyword) triples for ``schema`` applied to VARIANT ``v``.
 
     Keywords: type, enum, const, required, properties, additionalProperties,
-    patternProperties, maxProperties, minProperties, items, maxItems,
-    minItems, maxLength, minLength, pattern, format, maximum, minimum,
-    exclusiveMaximum, exclusiveMinimum, multipleOf, oneOf, anyOf, allOf, not.
+    patternProperties, maxProperties, minProperties, dependencies, items (one
+    schema or one per place), additionalItems, maxItems, minItems, uniqueItems,
+    maxLength, minLength, pattern, format, maximum, minimum, exclusiveMaximum,
+    exclusiveMinimum, multipleOf, oneOf, anyOf, allOf, not.  Any other keyword
+    (``$ref`` too) and an unknown format raise ``ValueError``.
     Absent values violate nothing (only ``required`` looks at absence).
     With bindings ``b`` every derived value (type, number, string, array,
     object, property value) becomes a shared helper column.
@@ -120,8 +134,16 @@ def compile_schema(schema: dict, v: Column, path: str = "$", b: _Bindings | None
     def bind(expr):
         return b.bind(expr, level + 1) if b is not None else expr
 
+    def broken(sub, x, at):
+        """Does ``x`` violate ``sub``?"""
+        conds = [F.coalesce(c, F.lit(False)) for c, _, _ in compile_schema(sub, x, at)]
+        return F.array_contains(F.array(*conds), True) if conds else F.lit(False)
+
     out: list[tuple[Column, str, str]] = []
     keys = set(schema)
+    unknown = sorted(keys - APPLIED - DESCRIPTIVE)
+    if unknown:
+        raise ValueError(f"schema keywords not supported at {path}: {', '.join(unknown)}")
     jt = bind(json_type(v))
     present = v.isNotNull()
     num = bind(F.try_variant_get(v, "$", "double")) if keys & {"maximum", "minimum", "exclusiveMaximum",
@@ -155,25 +177,40 @@ def compile_schema(schema: dict, v: Column, path: str = "$", b: _Bindings | None
         out.append((is_str & (F.char_length(s) < schema["minLength"]), path, "minLength"))
     if "pattern" in schema:
         out.append((is_str & ~s.rlike(schema["pattern"]), path, "pattern"))
-    if "format" in schema and schema["format"] in FORMATS:
+    if "format" in schema:
+        if schema["format"] not in FORMATS:
+            raise ValueError(f"format not supported at {path}: {schema['format']}")
         out.append((is_str & ~s.rlike(FORMATS[schema["format"]]), path, "format"))
 
-    if keys & {"maxItems", "minItems", "items"}:
+    if keys & {"maxItems", "minItems", "items", "uniqueItems"}:
         arr = bind(F.try_variant_get(v, "$", "array<variant>"))
         if "maxItems" in schema:
             out.append(((jt == "array") & (F.size(arr) > schema["maxItems"]), path, "maxItems"))
         if "minItems" in schema:
             out.append(((jt == "array") & (F.size(arr) < schema["minItems"]), path, "minItems"))
-        if isinstance(schema.get("items"), dict):
-            sub = schema["items"]
-            bad = F.exists(arr, lambda x: F.array_contains(
-                F.array(*[F.coalesce(c, F.lit(False)) for c, _, _ in compile_schema(sub, x, f"{path}[*]")]
-                        or [F.lit(False)]), True))
+        if schema.get("uniqueItems"):
+            same = F.size(F.array_distinct(F.transform(arr, lambda x: F.coalesce(F.to_json(x), F.lit("null"))))) < F.size(arr)
+            out.append(((jt == "array") & same, path, "uniqueItems"))
+        items = schema.get("items")
+        if isinstance(items, dict):
+            bad = F.exists(arr, lambda x: broken(items, x, f"{path}[*]"))
             out.append(((jt == "array") & F.coalesce(bad, F.lit(False)), f"{path}[*]", "items"))
+        elif isinstance(items, list):
+            for i, sub in enumerate(items):
+                out.extend(compile_schema(sub, bind(F.try_variant_get(v, f"$[{i}]", "variant")), f"{path}[{i}]", b,
+                                          level + 1))
+            more = schema.get("additionalItems", True)
+            if more is False:
+                out.append(((jt == "array") & (F.size(arr) > len(items)), path, "additionalItems"))
+            elif isinstance(more, dict):
+                rest = F.slice(arr, len(items) + 1, F.greatest(F.size(arr), F.lit(0)))
+                out.append(((jt == "array") & F.coalesce(F.exists(rest, lambda x: broken(more, x, path)), F.lit(False)),
+                            path, "additionalItems"))
 
     props = schema.get("properties", {})
     pattern_props = schema.get("patternProperties", {})
-    if keys & {"required", "maxProperties", "minProperties", "patternProperties", "additionalProperties"}:
+    if keys & {"required", "maxProperties", "minProperties", "patternProperties", "additionalProperties",
+               "dependencies"}:
         obj = bind(F.try_variant_get(v, "$", "map<string,variant>"))
         is_obj = jt == "object"
         for k in schema.get("required", []):
@@ -184,16 +221,23 @@ def compile_schema(schema: dict, v: Column, path: str = "$", b: _Bindings | None
             out.append((is_obj & (F.size(obj) < schema["minProperties"]), path, "minProperties"))
         for pat, sub in pattern_props.items():
             matching = F.map_filter(obj, lambda k, _: k.rlike(pat))
-            bad = F.exists(F.map_values(matching), lambda x: F.array_contains(
-                F.array(*[F.coalesce(c, F.lit(False)) for c, _, _ in compile_schema(sub, x, path)]
-                        or [F.lit(False)]), True))
+            bad = F.exists(F.map_values(matching), lambda x: broken(sub, x, path))
             out.append((is_obj & F.coalesce(bad, F.lit(False)), path, "patternProperties"))
-        if schema.get("additionalProperties") is False:
+        more = schema.get("additionalProperties", True)
+        if more is False or isinstance(more, dict):
             known = list(props)
-            extra = F.filter(F.map_keys(obj), lambda k: ~k.isin(*known) if known else F.lit(True))
+            extra = F.map_filter(obj, lambda k, _: ~k.isin(*known) if known else F.lit(True))
             for pat in pattern_props:
-                extra = F.filter(extra, lambda k, pat=pat: ~k.rlike(pat))
-            out.append((is_obj & (F.size(extra) > 0), path, "additionalProperties"))
+                extra = F.map_filter(extra, lambda k, _: ~k.rlike(pat))
+            bad = F.size(extra) > 0 if more is False else F.coalesce(
+                F.exists(F.map_values(extra), lambda x: broken(more, x, path)), F.lit(False))
+            out.append((is_obj & bad, path, "additionalProperties"))
+        for k, needs in schema.get("dependencies", {}).items():
+            held = is_obj & F.map_contains_key(obj, k)
+            if isinstance(needs, dict):
+                out.append((held & broken(needs, v, path), path, "dependencies"))
+            else:
+                out.extend((held & ~F.map_contains_key(obj, x), path, "dependencies") for x in needs)
     for k, sub in props.items():
         pv = bind(F.try_variant_get(v, _jpath("$", k), "variant"))
         out.extend(compile_schema(sub, pv, _jpath(path, k), b, level + 1))
@@ -216,7 +260,7 @@ def compile_schema(schema: dict, v: Column, path: str = "$", b: _Bindings | None
 
 def json_literal(x) -> str:
     import json
-    return json.dumps(x, separators=(",", ":"))
+    return json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
 
 
 def validate_json(df: DataFrame, col: str, schema: dict, out: str = "errors") -> DataFrame:

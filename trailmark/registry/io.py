@@ -110,13 +110,9 @@ def q_event_to_json(s, sf):
                          F.get_json_object(j, "$.mkt_medium").alias("mkt_medium"))
 
 
-def _subset(s, sf):
-    return atomic(s, sf).select("event_id", "app_id", "collector_tstamp")
-
-
 def q_sink_fan_out(s, sf):
     p1, p2 = scratch(s, "fan1"), scratch(s, "fan2")
-    lake.sink_fan_out(_subset(s, sf), [lambda d: lake.write_events(d, p1), lambda d: lake.write_events(d, p2)])
+    lake.sink_fan_out(atomic(s, sf), [lambda d: lake.write_events(d, p1), lambda d: lake.write_events(d, p2)])
     return s.read.parquet(p1).unionByName(s.read.parquet(p2))
 
 
@@ -135,10 +131,10 @@ def q_scan_csv_seed(s, sf):
     return read_seed_csv(s, p, "n_nationkey int, n_name string, n_regionkey int")
 
 
-def _stream_subset(s, sf, parts=1):
-    """Fixture subset written as parquet files for a file stream source."""
+def _stream_source(s, sf, parts=1):
+    """Fixture events, whole rows, written as parquet files for a file stream source."""
     src = scratch(s, "src")
-    sub = _subset(s, sf)
+    sub = atomic(s, sf)
     if parts == 1:
         sub.write.parquet(src)
     else:
@@ -147,7 +143,7 @@ def _stream_subset(s, sf, parts=1):
 
 
 def q_append_windowed(s, sf):
-    src, sub = _stream_subset(s, sf)
+    src, sub = _stream_source(s, sf)
     out, ck = scratch(s, "lake"), scratch(s, "ck")
     q = T.stream_load(s.readStream.schema(sub.schema).parquet(src), out, ck, trigger="availableNow")
     q.awaitTermination()
@@ -156,7 +152,7 @@ def q_append_windowed(s, sf):
 
 def q_resume_from_checkpoint(s, sf):
     """Two availableNow runs with new files in between == one run over everything."""
-    src, sub = _stream_subset(s, sf, parts=2)
+    src, sub = _stream_source(s, sf, parts=2)
     out, ck = scratch(s, "lake"), scratch(s, "ck")
     T.stream_load(s.readStream.schema(sub.schema).parquet(src), out, ck, trigger="availableNow").awaitTermination()
     sub.filter(_n() % 2 == 1).write.mode("append").parquet(src)
@@ -193,7 +189,7 @@ def q_skip_schemas(s, sf):
 
 def q_write_parquet_snappy(s, sf):
     p = scratch(s, "snappy")
-    lake.write_events(_subset(s, sf), p, mode="overwrite", compression="snappy")
+    lake.write_events(atomic(s, sf), p, mode="overwrite", compression="snappy")
     return s.read.parquet(p)
 
 
@@ -230,7 +226,7 @@ def q_incomplete_same_table(s, sf):
 
 
 def q_stream_dedupe(s, sf):
-    src, sub = _stream_subset(s, sf)
+    src, sub = _stream_source(s, sf)
     out, ck = scratch(s, "dedup"), scratch(s, "ck")
     st = T.stream_dedupe(s.readStream.schema(sub.schema).parquet(src))
     T.stream_load(st, out, ck, trigger="availableNow").awaitTermination()
@@ -329,7 +325,7 @@ ROUTED_SQL = (
     "FROM lines WHERE stream <> 'enriched-bad' "
     f"UNION ALL SELECT stream, '{BAD_SCHEMA}', src_event_id, NULL, NULL, NULL FROM lines WHERE stream = 'enriched-bad'")
 
-SUBSET = with_ctes(ATOMIC, "SELECT event_id, app_id, collector_tstamp FROM atomic")
+WHOLE = with_ctes(ATOMIC, "SELECT * FROM atomic")
 SKIP_SQL = (f"SELECT event_id, 'iglu:com.acme/' || event_name || '/jsonschema/1-' || CAST({_N} % 3 AS VARCHAR) || '-' || "
             f"CAST({_N} % 2 AS VARCHAR) AS schema FROM atomic")
 STREAM_SQL = f"CASE {_N} % 3 WHEN 0 THEN 'enriched-good' WHEN 1 THEN 'enriched-incomplete' ELSE 'enriched-bad' END"
@@ -351,12 +347,11 @@ ORACLE = {
                                            "CROSS JOIN (VALUES (1), (2)) t(copy)"),
     "scan_lake_table": "SELECT * FROM events",
     "scan_csv_seed": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
-    "sink_fan_out": with_ctes(ATOMIC, "SELECT event_id, app_id, collector_tstamp FROM atomic UNION ALL "
-                                      "SELECT event_id, app_id, collector_tstamp FROM atomic"),
-    "append_windowed": SUBSET,
-    "stream_load": SUBSET,
-    "resume_from_checkpoint": SUBSET,
-    "write_parquet_snappy": SUBSET,
+    "sink_fan_out": with_ctes(ATOMIC, "SELECT * FROM atomic UNION ALL SELECT * FROM atomic"),
+    "append_windowed": WHOLE,
+    "stream_load": WHOLE,
+    "resume_from_checkpoint": WHOLE,
+    "write_parquet_snappy": WHOLE,
     "batch_by_size_or_delay": with_ctes(ATOMIC, "SELECT event_id, collector_tstamp, batch_window, CAST(floor((sum(sz) OVER (PARTITION BY "
                                                 "batch_window ORDER BY collector_tstamp, event_id ROWS UNBOUNDED PRECEDING) - 1) / 2000) "
                                                 "AS BIGINT) AS batch_no FROM (SELECT *, time_bucket(INTERVAL '1 minute', collector_tstamp) "

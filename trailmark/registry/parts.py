@@ -174,11 +174,12 @@ def q_limit_lookup(s, sf):
 
 
 def q_count_by_app(s, sf):
-    return events(s, sf).groupBy("app_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("app_id"))
+    """All raw events, no app filter, so that several applications are counted and sorted."""
+    return atomic(s, sf).groupBy("app_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("app_id"))
 
 
 def q_count_events(s, sf):
-    return events(s, sf).agg(F.count(F.lit(1)).alias("n"))
+    return atomic(s, sf).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -340,8 +341,8 @@ ORACLE = {
                                      "FROM events_m WHERE NOT coalesce(iab__spider_or_robot, false) GROUP BY session_identifier"),
     "users_aggs": with_ctes(USERS, om.users_aggs_select()),
     "first_last_session_pick": with_ctes(USERS, "SELECT user_identifier, first_session_identifier, last_session_identifier FROM ua"),
-    "count_by_app": with_ctes(BASE, "SELECT app_id, count(*) AS n FROM events_m GROUP BY app_id ORDER BY app_id DESC"),
-    "count_events": with_ctes(BASE, "SELECT count(*) AS n FROM events_m"),
+    "count_by_app": with_ctes(base_ctes()[:2], "SELECT app_id, count(*) AS n FROM atomic GROUP BY app_id ORDER BY app_id DESC"),
+    "count_events": with_ctes(base_ctes()[:2], "SELECT count(*) AS n FROM atomic"),
     "view_aggs": with_ctes(BASE, "SELECT DISTINCT view_id, session_identifier FROM events_m "
                            "WHERE NOT coalesce(iab__spider_or_robot, false)"),
     "dedupe_events": with_ctes(ATOMIC_ONLY, "SELECT event_id, collector_tstamp FROM atomic QUALIFY row_number() OVER "

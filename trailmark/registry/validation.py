@@ -128,6 +128,13 @@ def _props_errors(spark, sf):
     return V.validate_json(read_table(spark, sf, "events"), "props", {"properties": {"k": {"maximum": 50}}})
 
 
+def q_incomplete_predicate(s, sf):
+    """Good and incomplete events in one table; the predicate keeps those that hold a failure entity."""
+    outputs = V.split_good_bad_incomplete(_props_errors(s, sf))
+    both = outputs["good"].unionByName(outputs["incomplete"], allowMissingColumns=True)
+    return both.filter(F.col("derived_contexts_failures").isNotNull()).select("event_id")
+
+
 def q_split(s, sf):
     outs = V.split_good_bad_incomplete(_props_errors(s, sf))
     return outs["good"].select("event_id", F.lit("good").alias("output")).unionByName(
@@ -202,8 +209,7 @@ QUERIES.update({
     "missing_schema_policy": q_missing_schema,
     "resolve_schema": q_resolve,
     "upsert_schema_catalog": q_upsert,
-    "incomplete_predicate": lambda s, sf: V.split_good_bad_incomplete(_props_errors(s, sf))["incomplete"]
-        .filter(F.col("derived_contexts_failures").isNotNull()).select("event_id"),
+    "incomplete_predicate": q_incomplete_predicate,
     "like_schema_filter": lambda s, sf: tsv.route_by_stream(enriched_lines(s, sf))
         .filter(F.col("schema").like("%good%")).select("event_id", "schema"),
 })

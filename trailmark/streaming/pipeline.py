@@ -60,10 +60,11 @@ def latency_health(df: DataFrame, processed_col: str, received_col: str, period:
     """Max latency (processed - received, seconds) per period and an unhealthy flag."""
     from trailmark.functions.timeutil import epoch_micros
 
+    at = processed_col
     if watermark and df.isStreaming:
-        df = df.withWatermark(processed_col, watermark)
+        df, at = with_event_time(df, processed_col, watermark), "__event_time"
     lat = (epoch_micros(F.col(processed_col)) - epoch_micros(F.col(received_col))) / 1e6
-    return (df.groupBy(F.window(F.col(processed_col), period).alias("w"))
+    return (df.groupBy(F.window(F.col(at), period).alias("w"))
             .agg(F.max(lat).alias("max_latency_s"))
             .select(F.col("w.start").alias("period_start"), "max_latency_s",
                     (F.col("max_latency_s") > threshold_s).alias("unhealthy")))
