@@ -30,6 +30,8 @@ from trailmark.llm.common import written
 LEAST_WORDS = 5
 BUCKETS = 1 << 20
 FILTER_BITS = 1 << 23
+#: pairs are confirmed in so many blocks, so that this part of their word sets lies in shuffle files at a time
+BLOCKS = 4
 #: white space within a line, besides the blank
 SPACES = "\t\x0b\x0c\r"
 #: similarity as whole numbers: NUM / DEN = 0.8
@@ -201,8 +203,13 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     left = sets.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
     right = sets.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return written(both.filter((DEN + NUM) * common >= NUM * F.col("s")).select("a", "b"), "line-links"), places
+    out = None
+    for i in range(BLOCKS):
+        here = F.pmod(F.xxhash64("a"), F.lit(BLOCKS)) == i
+        both = pairs.filter(here).join(left.filter(here), "a").join(right, "b")
+        part = written(both.filter((DEN + NUM) * common >= NUM * F.col("s")).select("a", "b"), "line-links")
+        out = part if out is None else out.unionByName(part)
+    return out, places
 
 
 def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
