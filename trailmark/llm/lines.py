@@ -44,9 +44,11 @@ def split_lines(text: Column) -> Column:
 
 def blanks(text: Column) -> Column:
     """``text`` with a blank for each white space but the line ends: a split at one blank needs no regular expression."""
+    out = text
     for x in SPACES:
-        text = F.replace(text, F.lit(x), F.lit(" "))
-    return text
+        out = F.replace(out, F.lit(x), F.lit(" "))
+    # one look at the text spares those without such characters a pass for each
+    return F.when(text.rlike(f"[{SPACES}]"), out).otherwise(text)
 
 
 def words(line: Column) -> Column:
