@@ -252,6 +252,8 @@ ORACLE = {
                                           f"SELECT event_id, 'dnt', '1' FROM atomic WHERE {_N} % 7 = 0"),
     "http_header_extractor": with_ctes(ATOMIC, f"SELECT event_id, 'User-Agent' AS name, useragent AS value FROM atomic "
                                                f"UNION ALL SELECT event_id, 'Host', {HOST_SQL} FROM atomic"),
+    "custom_script": with_ctes(ATOMIC, "SELECT event_id, coalesce(event_name, '') || ':' || coalesce(platform, '') "
+                                       "AS script_context FROM atomic"),
     "do_not_track_filter": with_ctes(ATOMIC, f"SELECT event_id FROM atomic WHERE {_N} % 7 <> 0"),
     "cross_navigation": with_ctes(ATOMIC, f"SELECT event_id, CASE WHEN {_N} % 3 = 0 THEN domain_userid END AS refr_domain_userid, "
                                           f"CASE WHEN {_N} % 3 = 0 THEN make_timestamp((epoch_us(derived_tstamp) // 1000) * 1000) END "
