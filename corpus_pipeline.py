@@ -14,8 +14,8 @@ def quality_filter(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines that match an earlier line go, and documents that consist of such lines only."""
-    return lines.clean(docs)
+    """Lines that match an earlier line go, short ones too, and documents that consist of such lines only."""
+    return lines.clean(docs, least=1)
 
 
 def near_dedup(spark, docs, sf_dir):

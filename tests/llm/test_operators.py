@@ -178,6 +178,33 @@ def test_line_dedup_against_brute_force(spark):
         assert left.get(i, "") == ("" if t is None and left.get(i) == "" else (left.get(i) if t is None else "\n".join(rest))) or not rest
 
 
+def test_pipeline_line_dedup_compares_short_lines(spark):
+    """Against brute force without a least number of words; four words match five that hold them."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(words(rng, rng.randrange(0, 8), 6)) for _ in range(rng.randrange(1, 5))) or "w0")
+            for i in range(30)]
+    rows += [(40, "All rights reserved."), (41, "new line here\nAll rights reserved.\n\n日本語"), (42, "日本語\nreserved. All rights"),
+             (43, "p q r s"), (44, "p q r s t\np q r")]
+    alike = lambda x, y: x and y and 5 * len(x & y) >= 4 * len(x | y)
+    before, want = [], {}
+    for i, t in rows:
+        rest, own, lost = [], [], False
+        for line in t.split("\n"):
+            x = set(line.split())
+            gone = any(alike(x, y) for y in before + own)
+            lost |= gone
+            rest += [] if gone else [line]
+            own.append(x)
+        before += own
+        if not lost or "\n".join(rest).strip(" "):
+            want[i] = "\n".join(rest)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
+    assert got == want
+    assert 42 not in got and got[41] == "new line here\n\n日本語" and got[44] == "p q r"
+
+
 def test_compact_windows_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(20):

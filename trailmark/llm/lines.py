@@ -3,7 +3,8 @@
 A line is the set of its white-space separated words.  Two lines match if the
 Jaccard similarity of their sets is 0.8 or more, and a line is removed if a line
 before it (smaller document id, or same document and smaller line number) matches
-it.  Lines of fewer than five different words are never compared.
+it.  Lines of fewer than ``least`` different words are never compared: five by
+default, as in the query's SQL; the pipeline compares every line of a word or more.
 
 Equal sets are one class.  A class is joined with others over its prefix: its
 words in order of rarity, of which so many come first that a match must share one
@@ -174,9 +175,10 @@ def candidates(classes: DataFrame) -> DataFrame:
     They share a prefix word and pass the length, positional and bitmap filters.
     The prefix of a class is size - ceil(0.8 size) + 1 words; the positional
     filter cuts it to what a pair of these two sizes needs.  Both sides are the
-    same postings, so they are dealt out once.
+    same postings, so they are dealt out once.  Sets of fewer than four words match
+    equal sets only, which are one class.
     """
-    post = classes.select("cid", "size", "p", F.posexplode("prefix").alias("pos", "word"))
+    post = classes.filter((DEN - NUM) * F.col("size") >= NUM).select("cid", "size", "p", F.posexplode("prefix").alias("pos", "word"))
     a, b = (post.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
                         F.col("p").alias(f"p{x}")) for x in "ab")
     both = F.col("sa") + F.col("sb")
