@@ -360,6 +360,30 @@ def test_html_extraction(spark):
     assert got[21] == ["Words 1 of the page"]  # the branch that all pages share is gone
 
 
+def test_html_names_are_evidence_only(spark):
+    """Names never cost a page its article or most of its text; what all pages share goes by the tree."""
+    menu, foot = "<nav>Home News</nav>", "<footer>&copy; 2024</footer>"
+    body = lambda i: f"<h1>Title {i}</h1><p>Text {i} of the page goes on for some words.</p>"
+    main = lambda i: f"Title {i}\n\nText {i} of the page goes on for some words."
+    shapes = {
+        "sidebar": lambda i: f"<div class='with-sidebar'>{menu}<article>{body(i)}</article></div>{foot}",
+        "widget": lambda i: f"{menu}<div class='elementor-widget'><article>{body(i)}</article></div>{foot}",
+        "form": lambda i: f"<form>{menu}<div id='content'>{body(i)}</div>{foot}</form>",
+        "hidden": lambda i: f"<div style='visibility:hidden'>{menu}<main>{body(i)}</main></div>",
+        "teaser": lambda i: f"{menu}<div id='content'>{body(i)}</div><aside><article>Teaser {i}</article></aside>{foot}",
+        "advert": lambda i: f"{menu}<article>{body(i)}</article><div class='ad'>Buy {i} now</div>{foot}",
+        "plain": lambda i: f"<div class='top'>Home News</div><article>{body(i)}<div>Thank you for reading</div></article>"}
+    rows = [(100 * k + i, f"https://{name}.example/{i}", f"<html><body>{f(i)}</body></html>")
+            for k, (name, f) in enumerate(shapes.items()) for i in range(5)]
+    # a single page of its host, and a teaser article beside the main text
+    rows += [(1000 + k, f"https://one-{name}.example/", f(0)) for k, (name, f) in enumerate(shapes.items()) if name != "plain"]
+    rows += [(2000, "https://alone.example/", f"<article>Teaser</article><div id='content'>{body(0)}</div>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in got if i < 1000} == {i: main(i % 100) for i, _, _ in rows if i < 1000}
+    assert {i: got[i] for i in got if 1000 <= i < 2000} == {i: main(0) for i, _, _ in rows if 1000 <= i < 2000}
+    assert got[2000] == "Teaser\n\n" + main(0)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")

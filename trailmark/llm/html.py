@@ -5,8 +5,15 @@ their presentation attributes).  For each node the tree holds how its pages
 present it (sequence of its child elements) and what they write in it.  The
 entropies of the two say how much the node tells a page from others: a branch
 that looks and reads the same on most pages of the host is furniture and is
-removed from each page.  Elements that name themselves as furniture (menus,
-footers, adverts, forms, comments ...) go on any host, also with a single page.
+removed from each page.  Every element with readable text enters the tree,
+whatever its name.
+
+Names are evidence only, weighed after the tree, on any host, also with a single
+page: of what is left, an element that names itself as furniture (menus, footers,
+adverts, forms, comments ...) goes, unless it holds the page's article or more
+than half of the text left.  The page's article is the longest <article> or <main>,
+if it is longer than the text outside it that no name tells as furniture.  Where
+articles hold half of the rest or more, what is outside them goes too.
 
 Statistics are ordinary grouped sums, so a host with a third of all pages is
 counted in parts; the nodes found unimportant (few a host) are joined back to the
@@ -39,8 +46,11 @@ SALTS = 32
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt
     ruby s samp small span strike strong sub sup time tt u var wbr""".split())
-DROPPED = set("""head script style noscript template nav footer aside form button select option textarea iframe
-    object svg canvas audio video dialog menu input fieldset datalist map""".split())
+#: what is in these is no text of the page
+DROPPED = set("""head script style noscript template button select option textarea iframe object svg canvas audio
+    video input datalist map""".split())
+#: elements that name themselves as furniture by their tag, or by a token of class, id or role
+FURNITURE = set("nav footer aside form dialog menu fieldset".split())
 NAMES = set("""ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion
     nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer header masthead banner
     comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification
@@ -71,15 +81,18 @@ def node_name(tag: str, attrs: list) -> tuple[str, bool]:
 
 
 class Page(HTMLParser):
-    """Blocks of a page in order: (path, text, inside an article, furniture by name)."""
+    """Blocks of a page in order: (path, text, the open elements that are furniture by name or an article).
+
+    Such an element is its number, negative for furniture; outer ones come first.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # [tag, path, dropped, in article, child names]
-        self.blocks: list[tuple[str, str, bool]] = []
+        self.stack: list[list] = []  # [tag, path, dropped, marks, child names]
+        self.blocks: list[tuple[str, str, tuple[int, ...]]] = []
         self.styles: list[tuple[str, str]] = []
         self.text: list[str] = []
-        self.has_article = False
+        self.n_marks = 0
         self.feed(html)
         self.close()
         self.end_block()
@@ -87,14 +100,14 @@ class Page(HTMLParser):
             self.pop()
 
     def top(self):
-        return self.stack[-1] if self.stack else ["", "", False, False, []]
+        return self.stack[-1] if self.stack else ["", "", False, (), []]
 
     def end_block(self):
         text = " ".join("".join(self.text).split())
         self.text = []
-        _, path, dropped, article, _ = self.top()
+        _, path, dropped, marks, _ = self.top()
         if text and not dropped:
-            self.blocks.append((path, text, article))
+            self.blocks.append((path, text, marks))
 
     def pop(self):
         _, path, dropped, _, children = self.stack.pop()
@@ -129,18 +142,22 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         name, furniture = node_name(tag, attrs)
-        _, path, dropped, article, children = self.top()
+        _, path, dropped, marks, children = self.top()
+        article = tag in ("article", "main")
+        if article:
+            furniture &= bool(set(re.split(r"[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+                                           .lower())) & {"comment", "comments", "reply", "ad", "ads", "advert", "related",
+                                                         "sponsored", "promo"})
+        elif tag in ("html", "body"):
+            furniture = False
         # an article's own header may hold its title; any other header is the site's
-        drop = dropped or tag in DROPPED or furniture and tag not in ("html", "body", "article", "main") or (
-            tag == "header" and not article)
-        if furniture and tag in ("article", "main") and not drop:
-            drop = bool(set(re.split(r"[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-                                     .lower())) & {"comment", "comments", "reply", "ad", "ads", "advert", "related",
-                                                   "sponsored", "promo"})
+        elif tag in FURNITURE or tag == "header" and all(x < 0 for x in marks):
+            furniture = True
+        if furniture or article:
+            self.n_marks += 1
+            marks += (-self.n_marks if furniture else self.n_marks,)
         children.append(name)
-        inside = not drop and (article or tag in ("article", "main"))
-        self.has_article |= inside
-        self.stack.append([tag, f"{path}/{name}", drop, inside, []])
+        self.stack.append([tag, f"{path}/{name}", dropped or tag in DROPPED, marks, []])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -167,9 +184,31 @@ class Page(HTMLParser):
         if not self.top()[2]:
             self.text.append(data)
 
-    def main(self) -> list[tuple[str, str]]:
-        """The blocks that can be main text: those in articles if the page has any."""
-        return [(p, t) for p, t, article in self.blocks if article or not self.has_article]
+    def main(self, gone: frozenset | set = frozenset()) -> list[tuple[str, str]]:
+        """The blocks of the main text, given the paths that the tree found to be furniture."""
+        blocks = [x for x in self.blocks if x[0] not in gone]
+        size, own = {}, {}  # text in an element; in an article, without what is furniture by name in it
+        total = plain = 0
+        for _, text, marks in blocks:
+            n, inner = len(text), True
+            total += n
+            plain += n * all(x > 0 for x in marks)
+            for x in reversed(marks):
+                size[x] = size.get(x, 0) + n
+                inner &= x > 0
+                if x > 0 and inner:
+                    own[x] = own.get(x, 0) + n
+        article = max(own, key=lambda x: (own[x], -x), default=0)
+        # text that no name tells as furniture, outside the article
+        beside = plain - sum(len(t) for _, t, marks in blocks if article in marks and all(x > 0 for x in marks))
+        held = set()
+        if article and own[article] > beside:
+            held = {x for _, _, marks in blocks if article in marks for x in marks[:marks.index(article)]}
+        kept = [(p, t, any(x > 0 for x in marks)) for p, t, marks in blocks
+                if all(x > 0 or x in held or 2 * size[x] > total for x in marks)]
+        inside = sum(len(t) for _, t, in_article in kept if in_article)
+        only = inside > 0 and 2 * inside >= sum(len(t) for _, t, _ in kept)
+        return [(p, t) for p, t, in_article in kept if in_article or not only]
 
 
 def parsed(html: str | None) -> Page | None:
@@ -191,7 +230,7 @@ def node_values(pages: DataFrame) -> DataFrame:
     """(host, page, path, kind, value) of each node of each page; ``pages`` has host and html.
 
     kind 0: how the node's children look; kind 1: what is written in it.  ``page``
-    is a digest of all the page's blocks: equal pages count once.
+    is a digest of the page's main text as its names tell it: equal pages count once.
     """
 
     def read(batches):
@@ -205,7 +244,7 @@ def node_values(pages: DataFrame) -> DataFrame:
                 reads: dict[str, list[str]] = {}
                 for path, style in page.styles:
                     looks.setdefault(path, []).append(style)
-                for path, text in page.main():
+                for path, text, _ in page.blocks:
                     reads.setdefault(path, []).append(text)
                 whole = digest(*[f"{p}\1{t}" for p, t in page.main()])
                 rows += [(host, whole, p, 0, digest(*v)) for p, v in looks.items()]
@@ -270,7 +309,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = []
             for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 page, gone = parsed(html), set(paths or ())
-                out.append("\n\n".join(t for p, t in page.main() if p not in gone) if page else "")
+                out.append("\n\n".join(t for _, t in page.main(gone)) if page else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()),
                  pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
