@@ -384,6 +384,16 @@ def test_html_names_are_evidence_only(spark):
     assert got[2000] == "Teaser\n\n" + main(0)
 
 
+def test_html_furniture_does_not_depend_on_the_hosts_size(spark):
+    """A notice that reads the same on 6 of 126 pages of a host goes as on a host with no others."""
+    text = lambda i: f"Text {i} of the page goes on"
+    rows = [(i, f"https://{h}.example/{i}", f"<div class='t'><div>{text(i)}</div><div class='x'>Home News</div></div>")
+            for h, k in (("large", 0), ("small", 1000)) for i in range(k, k + 6)]
+    rows += [(i, f"https://large.example/{i}", f"<p>{text(i)}</p>") for i in range(100, 220)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text(i) for i, _, _ in rows}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")

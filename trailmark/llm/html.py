@@ -16,8 +16,9 @@ if it is longer than the text outside it that no name tells as furniture.  Where
 articles hold half of the rest or more, what is outside them goes too.
 
 Statistics are ordinary grouped sums, so a host with a third of all pages is
-counted in parts; the nodes found unimportant (few a host) are joined back to the
-pages over salted hosts.
+counted in parts; the nodes found unimportant are joined back to the nodes of the
+pages over salted keys.  Each node is judged on the pages that hold it, however
+many others its host has.
 
 Defined results: null or empty html gives the empty text; a null url is a host of
 its own; repeated rows are each extracted; broken markup is read as browsers do as
@@ -35,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: a node is judged on this many different pages of its host, and this share of them, or more
+from trailmark.llm.common import written
+
+#: a node is judged on this many different pages of its host or more
 LEAST_PAGES = 4
-LEAST_SHARE = 0.1
 #: nodes of lower importance (0: all pages alike, 1: all differ) are furniture
 LEAST_IMPORTANCE = 0.3
 SALTS = 32
@@ -184,9 +186,9 @@ class Page(HTMLParser):
         if not self.top()[2]:
             self.text.append(data)
 
-    def main(self, gone: frozenset | set = frozenset()) -> list[tuple[str, str]]:
-        """The blocks of the main text, given the paths that the tree found to be furniture."""
-        blocks = [x for x in self.blocks if x[0] not in gone]
+    def main(self, gone: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, str]]:
+        """The blocks of the main text, given the digests of paths that the tree found to be furniture."""
+        blocks = [x for x in self.blocks if not gone or digest(x[0]) not in gone]
         size, own = {}, {}  # text in an element; in an article, without what is furniture by name in it
         total = plain = 0
         for _, text, marks in blocks:
@@ -226,17 +228,21 @@ def host_of(url: str):
     return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
-def node_values(pages: DataFrame) -> DataFrame:
-    """(host, page, path, kind, value) of each node of each page; ``pages`` has host and html.
+NODE = pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(host, salt, raw, page, nodes) of each page, written; ``pages`` has host, salt, raw and html.
 
-    kind 0: how the node's children look; kind 1: what is written in it.  ``page``
-    is a digest of the page's main text as its names tell it: equal pages count once.
+    ``nodes`` are the page's (path, kind, value), the path as a digest.  Kind 0:
+    how the node's children look; kind 1: what is written in it.  ``page`` is a
+    digest of the page's main text as its names tell it: equal pages count once.
     """
 
     def read(batches):
         for batch in batches:
-            rows = []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keep, wholes, nodes = [], [], []
+            for i, html in enumerate(batch.column(3).to_pylist()):
                 page = parsed(html)
                 if page is None:
                     continue
@@ -246,61 +252,60 @@ def node_values(pages: DataFrame) -> DataFrame:
                     looks.setdefault(path, []).append(style)
                 for path, text, _ in page.blocks:
                     reads.setdefault(path, []).append(text)
-                whole = digest(*[f"{p}\1{t}" for p, t in page.main()])
-                rows += [(host, whole, p, 0, digest(*v)) for p, v in looks.items()]
-                rows += [(host, whole, p, 1, digest(*v)) for p, v in reads.items()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
+                keep.append(i)
+                wholes.append(digest(*[f"{p}\1{t}" for p, t in page.main()]))
+                # only nodes that hold text are judged
+                nodes.append([{"path": digest(p), "kind": k, "value": digest(*of[p])}
+                              for p in reads for k, of in ((0, looks), (1, reads)) if p in of])
+            at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()),
-                 pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64())],
-                names=["host", "page", "path", "kind", "value"])
+                [*[batch.column(i).take(at) for i in range(3)], pa.array(wholes, pa.int64()),
+                 pa.array(nodes, pa.list_(NODE))], names=["host", "salt", "raw", "page", "nodes"])
 
-    return pages.mapInArrow(read, "host string, page long, path string, kind int, value long")
+    out = pages.select("host", "salt", "raw", "html").mapInArrow(
+        read, "host string, salt int, raw long, page long, nodes array<struct<path:long,kind:int,value:long>>")
+    return written(out, "page-nodes")
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, share, importance) of each node that holds text.
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """(host, path, n_pages, importance) of each node that holds text, from ``page_nodes()``.
 
     With m pages, a value seen on c of them adds -(c/m) log_m(c/m); 0 when all m
     are alike, 1 when all differ.  Importance: the content's entropy, mixed with
     that of the node's presentation.
     """
-    seen = node_values(pages).distinct()
+    seen = nodes.select("host", "page", F.explode("nodes").alias("x")).select("host", "page", "x.*").distinct()
     by_value = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     m, s = F.sum("c"), F.sum(F.col("c") * F.log("c"))
     node = by_value.groupBy("host", "path", "kind").agg(m.alias("m"), s.alias("s")).withColumn(
         "entropy", F.when(F.col("m") < 2, 1.0).otherwise(1 - F.col("s") / F.col("m") / F.log("m")))
-    both = node.groupBy("host", "path").agg(
+    return node.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 1, F.col("m"))).alias("n_pages"),
         F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("presentation"),
-        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content")).filter("content is not null")
-    sizes = seen.groupBy("host").agg(F.approx_count_distinct("page").alias("pages"))
-    return both.join(sizes, "host").select(
-        "host", "path", "n_pages", (F.col("n_pages") / F.col("pages")).alias("share"),
+        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content")).select(
+        "host", "path", "n_pages",
         (0.9 * F.col("content") + 0.1 * F.coalesce("presentation", F.lit(0.0))).alias("importance"))
 
 
-def furniture(tree: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
+def furniture(nodes: DataFrame, tree: DataFrame, least_pages: int = LEAST_PAGES,
               least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, paths) of the nodes to remove.
-
-    A node has to stand on a share of its host's pages, so a host has at most
-    nodes-a-page / ``least_share`` of them, however many pages it has.
-    """
-    low = tree.filter((F.col("n_pages") >= least_pages) & (F.col("share") >= least_share)
-                      & (F.col("importance") < least_importance))
-    return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
+    """(host, salt, raw, paths) of the pages with nodes to remove: each has those of its own nodes only."""
+    low = tree.filter((F.col("n_pages") >= least_pages) & (F.col("importance") < least_importance))
+    low = low.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = nodes.select("host", "salt", "raw", F.explode(F.array_distinct("nodes.path")).alias("path"))
+    return own.join(low, ["host", "path", "salt"]).groupBy("host", "salt", "raw").agg(
+        F.collect_set("path").alias("paths"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, ``text`` (blocks joined by an empty line) and ``n_chars`` of every row."""
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
-    base = base.withColumn("host", host_of("url"))
-    low = furniture(style_tree(base.select("host", "html")))
-    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    base = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    both = base.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
+    base = base.withColumn("host", host_of("url")).withColumn("raw", F.xxhash64("html")).withColumn(
+        "salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    nodes = page_nodes(base)
+    low = furniture(nodes, style_tree(nodes))
+    both = base.join(low, ["host", "salt", "raw"], "left").select("page_id", "url", "html", "paths")
     schema = T.StructType([both.schema["page_id"], both.schema["url"], T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
 
