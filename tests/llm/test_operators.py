@@ -238,6 +238,20 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert 20 in got[30]["sources"]
 
 
+def test_a_passage_with_a_wide_insertion_is_verified_whole(spark):
+    """46 words, 13 inserted ones and 46 more: 84 common of 105 shingles, each part too short by itself."""
+    rng = random.Random(12)
+    clean = lambda n: words(rng, n, 10 ** 9)
+    rows, want = [], {}
+    for i in range(10):
+        one, two = clean(46), clean(46)
+        rows += [(i, " ".join(clean(30) + one + two + clean(30))),
+                 (100 + i, " ".join(clean(20) + one + clean(13) + two + clean(40)))]
+        want[100 + i] = [(20, 105)]
+    got = {r["doc_id"]: [(s["start"], s["length"]) for s in r["spans"]] for r in passages.repeated(frame(spark, rows)).collect()}
+    assert got == {i: want.get(i, []) for i, _ in rows}
+
+
 def test_best_fit_decreasing_matches_a_plain_search():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 65, 300)
