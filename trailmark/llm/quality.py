@@ -212,7 +212,10 @@ def fit_curve(share: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[fl
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model | None:
-    """The model learned from at most ``sample`` labelled documents of ``docs`` and ``sample_lines`` of their lines."""
+    """The model learned from at most ``sample`` labelled documents of ``docs`` and ``sample_lines`` of their lines.
+
+    Documents of more than ``sample_lines // 10`` lines are left out.
+    """
     of = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
           .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
           .join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
