@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.llm import (decontamination, html, language, lines, minhash, packing, passages, quality, suffixes,
-                           syncmers)
+                           syncmers, toxicity)
 from trailmark.llm.common import crc_mod, load
 
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -65,9 +65,16 @@ def op10_packing(spark, sf_dir):
     return packing.packed(load(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = toxicity.learn(docs.filter(~held_out), load(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality, op3_minhash, op4_suffix_dedup, op5_html, op6_line_dedup, op7_passages,
-    op8_language, op9_syncmers, op10_packing)}
+    op8_language, op9_syncmers, op10_packing, op11_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
