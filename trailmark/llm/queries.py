@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.llm import (decontamination, html, language, lines, minhash, packing, passages, quality, suffixes,
-                           syncmers, toxicity)
+from trailmark.llm import (decontamination, html, language, lines, manifest, minhash, packing, passages, quality, search,
+                           suffixes, syncmers, toxicity)
 from trailmark.llm.common import crc_mod, load
 
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -72,9 +72,19 @@ def op11_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_manifest(spark, sf_dir):
+    return manifest.manifest(load(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "position")
+
+
+def op13_search(spark, sf_dir):
+    return search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality, op3_minhash, op4_suffix_dedup, op5_html, op6_line_dedup, op7_passages,
-    op8_language, op9_syncmers, op10_packing, op11_toxicity)}
+    op8_language, op9_syncmers, op10_packing, op11_toxicity, op12_manifest,
+    op13_search)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -202,5 +212,82 @@ SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS
 FROM e JOIN r USING (doc_id)
 """
 
+
+
+def _field(column: str) -> str:
+    value = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _fold(level: str, run: str, up: str, n: int = 16) -> str:
+    """A run table of a level, and the level above it."""
+    return f"""{run} AS (SELECT g, p // {n} AS p, n, list(h ORDER BY p) AS l FROM {level} WHERE n > 1 GROUP BY g, p // {n}, n),
+{up} AS (SELECT g, p, (n + {n - 1}) // {n} AS n, sha256(array_to_string(l, '')) AS h FROM {run}),"""
+
+
+def _walk(before: str, run: str, after: str, n: int = 16) -> str:
+    """Each leaf's folded node and siblings after one more level (unchanged where its group has one node left)."""
+    return f"""{after} AS (
+  SELECT w.k, w.g, w.p // {n} AS p,
+         CASE WHEN r.l IS NULL THEN w.f ELSE sha256(array_to_string(r.l[:w.p % {n}] || [w.f] || r.l[w.p % {n} + 2:], '')) END AS f,
+         CASE WHEN r.l IS NULL THEN w.s ELSE w.s || array_to_string(r.l[:w.p % {n}] || r.l[w.p % {n} + 2:], '') END AS s
+  FROM {before} w LEFT JOIN {run} r ON r.g = w.g AND r.p = w.p // {n}),"""
+
+
+LEVELS = 7  # of the SQL below: 16 ** 7 leaves a group, and as many groups
+_LEAF = "sha256(" + " || ".join(map(_field, manifest.FIELDS)) + ")"
+_LOW = "sha256(" + " || ".join(
+    _field(f"translate(text, '{_UPPER}', '{_LOWER}')" if c == "text" else c) for c in manifest.FIELDS) + ")"
+OP12_SQL = f"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+                          lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v
+    FROM range(256) r(i))),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('=' || source, '') AS g, {_LEAF} AS leaf, {_LOW} AS low,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+             list_transform(list_filter(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: x <> ''),
+                            lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) % 5 = 0 AS altered
+  FROM documents, crc),
+a0 AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS p,
+              count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM d),
+{"".join(_fold(f"a{i}", f"r{i}", f"a{i + 1}") for i in range(LEVELS))}
+tops AS ({" UNION ALL ".join(f"SELECT g, h FROM a{i} WHERE n = 1" for i in range(LEVELS + 1))}),
+b0 AS (SELECT '' AS g, g AS of, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n, h FROM tops),
+{"".join(_fold(f"b{i}", f"q{i}", f"b{i + 1}") for i in range(LEVELS))}
+root AS ({" UNION ALL ".join(f"SELECT h FROM b{i} WHERE n = 1" for i in range(LEVELS + 1))}),
+w0 AS (SELECT d.k, d.g, a0.p, CASE WHEN altered THEN low ELSE leaf END AS f, '' AS s FROM d JOIN a0 USING (k)),
+{"".join(_walk(f"w{i}", f"r{i}", f"w{i + 1}") for i in range(LEVELS))}
+x0 AS (SELECT w.k, '' AS g, b0.p, w.f, w.s FROM w{LEVELS} w JOIN b0 ON b0.of = w.g),
+{"".join(_walk(f"x{i}", f"q{i}", f"x{i + 1}") for i in range(LEVELS))}
+z AS (SELECT * FROM x{LEVELS})
+SELECT d.doc_id, d.leaf, tops.h AS subroot, root.h AS root, sha256(z.s) AS proof_sha256, z.f AS folded_root,
+       z.f = root.h AS verified, CAST(a0.p AS BIGINT) AS position
+FROM d JOIN a0 USING (k) JOIN tops ON tops.g = d.g JOIN z ON z.k = d.k CROSS JOIN root
+"""
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+qt AS (SELECT q, item_id, t, count(*) AS r FROM (SELECT q, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT k, doc_id, n, t, count(*) AS tf FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+      WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM p, s GROUP BY t),
+i AS (SELECT k, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l))) AS v
+      FROM p JOIN f USING (t), s),
+x AS (SELECT q, item_id, k, doc_id, CAST(sum(r * v) AS BIGINT) AS score FROM qt JOIN i USING (t) GROUP BY ALL),
+y AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, k) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM y WHERE rank <= 10
+"""
+
 ORACLE = {"op1_decontamination": OP1_SQL, "op3_minhash": OP3_SQL, "op4_suffix_dedup": OP4_SQL,
-          "op6_line_dedup": OP6_SQL, "op9_syncmers": OP9_SQL}
+          "op6_line_dedup": OP6_SQL, "op9_syncmers": OP9_SQL,
+          "op12_manifest": OP12_SQL, "op13_search": OP13_SQL}
