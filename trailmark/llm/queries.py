@@ -251,7 +251,7 @@ d AS (
                             lambda x: CAST(ascii(x) AS BIGINT))),
              lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) % 5 = 0 AS altered
   FROM documents, crc),
-a0 AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS p,
+a0 AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY coalesce(doc_id, -9223372036854775808), leaf, k) - 1 AS p,
               count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM d),
 {"".join(_fold(f"a{i}", f"r{i}", f"a{i + 1}") for i in range(LEVELS))}
 tops AS ({" UNION ALL ".join(f"SELECT g, h FROM a{i} WHERE n = 1" for i in range(LEVELS + 1))}),
