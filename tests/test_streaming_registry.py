@@ -40,7 +40,8 @@ def test_entry_and_registry(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     assert df.count() > 0
-    q, o = e.queries(), e.oracle_sql()
-    assert set(o) <= set(q)
-    missing = set(q) - set(o)
-    assert missing <= {"custom_script", "sink_fan_out"}, missing
+    from trailmark.registry.catalog import all_oracles, all_queries
+    q, o = all_queries(), all_oracles()
+    assert set(o) == set(q)
+    assert set(q) <= set(e.queries()) and set(o) <= set(e.oracle_sql())
+    assert set(e.oracle_sql()) <= set(e.queries())
