@@ -265,17 +265,23 @@ def json_literal(x) -> str:
 
 def validate_json(df: DataFrame, col: str, schema: dict, out: str = "errors") -> DataFrame:
     """``out`` = array<struct<path, keyword>> of violations (empty = valid; unparsable -> 'json')."""
+    df = df.withColumn("__jsdoc", F.when(F.col(col).isNotNull(), F.try_parse_json(F.col(col))))
+    df = validate_variant(df, "__jsdoc", schema, out)
+    parse_err = F.when(F.col("__jsdoc").isNull() & F.col(col).isNotNull(),
+                       F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("keyword"))))
+    return df.withColumn(out, F.coalesce(parse_err, F.col(out))).drop("__jsdoc")
+
+
+def validate_variant(df: DataFrame, col: str, schema: dict, out: str = "errors", absent: str | None = None) -> DataFrame:
+    """Violations of a VARIANT column as ``validate_json`` gives them; a null value breaks ``absent``, if given."""
     b = _Bindings()
-    df = df.withColumn("__jsdoc", F.try_parse_json(F.col(col)))
-    v = F.col("__jsdoc")
-    checks = compile_schema(schema, v, "$", b, 0)
+    checks = compile_schema(schema, F.col(col), "$", b, 0)
+    if absent is not None:
+        checks = [(F.col(col).isNull(), "$", absent), *checks]
     df = b.apply(df)
     errs = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(p).alias("path"), F.lit(k).alias("keyword")))
-                     for c, p, k in checks])
-    parse_err = F.when(v.isNull() & F.col(col).isNotNull(),
-                       F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("keyword"))))
-    return df.withColumn(out, F.coalesce(parse_err, F.filter(errs, lambda e: e.isNotNull()))) \
-        .drop("__jsdoc", *b.names())
+                     for c, p, k in checks]) if checks else F.array().cast("array<struct<path: string, keyword: string>>")
+    return df.withColumn(out, F.filter(errs, lambda e: e.isNotNull())).drop(*b.names())
 
 
 # --- V06 / V07 failed-event routing -------------------------------------------
@@ -334,7 +340,9 @@ def upsert_schema_catalog(existing: DataFrame, published: DataFrame, allow_patch
     """Publish schemas; an existing key is overwritten only when patches are allowed."""
     tagged = existing.withColumn("__new", F.lit(0)).unionByName(published.withColumn("__new", F.lit(1)))
     order = F.col("__new").desc() if allow_patches else F.col("__new").asc()
-    w = Window.partitionBy(key_col).orderBy(order)
+    # several publications of one key: the first by its whole row, so that a run can be repeated
+    rest = F.to_json(F.struct(*[c for c in existing.columns if c != key_col]))
+    w = Window.partitionBy(key_col).orderBy(order, rest)
     return tagged.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__new")
 
 
