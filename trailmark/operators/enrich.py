@@ -1,7 +1,7 @@
 """Enrichments: per-event column derivations, each a plain DataFrame transform.
 
 Each function takes the ``parameters`` object of its JSON configuration.
-Lookups against reference tables are joins (broadcast only after a size check).
+Lookups against reference tables are equi-joins without hints.
 """
 
 from __future__ import annotations
@@ -39,11 +39,22 @@ def campaign_attribution(df: DataFrame, params: dict | None = None, query_col: s
 
 def event_fingerprint(df: DataFrame, params: dict | None = None, query_col: str = "page_urlquery",
                       out: str = "event_fingerprint") -> DataFrame:
-    """SHA-1 of the query string's ``k=v`` pairs, excluded keys dropped, sorted, joined with '&'."""
+    """Hash of the query string's ``k=v`` pairs, excluded keys dropped, sorted by key (then by pair), joined with '&'."""
     excluded = (params or {}).get("excludeParameters", FINGERPRINT_EXCLUDE)
+    algorithm = (params or {}).get("hashAlgorithm", "SHA1").upper().replace("-", "")
     q = F.col(query_col)
-    pairs = F.filter(F.split(q, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*excluded))
-    return df.withColumn(out, F.when(q.isNotNull(), F.sha1(F.concat_ws("&", F.array_sort(pairs)))))
+    pairs = F.transform(F.filter(F.split(q, "&"), lambda p: p != ""),
+                        lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), p.alias("p")))
+    kept = F.array_sort(F.filter(pairs, lambda x: ~x["k"].isin(*excluded)) if excluded else pairs)
+    text = F.concat_ws("&", F.transform(kept, lambda x: x["p"]))
+    return df.withColumn(out, F.when(q.isNotNull(), hashed(text, algorithm)))
+
+
+def hashed(text: Column, algorithm: str) -> Column:
+    """Hex digest by name: MD5, SHA1, SHA224, SHA256, SHA384 or SHA512."""
+    if algorithm == "SHA1":
+        return F.sha1(text)
+    return F.md5(text) if algorithm == "MD5" else F.sha2(text, int(algorithm.replace("SHA", "")))
 
 
 # --- E03 referer parser -------------------------------------------------------
@@ -101,12 +112,7 @@ def _pii_fields(params: dict) -> list[str]:
 def _hash(col: Column, params: dict) -> Column:
     ps = params.get("strategy", {}).get("pseudonymize", {})
     salted = F.concat(col.cast("string"), F.lit(ps.get("salt", "")))
-    fn = ps.get("hashFunction", "SHA-1").upper().replace("-", "")
-    if fn == "SHA1":
-        return F.sha1(salted)
-    if fn == "MD5":
-        return F.md5(salted)
-    return F.sha2(salted, int(fn.replace("SHA", "")))
+    return hashed(salted, ps.get("hashFunction", "SHA-1").upper().replace("-", ""))
 
 
 def pii_pseudonymize(df: DataFrame, params: dict | None = None) -> DataFrame:
@@ -138,6 +144,14 @@ def cookie_extractor(df: DataFrame, params: dict | None = None, cookie_col: str
                          else F.array().cast("array<struct<name:string,value:string>>"))
 
 
+def do_not_track_filter(df: DataFrame, cookie_name: str = "dnt", value_pattern: str = "^1$",
+                        cookie_col: str = "cookie") -> DataFrame:
+    """Drop requests carrying cookie ``cookie_name`` whose value matches ``value_pattern``."""
+    named = cookie_extractor(df, {"cookies": [cookie_name]}, cookie_col, "__c")
+    hit = F.exists(F.col("__c"), lambda p: p["value"].rlike(value_pattern))
+    return named.filter(~F.coalesce(hit, F.lit(False))).drop("__c")
+
+
 def http_header_extractor(df: DataFrame, params: dict | None = None, headers_col: str = "headers",
                           out: str = "header_context") -> DataFrame:
     """Headers (array of name/value structs) whose name fully matches ``headersPattern``."""
@@ -179,8 +193,9 @@ def custom_script(df: DataFrame, fn, schema: str) -> DataFrame:
 
 # --- E13 pipeline -------------------------------------------------------------------
 
-DEFAULT_ORDER = ("campaign_attribution", "event_fingerprint", "referer_parser", "currency_conversion",
-                 "ip_lookups", "iab_spiders_and_robots", "anon_ip", "custom_script", "pii_enrichment")
+DEFAULT_ORDER = ("campaign_attribution", "event_fingerprint", "referer_parser", "cross_navigation", "cookie_extractor",
+                 "http_header_extractor", "currency_conversion", "ip_lookups", "iab_spiders_and_robots", "sql_query",
+                 "anon_ip", "custom_script", "pii_enrichment")
 
 
 def event_pipeline(df: DataFrame, enrichments: dict[str, dict], steps: dict) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Dimension lookups with a checked broadcast."""
+"""Dimension lookups."""
 
 from __future__ import annotations
 
@@ -7,26 +7,6 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.ranking import asc, top1_per_group
 
-# Largest dimension, by the optimizer's size estimate, that is shipped to every task.
-STATS_BOUND_BYTES = 8 * 1024 * 1024
-
-
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (exact for in-memory relations), if available."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - not available on every client
-        return None
-
-
-def bounded_broadcast(dim: DataFrame, max_bytes: int = STATS_BOUND_BYTES) -> DataFrame:
-    """Hint a broadcast of ``dim`` where its size estimate is within ``max_bytes``; else leave the join as it is.
-
-    For the range and pattern lists, whose joins have no equal key; no job is run.
-    """
-    size = plan_size_bytes(dim)
-    return F.broadcast(dim) if size is not None and size <= max_bytes else dim
-
 
 def keyed_dimension(dim: DataFrame, key: str, outputs: dict[str, str], order: str | None = None,
                     prefix: str = "__d") -> DataFrame:

@@ -1,19 +1,20 @@
-"""Non-equi lookups: IP ranges / CIDR lists, user-agent pattern lists, dated rates, SQL-style lookups.
+"""Lookups without a plain key: IP ranges / CIDR lists, user-agent pattern lists; dated rates, SQL-style lookups.
 
-All of them run *distinct-first*: the few distinct keys of the fact table
-(IPs, user agents) are matched against the reference list, and the flags are
-joined back with an equi-join.  Reference lists are broadcast only after a
-size check; large IP-range tables use a bucketed equi-join instead of a
-nested loop.
+IP ranges become equal keys (``operators.intervals``), pattern lists column
+expressions (``operators.patterns``); no join here lacks an equal key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions.ip import cidr_bounds, ipv4_to_long
-from trailmark.operators.joins import bounded_broadcast
+from trailmark.operators import intervals
+from trailmark.operators.patterns import UserAgentLists
 
 # --- reference lists ----------------------------------------------------------
 
@@ -30,7 +31,7 @@ def read_iab_list(spark: SparkSession, path: str, kind: str) -> DataFrame:
         return F.coalesce(F.try_url_decode(c), c)
     if kind == "exclude":
         return lines.select(dec(F.get(f, 0)).alias("pattern"), F.get(f, 1).try_cast("int").alias("active"),
-                            F.coalesce(F.get(f, 2), F.lit("")).alias("exceptions"),
+                            F.coalesce(F.get(f, 2), F.lit("")).alias("exceptions"),  # decoded one by one, after the split
                             F.get(f, 3).try_cast("int").alias("two_pass_redundant"),
                             F.get(f, 4).try_cast("int").alias("impact"),
                             F.coalesce(F.get(f, 5).try_cast("int"), F.lit(0)).alias("starts_with"))
@@ -43,6 +44,14 @@ def read_cidr_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim("value").alias("cidr"))
 
 
+def read_iab_lists(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The three lists as they are distributed: exclude and include patterns, and excluded addresses."""
+    base = folder.rstrip("/")
+    return {"exclude": read_iab_list(spark, f"{base}/exclude_current.txt", "exclude"),
+            "include": read_iab_list(spark, f"{base}/include_current.txt", "include"),
+            "cidr": read_cidr_list(spark, f"{base}/ip_exclude_current_cidr.txt")}
+
+
 def fixture_iab_lists(spark: SparkSession) -> dict[str, DataFrame]:
     """Small lists for tests and registered queries (FIXTURES.md §4)."""
     return {
@@ -64,60 +73,28 @@ def cidr_ranges(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
 
 
 def ip_in_cidr(df: DataFrame, cidrs: DataFrame, ip_col: str = "user_ipaddress", out: str = "ip_excluded") -> DataFrame:
-    """Flag rows whose IPv4 address lies in any CIDR of the list (distinct IPs matched, then joined back)."""
-    ranges = bounded_broadcast(cidr_ranges(cidrs))
-    ips = df.select(F.col(ip_col).alias("__ip")).filter(F.col("__ip").isNotNull()).distinct() \
-        .withColumn("__n", ipv4_to_long(F.col("__ip")))
-    hit = ips.join(ranges, (F.col("__n") >= F.col("lo")) & (F.col("__n") <= F.col("hi")), "left_semi") \
-        .select("__ip", F.lit(True).alias("__hit"))
-    return (df.join(hit, df[ip_col] == hit["__ip"], "left")
-            .withColumn(out, F.coalesce(F.col("__hit"), F.lit(False))).drop("__ip", "__hit"))
+    """Flag rows whose IPv4 address lies in any CIDR of the list (no address: FALSE)."""
+    ranges = cidr_ranges(cidrs).withColumn(out, F.lit(True))
+    return intervals.lookup(df, ranges, ipv4_to_long(F.col(ip_col)), [out]).withColumn(
+        out, F.coalesce(F.col(out), F.lit(False)))
 
 
 # --- E07 IP range lookup (large range tables) --------------------------------------
 
 def ip_range_lookup(df: DataFrame, ranges: DataFrame, outputs: list[str], ip_col: str = "user_ipaddress",
-                    lo: str = "lo", hi: str = "hi", bucket_bits: int = 16) -> DataFrame:
-    """Left lookup of the range [lo, hi] containing the IP.
-
-    Ranges are exploded to the 2^bucket_bits-address buckets they cover and
-    equi-joined on the bucket, so the join is a hash join on (bucket) plus a
-    range filter -- no nested loop, whatever the size of the range table.
-    """
-    shift = 32 - bucket_bits
-    r = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *outputs) \
-        .withColumn("__b", F.explode(F.sequence(F.shiftright("__lo", shift), F.shiftright("__hi", shift))))
-    ips = df.select(F.col(ip_col).alias("__ip")).filter(F.col("__ip").isNotNull()).distinct() \
-        .withColumn("__n", ipv4_to_long(F.col("__ip"))).filter(F.col("__n").isNotNull()) \
-        .withColumn("__b", F.shiftright("__n", shift))
-    matched = (ips.join(r, "__b").filter((F.col("__n") >= F.col("__lo")) & (F.col("__n") <= F.col("__hi")))
-               .groupBy("__ip").agg(*[F.min_by(F.col(o), F.col("__hi") - F.col("__lo")).alias(o) for o in outputs]))
-    return df.drop(*[o for o in outputs if o in df.columns]).join(matched, df[ip_col] == matched["__ip"], "left") \
-        .drop("__ip")
+                    lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Left lookup of the narrowest range [lo, hi] containing the IP; ties: smaller lo, then the least outputs."""
+    return intervals.lookup(df, ranges, ipv4_to_long(F.col(ip_col)), outputs, lo, hi)
 
 
 # --- J09 / E06 user-agent lists ---------------------------------------------------
 
-def _ua_match(ua_lower, pattern_lower, starts_with):
-    return F.when(starts_with == 1, ua_lower.startswith(pattern_lower)).otherwise(ua_lower.contains(pattern_lower))
-
-
 def ua_pattern_flags(df: DataFrame, exclude: DataFrame, include: DataFrame, ua_col: str = "useragent") -> DataFrame:
     """Per distinct user agent: include hit, exclude hit (exceptions honoured) and the strongest impact."""
-    uas = df.select(F.col(ua_col).alias("__ua")).distinct().withColumn("__ual", F.lower("__ua"))
-    exc = bounded_broadcast(exclude.filter(F.col("active") == 1).select(
-        F.lower("pattern").alias("__p"), F.col("starts_with").alias("__sw"), F.col("impact").alias("__imp"),
-        F.filter(F.split(F.lower(F.col("exceptions")), ","), lambda e: e != "").alias("__exc")))
-    inc = bounded_broadcast(include.filter(F.col("active") == 1).select(
-        F.lower("pattern").alias("__ip"), F.col("starts_with").alias("__isw")))
-    ex_hits = (uas.join(exc, _ua_match(F.col("__ual"), F.col("__p"), F.col("__sw"))
-                        & ~F.exists(F.col("__exc"), lambda e: F.col("__ual").contains(e)))
-               .groupBy("__ua").agg(F.max("__imp").alias("__impact")))
-    in_hits = (uas.join(inc, _ua_match(F.col("__ual"), F.col("__ip"), F.col("__isw")), "left_semi")
-               .select("__ua", F.lit(True).alias("__included")))
-    return (uas.join(ex_hits, "__ua", "left").join(in_hits, "__ua", "left")
-            .select("__ua", F.coalesce("__included", F.lit(False)).alias("__included"),
-                    F.col("__impact").isNotNull().alias("__excluded"), "__impact"))
+    lists = UserAgentLists(exclude, include)
+    ua = F.col("__ua")
+    return df.select(F.col(ua_col).alias("__ua")).distinct().withColumn("__impact", lists.impact(ua)).select(
+        "__ua", lists.included(ua).alias("__included"), F.col("__impact").isNotNull().alias("__excluded"), "__impact")
 
 
 IMPACT_NAMES = {0: "PAGE_IMPRESSIONS", 1: "AD_IMPRESSIONS", 2: "PAGE_AND_AD_IMPRESSIONS"}
@@ -131,8 +108,9 @@ def iab_spiders_robots(df: DataFrame, lists: dict[str, DataFrame], ip_col: str =
     exclude list (must not match unless an exception matches).
     """
     flagged = ip_in_cidr(df, lists["cidr"], ip_col, "__ipx")
-    flags = ua_pattern_flags(df, lists["exclude"], lists["include"], ua_col)
-    j = flagged.join(flags, flagged[ua_col].eqNullSafe(flags["__ua"]), "left")
+    compiled = UserAgentLists(lists["exclude"], lists["include"])
+    j = flagged.withColumns({"__impact": compiled.impact(F.col(ua_col)), "__included": compiled.included(F.col(ua_col))}) \
+        .withColumn("__excluded", F.col("__impact").isNotNull())
     impact = F.col("__impact")
     reason = (F.when(F.col("__ipx"), "FAILED_IP_EXCLUDE").when(~F.col("__included"), "FAILED_UA_INCLUDE")
               .when(F.col("__excluded"), "FAILED_UA_EXCLUDE").otherwise("PASSED_ALL"))
@@ -144,7 +122,7 @@ def iab_spiders_robots(df: DataFrame, lists: dict[str, DataFrame], ip_col: str =
         "iab__category": F.when(reason == "PASSED_ALL", "BROWSER").otherwise("SPIDER_OR_ROBOT"),
         "iab__reason": reason,
         "iab__primary_impact": imp,
-    }).drop("__ipx", "__ua", "__included", "__excluded", "__impact"))
+    }).drop("__ipx", "__included", "__excluded", "__impact"))
 
 
 # --- J10 SQL-style lookup -------------------------------------------------------
@@ -166,6 +144,67 @@ def sql_lookup_enrich(df: DataFrame, table: DataFrame, df_key: str, table_key: s
     }).drop("__k", "__n", "__row"))
 
 
+def criterion_pattern(criterion: str) -> str:
+    """Regular expression of a schema criterion: a key whose version parts may be ``*``."""
+    head, _, version = criterion.rpartition("/")
+    return "^" + re.escape(head) + "/" + "-".join(r"\d+" if v == "*" else re.escape(v) for v in version.split("-")) + "$"
+
+
+def json_input(field: str, criterion: str, json_path: str) -> Column:
+    """Text at ``json_path`` of the event's own data, or of the first entity of an array, that fits the criterion."""
+    whole = F.try_variant_get(F.try_parse_json(F.col(field)), "$.data", "variant")
+    pattern = criterion_pattern(criterion)
+    if field == "unstruct_event":
+        found = F.when(F.try_variant_get(whole, "$.schema", "string").rlike(pattern),
+                       F.try_variant_get(whole, "$.data", "variant"))
+    else:
+        fits = F.filter(F.try_variant_get(whole, "$", "array<variant>"),
+                        lambda x: F.coalesce(F.try_variant_get(x, "$.schema", "string").rlike(pattern), F.lit(False)))
+        found = F.try_variant_get(F.get(fits, 0), "$.data", "variant")
+    return F.try_variant_get(found, json_path, "string")
+
+
+def query_input(conf: dict) -> Column:
+    """An input of a lookup query: a column of the event, or a value inside its JSON."""
+    if "pojo" in conf:
+        return F.col(conf["pojo"]["field"])
+    return json_input(conf["json"]["field"], conf["json"]["schemaCriterion"], conf["json"]["jsonPath"])
+
+
+def sql_query_enrichment(df: DataFrame, params: dict, out: str = "sql_query_context") -> DataFrame:
+    """E13's SQL lookup: the configured query, run for each different set of inputs, attached as entities.
+
+    The query's ``?`` take the inputs by place; Spark plans it as a lateral join, an equi-join on the inputs.
+    ``out`` is an array of (schema, data) entities, one a row; where the number of rows breaks ``expectedRows`` it is
+    NULL and ``<out>_failure`` says so.  An event that lacks an input is not looked up.
+    """
+    spark = df.sparkSession
+    names = [f"__p{i}" for i in range(1, len(params["inputs"]) + 1)]
+    ordered = sorted(params["inputs"], key=lambda c: c["placeholder"])
+    rows = df.withColumns({n: query_input(c) for n, c in zip(names, ordered)})
+    keys = rows.select(*names).dropna().distinct()
+    view = f"__inputs_{uuid.uuid4().hex}"
+    keys.createOrReplaceTempView(view)
+    place = iter(names)
+    text = re.sub(r"'(?:[^']|'')*'|\?", lambda m: f"k.{next(place)}" if m.group() == "?" else m.group(), params["query"]["sql"])
+    answers = spark.sql(f"SELECT k.*, struct(l.*) AS __row FROM {view} k JOIN LATERAL ({text}) l")
+    output = params.get("output", {})
+    expected = output.get("expectedRows", "AT_MOST_ONE")
+    entity = F.struct(F.lit(output.get("json", {}).get("schema")).alias("schema"), F.col("__row").alias("data"))
+    found = answers.groupBy(*names).agg(F.count("*").alias("__n"), F.array_sort(F.collect_list(entity)).alias("__found"))
+    j = rows.join(found, names, "left")
+    asked = F.lit(True)
+    for n in names:
+        asked = asked & F.col(n).isNotNull()
+    n = F.coalesce("__n", F.lit(0))
+    broken = {"EXACTLY_ONE": n != 1, "AT_MOST_ONE": n > 1, "AT_LEAST_ONE": n < 1}.get(expected, F.lit(False))
+    none = F.array().cast(found.schema["__found"].dataType)
+    return j.withColumns({
+        out: F.when(asked & ~broken, F.coalesce("__found", none)),
+        f"{out}_failure": F.when(asked & broken, F.concat(F.lit(f"expected {expected}, found "), n.cast("string"))),
+    }).drop(*names, "__n", "__found")
+
+
 # --- J11 / E08 dated rates ----------------------------------------------------------
 
 def rate_lookup(df: DataFrame, rates: DataFrame, currency_col: str, date_col: str, base_currency: str = "EUR",
@@ -180,12 +219,23 @@ def rate_lookup(df: DataFrame, rates: DataFrame, currency_col: str, date_col: st
         .drop("__c", "__d", "__r")
 
 
+#: amount -> (converted amount, its currency)
+AMOUNTS = {"tr_total": ("tr_total_base", "tr_currency"), "tr_tax": ("tr_tax_base", "tr_currency"),
+           "tr_shipping": ("tr_shipping_base", "tr_currency"), "ti_price": ("ti_price_base", "ti_currency")}
+
+
 def currency_conversion(df: DataFrame, rates: DataFrame, params: dict | None = None,
                         fields: dict[str, str] | None = None, currency_col: str = "tr_currency",
                         date_col: str = "derived_tstamp") -> DataFrame:
-    """Amount columns converted to the base currency at the prior day's rate; missing rate -> NULL."""
+    """Amount columns converted to the base currency at the prior day's rate; missing rate -> NULL.
+
+    Without ``fields`` the transaction's amounts use ``tr_currency`` and the item's price ``ti_currency``.
+    """
     base = (params or {}).get("baseCurrency", "EUR")
-    fields = fields or {"tr_total": "tr_total_base", "tr_tax": "tr_tax_base", "tr_shipping": "tr_shipping_base"}
-    j = rate_lookup(df, rates, currency_col, date_col, base, "__rate")
-    return j.withColumns({dst: F.col(src) * F.col("__rate") for src, dst in fields.items()
-                          if src in df.columns}).drop("__rate")
+    wanted = AMOUNTS if fields is None else {src: (dst, currency_col) for src, dst in fields.items()}
+    for currency in dict.fromkeys(c for _, c in wanted.values()):
+        of = {src: dst for src, (dst, c) in wanted.items() if c == currency and src in df.columns}
+        if of and currency in df.columns:
+            df = rate_lookup(df, rates, currency, date_col, base, "__rate").withColumns(
+                {dst: F.col(src) * F.col("__rate") for src, dst in of.items()}).drop("__rate")
+    return df

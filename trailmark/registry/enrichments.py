@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from trailmark.functions.ip import IPV4_PATTERN
 from trailmark.functions.timeutil import epoch_micros
 from trailmark.operators import enrich as E
+from trailmark.operators import enrich_config as C
+from trailmark.operators import intervals
 from trailmark.operators import lookups as L
 from trailmark.registry.oracle_base import base_ctes, with_ctes
 from trailmark.sources.tables import atomic, read_table
@@ -42,16 +44,6 @@ def with_headers(df: DataFrame) -> DataFrame:
         F.struct(F.lit("Cookie").alias("name"), F.col("cookie").alias("value"))))
 
 
-def do_not_track_filter(df: DataFrame, cookie_name: str = "dnt", value_pattern: str = "^1$",
-                        cookie_col: str = "cookie") -> DataFrame:
-    """Drop requests carrying cookie ``cookie_name`` whose value matches ``value_pattern``."""
-    pairs = E.cookie_extractor(df.select(cookie_col), {"cookies": [cookie_name]}, cookie_col, "__c")
-    hit = F.exists(F.col("__c"), lambda p: p["value"].rlike(value_pattern))
-    named = E.cookie_extractor(df, {"cookies": [cookie_name]}, cookie_col, "__c")
-    del pairs
-    return named.filter(~F.coalesce(hit, F.lit(False))).drop("__c")
-
-
 def derived_rates(a: DataFrame) -> DataFrame:
     """One rate per currency and day seen in the data (fixed rule; EUR is the base)."""
     days = a.select(F.to_date("derived_tstamp").alias("rate_date")).distinct()
@@ -95,7 +87,148 @@ def _pages_query():
     return F.regexp_extract(F.col("url"), r"\?([^#]*)", 1)
 
 
+def overlapping_ranges(spark, sf) -> DataFrame:
+    """Dense intervals of 0 .. 131071 from the orders, many of them nested, equally wide or the same."""
+    o = read_table(spark, sf, "orders")
+    lo = (F.col("o_orderkey") * 37) % 120000
+    width = F.when(F.col("o_custkey") % 9 == 0, 4096).otherwise((F.col("o_custkey") % 5) * 3)
+    return o.select(lo.cast("long").alias("lo"), (lo + width).cast("long").alias("hi"),
+                    F.col("o_orderpriority").alias("owner"), F.col("o_orderkey").cast("long").alias("of"))
+
+
+def q_interval_lookup(s, sf):
+    points = read_table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    at = (F.col("l_partkey") * 61 + F.col("l_suppkey") * 7).cast("long") % 140000
+    return intervals.lookup(points, overlapping_ranges(s, sf), at, ["owner", "of"], bits=17).select(
+        "l_orderkey", "l_linenumber", "owner", "of")
+
+
+def q_currency_items(s, sf):
+    """Item prices in their own currency, transaction totals in theirs."""
+    li = read_table(s, sf, "lineitem")
+    money = F.array(F.lit("EUR"), F.lit("GBP"), F.lit("USD"), F.lit("CHF"))
+    rows = li.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("ti_price"),
+                     F.get(money, (F.col("l_orderkey") % 4).cast("int")).alias("ti_currency"),
+                     F.col("l_quantity").cast("double").alias("tr_total"),
+                     F.get(money, (F.col("l_linenumber") % 4).cast("int")).alias("tr_currency"),
+                     F.col("l_shipdate").cast("timestamp_ntz").alias("derived_tstamp"))
+    return L.currency_conversion(rows, derived_rates(rows)).select(
+        "l_orderkey", "l_linenumber", F.round("ti_price_base", 4).alias("ti_price_base"),
+        F.round("tr_total_base", 4).alias("tr_total_base"))
+
+
+LOOKUP = {
+    "inputs": [{"placeholder": 2, "pojo": {"field": "kind"}},
+               {"placeholder": 1, "json": {"field": "unstruct_event", "schemaCriterion": "iglu:com.acme/order/jsonschema/1-*-*",
+                                           "jsonPath": "$.order.customer"}}],
+    "query": {"sql": "SELECT o_orderkey, o_orderstatus AS status FROM lookup_orders WHERE CAST(o_custkey AS STRING) = ? "
+                     "AND o_orderpriority = ? AND o_comment_mark <> '?'"},
+    "output": {"expectedRows": "AT_MOST_ONE", "json": {"schema": "iglu:com.acme/user/jsonschema/1-0-0"}},
+}
+
+
+def q_sql_json_path(s, sf):
+    """Lookup by a value inside the event's own JSON (a schema criterion and a path) and by a column."""
+    e = read_table(s, sf, "events")
+    version = F.when(F.col("event_id") % 5 == 0, "2-0-0").otherwise("1-0-2")
+    rows = e.select("event_id", F.lit("1-URGENT").alias("kind"), F.concat(
+        F.lit('{"schema":"env","data":{"schema":"iglu:com.acme/order/jsonschema/'), version,
+        F.lit('","data":{"order":{"customer":'), F.col("user_id").cast("string"), F.lit("}}}}")).alias("unstruct_event"))
+    read_table(s, sf, "orders").withColumn("o_comment_mark", F.lit("-")).createOrReplaceTempView("lookup_orders")
+    got = L.sql_query_enrichment(rows, LOOKUP, "found")
+    return got.select("event_id", F.get("found", 0)["data"]["o_orderkey"].cast("long").alias("orderkey"),
+                      F.get("found", 0)["data"]["status"].alias("status"), F.size("found").alias("n"),
+                      F.col("found_failure").alias("failure"))
+
+
+def _file(spark, folder: str, name: str, text: str) -> None:
+    """A text file of the shared folder, as a configuration store holds it."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+
+
+def iab_folder(spark) -> str:
+    """The robot lists of the fixture as files in their distributed format, with comments and escapes."""
+    import uuid
+
+    from trailmark.session import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/config/{uuid.uuid4().hex}"
+    _file(spark, folder, "exclude_current.txt", "# robots\nBot|1|robotics|0|0|0\n\nspider|1||0|2|0\ntwitter|1||0|1|1\nmodem|0||0|0|0\n"
+                                                "a%7Cb|1|x%2Cy|0|1|0")
+    _file(spark, folder, "include_current.txt", "# browsers\nMozilla|1|1\ntwitter|1|0")
+    _file(spark, folder, "ip_exclude_current_cidr.txt", "\n".join(
+        r["cidr"] for r in L.fixture_iab_lists(spark)["cidr"].collect()))
+    return folder
+
+
+def q_iab_files(s, sf):
+    return L.iab_spiders_robots(atomic(s, sf), L.read_iab_lists(s, iab_folder(s))).select(
+        "event_id", "iab__spider_or_robot", "iab__category", "iab__reason", "iab__primary_impact")
+
+
+def config_folder(spark) -> str:
+    """A folder of the thirteen configurations, one JSON file each, and the files that they name."""
+    import json
+
+    folder = iab_folder(spark)
+    _file(spark, folder, "referers.json", json.dumps({"search": {"Google": {"domains": ["www.google.com"]}},
+                                                      "social": {"Facebook": {"domains": ["facebook.com"], "parameters": []}}}))
+    params = {
+        "campaign_attribution": {"mapping": "static", "fields": E.CAMPAIGN_FIELDS},
+        "event_fingerprint_config": {"excludeParameters": E.FINGERPRINT_EXCLUDE, "hashAlgorithm": "SHA1"},
+        "referer_parser": {"database": "referers.json", "internalDomains": [], "uri": folder},
+        "cross_navigation_config": None,
+        "cookie_extractor_config": {"cookies": ["sp", "dnt"]},
+        "http_header_extractor_config": {"headersPattern": "User-Agent|Host"},
+        "currency_conversion_config": {"baseCurrency": "EUR", "rateAt": "EOD_PRIOR"},
+        "ip_lookups": {"geo": {"database": "ranges", "uri": folder}},
+        "iab_spiders_and_robots_enrichment": {k: {"database": f, "uri": folder} for k, f in (
+            ("ipFile", "ip_exclude_current_cidr.txt"), ("excludeUseragentFile", "exclude_current.txt"),
+            ("includeUseragentFile", "include_current.txt"))},
+        "sql_query_enrichment_config": {
+            "inputs": [{"placeholder": 1, "pojo": {"field": "user_id"}}],
+            "query": {"sql": "SELECT c_name FROM lookup_customers WHERE key = ? LIMIT 1"},
+            "output": {"expectedRows": "AT_MOST_ONE", "json": {"schema": "iglu:com.acme/user/jsonschema/1-0-0"}}},
+        "anon_ip": {"anonOctets": 1},
+        "javascript_script_config": {"script": "="},
+        "pii_enrichment_config": {"pii": [{"pojo": {"field": "user_id"}}],
+                                  "strategy": {"pseudonymize": {"hashFunction": "SHA-1", "salt": "salty"}}},
+    }
+    for name, p in params.items():
+        data = {"name": name, "vendor": "com.acme", "enabled": True} | ({} if p is None else {"parameters": p})
+        _file(spark, f"{folder}/enrichments", f"{name}.json", json.dumps({"schema": "config", "data": data}, indent=4))
+    return f"{folder}/enrichments"
+
+
+def _script_text(pdf: pd.DataFrame) -> pd.Series:
+    return pdf["event_name"].fillna("") + ":" + pdf["platform"].fillna("")
+
+
+def q_pipeline_from_directory(s, sf):
+    """All thirteen enrichments, loaded by name from a folder; one is then switched off by a newer file of its name."""
+    a = with_headers(atomic(s, sf)).withColumn("page_url", F.concat("page_url", F.when(_n() % 3 == 0, F.concat(
+        F.lit("?_sp="), F.col("domain_userid"), F.lit(".1700000000000"))).otherwise(F.lit(""))))
+    read_table(s, sf, "customer").withColumn(
+        "key", F.concat(F.lit("login"), F.col("c_custkey").cast("string"))).createOrReplaceTempView("lookup_customers")
+    configs = C.read_configs(s, config_folder(s))
+    assert set(configs) == set(C.CONFIG_STEPS)
+    configs = C.put_config(configs, {"data": {**configs["anon_ip"], "parameters": {"anonOctets": 2}}})
+    a = a.withColumn("tr_total", F.col("tr_total_base"))
+    done = C.run(a, configs, C.Resources(rates=derived_rates(a), ip_ranges=geo_ranges(s, sf), ip_outputs=["geo_country"],
+                                         script=_script_text, script_inputs=["event_name", "platform"]))
+    return done.select(
+        "event_id", "mkt_medium", "mkt_source", "mkt_campaign", "event_fingerprint", "refr_medium", "refr_source",
+        "refr_domain_userid", F.size("cookie_context").alias("n_cookies"), F.size("header_context").alias("n_headers"),
+        F.round("tr_total_base", 6).alias("tr_total_base"), "geo_country", "iab__reason", "iab__primary_impact",
+        F.get("sql_query_context", 0)["data"]["c_name"].alias("c_name"), "user_ipaddress", "script_context", "user_id")
+
+
 QUERIES = {
+    "interval_lookup_overlapping": q_interval_lookup,
+    "currency_conversion_items": q_currency_items,
+    "sql_lookup_json_path": q_sql_json_path,
+    "iab_lists_from_files": q_iab_files,
+    "event_pipeline_from_directory": q_pipeline_from_directory,
     "campaign_attribution": lambda s, sf: E.campaign_attribution(atomic(s, sf)).select(
         "event_id", "mkt_medium", "mkt_source", "mkt_term", "mkt_content", "mkt_campaign"),
     "campaign_attribution_pages": lambda s, sf: E.campaign_attribution(
@@ -135,7 +268,7 @@ QUERIES = {
     "http_header_extractor": lambda s, sf: E.http_header_extractor(
         with_headers(atomic(s, sf)), {"headersPattern": "User-Agent|Host"})
         .select("event_id", F.explode("header_context").alias("h")).select("event_id", "h.name", "h.value"),
-    "do_not_track_filter": lambda s, sf: do_not_track_filter(with_headers(atomic(s, sf))).select("event_id"),
+    "do_not_track_filter": lambda s, sf: E.do_not_track_filter(with_headers(atomic(s, sf))).select("event_id"),
     "cross_navigation": lambda s, sf: E.cross_navigation(atomic(s, sf).withColumn(
         "page_url", F.concat(F.col("page_url"), F.when(_n() % 3 == 0, F.concat(
             F.lit("?_sp="), F.col("domain_userid"), F.lit("."),
@@ -153,8 +286,10 @@ def _qp(name, q):
 
 
 def _fp(q):
-    return (f"CASE WHEN {q} IS NOT NULL THEN sha1(array_to_string(list_sort(list_filter(string_split({q}, '&'), "
-            f"lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('cv', 'eid', 'nuid', 'stm'))), '&')) END")
+    """Pairs in order of key, then pair."""
+    return (f"CASE WHEN {q} IS NOT NULL THEN sha1(array_to_string(list_transform(list_sort(list_transform("
+            f"list_filter(string_split({q}, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('cv', 'eid', 'nuid', 'stm')), "
+            f"lambda x: {{'k': split_part(x, '=', 1), 'p': x}})), lambda x: x.p), '&')) END")
 
 
 HOST_SQL = "regexp_extract(page_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)"
@@ -221,7 +356,57 @@ PAGES_Q = "regexp_extract(url, '\\?([^#]*)', 1)"
 MKT = ("mkt_medium", "mkt_source", "mkt_term", "mkt_content", "mkt_campaign")
 MKT_P = ("utm_medium", "utm_source", "utm_term", "utm_content", "utm_campaign")
 
+def _rate(currency: str, day: str) -> str:
+    """Rate of a currency at the close of the day before, where the data have that day."""
+    prior = f"(CAST({day} AS DATE) - INTERVAL 1 DAY)"
+    return (f"CASE WHEN {currency} = 'EUR' THEN 1.0::DOUBLE WHEN CAST({prior} AS DATE) NOT IN (SELECT d FROM days) THEN NULL "
+            f"WHEN {currency} = 'GBP' THEN 1.15::DOUBLE + (day({prior}) % 5) / 100.0::DOUBLE "
+            f"WHEN {currency} = 'USD' THEN 0.90::DOUBLE + (day({prior}) % 7) / 100.0::DOUBLE END")
+
+
+_MONEY = "['EUR', 'GBP', 'USD', 'CHF']"
+_URL3 = f"(a.page_url || CASE WHEN {_N.replace('event_id', 'a.event_id')} % 3 = 0 THEN '?_sp=' || a.domain_userid || '.1700000000000' ELSE '' END)"
+DIRECTORY_SQL = with_ctes(ATOMIC + [IP_CTE, UA_FLAGS_CTE, RATES_CTE], f"""
+SELECT a.event_id, {_qp('utm_medium', 'a.page_urlquery')} AS mkt_medium, {_qp('utm_source', 'a.page_urlquery')} AS mkt_source,
+  {_qp('utm_campaign', 'a.page_urlquery')} AS mkt_campaign, {_fp('a.page_urlquery')} AS event_fingerprint,
+  rf.refr_medium, rf.refr_source,
+  CASE WHEN {_N.replace('event_id', 'a.event_id')} % 3 = 0 THEN a.domain_userid END AS refr_domain_userid,
+  CASE WHEN a.domain_userid IS NULL OR a.platform IS NULL THEN NULL WHEN {_N.replace('event_id', 'a.event_id')} % 7 = 0 THEN 2 ELSE 1 END AS n_cookies,
+  2 AS n_headers, round(rt.tr_total_base * rt.rate, 6) AS tr_total_base, n.n_name AS geo_country,
+  ib.iab__reason, ib.iab__primary_impact, c.c_name,
+  CASE WHEN regexp_matches(a.user_ipaddress, '{IPV4_SQL}') THEN regexp_replace(a.user_ipaddress, '\\.[0-9]+\\.[0-9]+$', '.x.x')
+       ELSE a.user_ipaddress END AS user_ipaddress,
+  coalesce(a.event_name, '') || ':' || coalesce(a.platform, '') AS script_context, sha1(a.user_id || 'salty') AS user_id
+FROM atomic a JOIN (SELECT DISTINCT * FROM ({REFERER_SQL})) rf ON rf.event_id = a.event_id
+JOIN (SELECT DISTINCT * FROM ({RATE_SQL})) rt ON rt.event_id = a.event_id
+JOIN (SELECT DISTINCT * FROM ({IAB_SQL})) ib ON ib.event_id = a.event_id
+LEFT JOIN nation n ON ({_ip_long('a.user_ipaddress')}) // 167772160 = n.n_nationkey
+LEFT JOIN customer c ON 'login' || CAST(c.c_custkey AS VARCHAR) = a.user_id""")
+
 ORACLE = {
+    "interval_lookup_overlapping": """
+WITH r AS (SELECT *, lo + CASE WHEN o_custkey % 9 = 0 THEN 4096 ELSE (o_custkey % 5) * 3 END AS hi
+           FROM (SELECT (o_orderkey * 37) % 120000 AS lo, o_custkey, o_orderpriority AS owner, o_orderkey AS "of" FROM orders)),
+p AS (SELECT l_orderkey, l_linenumber, (l_partkey * 61 + l_suppkey * 7) % 140000 AS x FROM lineitem),
+u AS (SELECT DISTINCT x FROM p),
+b AS (SELECT x, min({'w': hi - lo, 'lo': lo, 'owner': owner, 'of': CAST("of" AS BIGINT)}) AS best FROM u JOIN r ON x BETWEEN lo AND hi GROUP BY x)
+SELECT l_orderkey, l_linenumber, best.owner AS owner, best."of" AS "of" FROM p LEFT JOIN b USING (x)""",
+    "currency_conversion_items": f"""
+WITH days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+       round(CAST(l_extendedprice AS DOUBLE) * {_rate(f"{_MONEY}[l_orderkey % 4 + 1]", "l_shipdate")}, 4) AS ti_price_base,
+       round(CAST(l_quantity AS DOUBLE) * {_rate(f"{_MONEY}[l_linenumber % 4 + 1]", "l_shipdate")}, 4) AS tr_total_base
+FROM lineitem""",
+    "sql_lookup_json_path": """
+WITH o AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS k, min(o_orderstatus) AS s FROM orders
+           WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT event_id, CASE WHEN n = 1 AND event_id % 5 <> 0 THEN k END AS orderkey,
+       CASE WHEN n = 1 AND event_id % 5 <> 0 THEN s END AS status,
+       CASE WHEN event_id % 5 = 0 OR n > 1 THEN NULL ELSE coalesce(n, 0) END AS n,
+       CASE WHEN event_id % 5 <> 0 AND n > 1 THEN 'expected AT_MOST_ONE, found ' || n END AS failure
+FROM events LEFT JOIN o ON o_custkey = user_id""",
+    "iab_lists_from_files": with_ctes(ATOMIC + [IP_CTE, UA_FLAGS_CTE], IAB_SQL),
+    "event_pipeline_from_directory": DIRECTORY_SQL,
     "campaign_attribution": with_ctes(ATOMIC, "SELECT event_id, " + ", ".join(
         f"{_qp(p, 'page_urlquery')} AS {c}" for c, p in zip(MKT, MKT_P)) + " FROM atomic"),
     "campaign_attribution_pages": f"SELECT page_id, " + ", ".join(
