@@ -37,7 +37,7 @@ TOP = 10
 BLOCK_BYTES = 16 << 20  # of query text held by a task at a time
 CHUNK = 8 << 20
 SLICE = 1 << 20  # postings searched at a time, about
-PART = 4 << 20  # postings of a task, about
+PART = 1 << 19  # postings of a task, about
 
 _BYTE = np.zeros(256, np.uint8)  # lower-cased; 0 where no term byte
 for _c in range(256):
