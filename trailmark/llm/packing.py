@@ -22,16 +22,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import written
+from trailmark.llm.common import slices, written
 
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 40_000
-CACHED_WORDS = 300_000  # a worker's word cache is emptied beyond this
+CACHED_WORDS = 400_000  # words of a generation of a worker's cache
+CHUNK = 12 << 20  # bytes of text whose words are looked up together; a longer text is cut at spaces
 
 # Text of these characters is stable under the tokenizer's normaliser, and splits as WORD says.
-PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*\Z")
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Lines of words: those that hold anything else, or a special token's mark, go through the whole tokenizer.
+ODD = re.compile(r"^[^\n]*(?:[^\x21-\x7eÀ-ÖØ-öø-ÿ\n]|<\|)[^\n]*$", re.MULTILINE)
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
+
+
+class Remembered(dict):
+    """A mapping of two generations: a full one becomes the old one, from which what is asked for again comes back."""
+
+    def __init__(self, most: int = CACHED_WORDS):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def unknown(self, keys) -> list:
+        return [k for k in keys if k not in self and k not in self.old]
 
 
 class Words:
@@ -39,7 +61,8 @@ class Words:
 
     A word of plain letters is split as the tokenizer's own pattern splits it
     and each part is encoded once; any other word goes through the whole
-    tokenizer, which is never changed in what it returns.
+    tokenizer, which is never changed in what it returns.  The different words of
+    many texts are learned together.
     """
 
     def __init__(self, path: str):
@@ -50,12 +73,9 @@ class Words:
         self.parts = Tokenizer.from_file(path)
         self.parts.normalizer = Sequence([])
         self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.of_word: dict[str, bytes] = {}
-        self.of_part: dict[str, bytes] = {}
+        self.of_word, self.of_part = Remembered(), Remembered()
 
     def _encode_parts(self, parts: list[str]) -> None:
-        if len(self.of_part) > CACHED_WORDS:
-            self.of_part.clear()
         for i in range(0, len(parts), 2000):
             some = parts[i:i + 2000]
             e = self.parts.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -64,41 +84,57 @@ class Words:
             for p, a, z in zip(some, cut, cut[1:]):
                 self.of_part[p] = ids[a:z]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.of_word) > CACHED_WORDS:
-            self.of_word.clear()
-        words = [w for w in words if w not in self.of_word]
-        split, odd, new = {}, [], set()
-        for w in words:
-            # the special tokens' marks and anything beyond plain letters: the whole tokenizer decides
-            if "<|" in w or not PLAIN.match(w):
-                odd.append(w)
-            else:
-                split[w] = ps = WORD.findall(w.lower())
-                new.update(ps)
+    def learn(self, words: list[str]) -> None:
+        """Afterwards each of ``words`` (none holds a line feed) is in one of the two generations."""
+        self.of_word.turn()
+        self.of_part.turn()
         known = self.of_part
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        self._encode_parts([p for p in new if p not in known])
-        for w, ps in split.items():
-            self.of_word[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        known["\n"] = b""
+        new = self.of_word.unknown(words)
+        odd = set(ODD.findall("\n".join(new)))
+        plain = [w for w in new if w not in odd] if odd else new
+        parts = WORD.findall("\n".join(plain).lower())
+        self._encode_parts(known.unknown(set(parts)))
+        ids = list(map(known.__getitem__, parts))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        line = np.flatnonzero(np.fromiter((p == "\n" for p in parts), bool, len(parts)))
+        cut = [0, *ends[line].tolist(), int(ends[-1]) if len(ends) else 0]
+        whole = b"".join(ids)
+        self.of_word.update(zip(plain, [whole[a:z] for a, z in zip(cut, cut[1:])]))
+        odd = list(odd)
         for i in range(0, len(odd), 2000):
             some = odd[i:i + 2000]
             for w, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False)):
                 self.of_word[w] = np.array(e.ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        out = []
-        for i in range(0, len(words), 100_000):
-            some = words[i:i + 100_000]
-            try:
-                out.append(b"".join(map(self.of_word.__getitem__, some)))
-            except KeyError:
-                self.learn(set(some))
-                out.append(b"".join(map(self.of_word.__getitem__, some)))
-        return out[0] if len(out) == 1 else b"".join(out)
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The texts' ids as little-endian unsigned 32-bit numbers: each different word looked up once, then taken."""
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(different)
+        found = pa.array(list(map(self.of_word.__getitem__, different)), pa.large_binary()).take(words.indices)
+        if len(found) == 0:
+            return [b""] * len(texts)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        at = ends[np.concatenate([[0], np.cumsum(size)])].tolist()
+        data = memoryview(found.buffers()[2]) if found.buffers()[2] is not None else memoryview(b"")
+        return [bytes(data[a:z]) for a, z in zip(at, at[1:])]
+
+    def ids_of_long(self, text: str) -> bytes:
+        """As ``ids``, for a text of any length: piece by piece, cut at white space, which has no ids."""
+        out, at = [], 0
+        while at < len(text):
+            to = at + CHUNK
+            if to < len(text):
+                ends = [e for e in (text.find(" ", to), text.find("\n", to)) if e >= 0]
+                to = min(ends, default=len(text))
+            out += self.ids(pa.array([text[at:to]], pa.large_string()))
+            at = to + 1
+        return b"".join(out)
 
 
 _words: dict[str, Words] = {}
@@ -128,14 +164,16 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     schema = T.StructType([T.StructField("doc_id", id_field.dataType), *PIECE.fields])
 
     def cut(batches):
+        import pyarrow.compute as pc
+
         words = words_for(tokenizer_path(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = batch.column(1)
+        for batch in slices(batches, "text", CHUNK):
+            texts = pc.fill_null(batch.column(1), "")
+            found = words.ids_of_long(texts[0].as_py()) if batch.num_rows == 1 else None  # a slice of more rows is short
             which, rows = [], []
-            for k in range(batch.num_rows):
-                text = texts[k].as_py()
-                ids = (words.ids(text) if text else b"") + end
+            for k, ids in enumerate(words.ids(texts) if found is None else [found]):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, window):
                     part = ids[4 * s:4 * (s + window)]
