@@ -8,7 +8,9 @@ session's checkpoint folder and read the result back.
 
 from __future__ import annotations
 
+import time
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from trailmark.session import checkpoint_dir
 from trailmark.sources import lake, tsv
 from trailmark.sources.dims import read_seed_csv
 from trailmark.sources.tables import atomic, read_table
+from trailmark.streaming import late, start
 from trailmark.streaming import pipeline as T
 from trailmark.registry.oracle_base import base_ctes, with_ctes
 
@@ -200,6 +203,58 @@ def q_dead_letter_split(s, sf):
         bad.select("event_id", F.lit("bad").alias("output")))
 
 
+def _batch_no():
+    """Batch that brings an event: by day, but every 35th event comes in the last one."""
+    return F.when(_n() % 35 == 0, 3).otherwise(F.least(F.lit(3), F.floor((F.dayofmonth("collector_tstamp") - 1) / 8))).cast("int")
+
+
+def _late_source(s, sf):
+    """Fixture events as a stream of four files; the last holds rows far behind the others."""
+    src = scratch(s, "late-src")
+    a = atomic(s, sf).select("event_id", "collector_tstamp", "event_name")
+    for k in range(4):
+        a.filter(_batch_no() == k).coalesce(1).write.mode("append").parquet(src)
+    return s.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def q_metrics_late(s, sf):
+    out, ck = scratch(s, "late"), scratch(s, "ck")
+    late.pipeline_metrics(_late_source(s, sf), "collector_tstamp", out, ck, "1 day", "event_name", "1 hour").awaitTermination()
+    on_time = late.result(s, out, ("event_name",), {"n": "sum"})
+    behind = late.late_rows(s, out).groupBy("event_name").agg(F.count("*").alias("n"))
+    return on_time.select(F.lit("on time").alias("place"), F.col("period_start").cast("date").alias("day"), "event_name", "n").unionByName(
+        behind.select(F.lit("late").alias("place"), F.lit(None).cast("date").alias("day"), "event_name", "n"))
+
+
+def q_dedupe_late(s, sf):
+    out, ck = scratch(s, "late"), scratch(s, "ck")
+    late.dedupe(_late_source(s, sf), out, ck, "event_id", "collector_tstamp", "1 hour").awaitTermination()
+    return late.kept_rows(s, out).select(F.lit("kept").alias("place"), "event_id", "collector_tstamp").unionByName(
+        late.late_rows(s, out).select(F.lit("late").alias("place"), "event_id", "collector_tstamp"))
+
+
+def q_stream_fan_out(s, sf):
+    """Two sinks; then all batches once more under their old ids, as after a lost checkpoint."""
+    one, two, ledger = scratch(s, "one"), scratch(s, "two"), scratch(s, "ledger")
+    sinks = {"one": lambda d, b: lake.write_events(d, one), "two": lake.write_batch(two)}
+    for _ in range(2):
+        T.stream_fan_out(_late_source(s, sf), sinks, ledger, scratch(s, "ck")).awaitTermination()
+    return s.read.parquet(one).unionByName(s.read.parquet(two).drop("batch"))
+
+
+def q_stream_start(s, sf):
+    """AT_TIMESTAMP over a folder: files that were there before are not read."""
+    src, out = scratch(s, "start-src"), scratch(s, "start-out")
+    a = atomic(s, sf)
+    a.filter(_n() % 2 == 0).write.mode("append").parquet(src)
+    time.sleep(1.1)
+    begin = datetime.now(timezone.utc)
+    a.filter(_n() % 2 == 1).write.mode("append").parquet(src)
+    stream = start.read_folder(s, "parquet", src, "AT_TIMESTAMP", f"{out}-state", begin, schema=a.schema)
+    T.stream_load(stream, out, f"{out}-ck", trigger="availableNow").awaitTermination()
+    return s.read.parquet(out)
+
+
 def _stream_dirs(s, sf):
     lines = enriched_lines(s, sf)
     dirs = {}
@@ -266,6 +321,10 @@ QUERIES = {
     "latency_health": lambda s, sf: T.latency_health(atomic(s, sf), "collector_tstamp", "derived_tstamp", "10 minutes"),
     "incomplete_same_table": q_incomplete_same_table,
     "stream_dedupe": q_stream_dedupe,
+    "metrics_with_late_rows": q_metrics_late,
+    "dedupe_with_late_rows": q_dedupe_late,
+    "stream_fan_out": q_stream_fan_out,
+    "stream_start_at_timestamp": q_stream_start,
 }
 
 # ------------------------------------------------------------------------- oracles
@@ -330,6 +389,18 @@ SKIP_SQL = (f"SELECT event_id, 'iglu:com.acme/' || event_name || '/jsonschema/1-
             f"CAST({_N} % 2 AS VARCHAR) AS schema FROM atomic")
 STREAM_SQL = f"CASE {_N} % 3 WHEN 0 THEN 'enriched-good' WHEN 1 THEN 'enriched-incomplete' ELSE 'enriched-bad' END"
 
+_LATE = f"""late_src AS (SELECT event_id, collector_tstamp AS t, event_name, CASE WHEN {_N} % 35 = 0 THEN 3
+             ELSE least(3, (day(collector_tstamp) - 1) // 8) END AS b FROM atomic),
+late_wm AS (SELECT x.b, max(s.t) - INTERVAL 1 HOUR AS wm FROM (VALUES (0), (1), (2), (3)) x(b) JOIN late_src s ON s.b < x.b GROUP BY 1)"""
+METRICS_LATE_SQL = with_ctes(ATOMIC + [_LATE], """SELECT place, day, event_name, count(*) AS n FROM (
+  SELECT CASE WHEN wm IS NOT NULL AND date_trunc('day', t) + INTERVAL 1 DAY <= wm THEN 'late' ELSE 'on time' END AS place,
+         CASE WHEN wm IS NOT NULL AND date_trunc('day', t) + INTERVAL 1 DAY <= wm THEN NULL ELSE CAST(t AS DATE) END AS day, event_name
+  FROM late_src LEFT JOIN late_wm USING (b)) GROUP BY ALL""")
+DEDUPE_LATE_SQL = with_ctes(ATOMIC + [_LATE], """SELECT place, event_id, t AS collector_tstamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id, place ORDER BY t) AS k FROM (
+    SELECT CASE WHEN wm IS NOT NULL AND t < wm THEN 'late' ELSE 'kept' END AS place, event_id, t
+    FROM late_src LEFT JOIN late_wm USING (b))) WHERE place = 'late' OR k = 1""")
+
 ORACLE = {
     "read_enriched_tsv": with_ctes(LINES, S01_SQL),
     "union_tagged_streams": with_ctes(LINES, "SELECT value, stream FROM lines"),
@@ -347,6 +418,11 @@ ORACLE = {
                                            "CROSS JOIN (VALUES (1), (2)) t(copy)"),
     "scan_lake_table": "SELECT * FROM events",
     "scan_csv_seed": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "metrics_with_late_rows": METRICS_LATE_SQL,
+    "dedupe_with_late_rows": DEDUPE_LATE_SQL,
+    "stream_fan_out": with_ctes(ATOMIC, "SELECT event_id, collector_tstamp, event_name FROM atomic UNION ALL "
+                                        "SELECT event_id, collector_tstamp, event_name FROM atomic"),
+    "stream_start_at_timestamp": with_ctes(ATOMIC, f"SELECT * FROM atomic WHERE {_N} % 2 = 1"),
     "sink_fan_out": with_ctes(ATOMIC, "SELECT * FROM atomic UNION ALL SELECT * FROM atomic"),
     "append_windowed": WHOLE,
     "stream_load": WHOLE,

@@ -38,13 +38,34 @@ def sink_fan_out(df: DataFrame, sinks: Sequence[Callable[[DataFrame], None]]) ->
         df.unpersist()
 
 
-def fan_out_batch(sinks: Sequence[Callable[[DataFrame], None]]):
-    """``foreachBatch`` callback form of :func:`sink_fan_out` (idempotent per batch id if the sinks are)."""
+def fan_out_batch(sinks: dict[str, Callable[[DataFrame, int], None]], ledger):
+    """``foreachBatch`` callback that writes each micro-batch once to each named sink.
+
+    A sink that has taken a batch is noted in the ledger, so a batch replayed after another sink failed goes only to
+    the sinks that lack it.  Sinks get the batch id: one that fails half-way must overwrite by it, or pass it on as
+    its own transaction id, as ``write_batch`` does.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sink_fan_out(batch, sinks)
+        lacking = [name for name in sinks if ledger.get(f"{name}-{batch_id}") is None]
+        if not lacking:
+            return
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for name in lacking:
+                sinks[name](batch, batch_id)
+                ledger.put(f"{name}-{batch_id}", {"done": True})
+        finally:
+            batch.unpersist()
     return handle
 
 
+def write_batch(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch in a partition of its own, which a replay overwrites."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+    return sink
+
+
 def batch_by_size_or_delay(df: DataFrame, ts_col: str, size: Column, max_bytes: int, max_delay: str,
                            order: Sequence[str] = ("event_id",)) -> DataFrame:
     """Assign each record to an emitted batch: a new batch starts every ``max_delay`` window or
@@ -63,7 +84,10 @@ def batch_by_size_or_delay(df: DataFrame, ts_col: str, size: Column, max_bytes:
 
 
 def start_position(df: DataFrame, position: str, ts_col: str = "collector_tstamp", at=None) -> DataFrame:
-    """TRIM_HORIZON = everything, LATEST = nothing already stored, AT_TIMESTAMP = from ``at`` on."""
+    """S12 over a stored table: TRIM_HORIZON = everything, LATEST = nothing already stored, AT_TIMESTAMP = from ``at`` on.
+
+    Streams begin at source offsets: ``streaming.start``.
+    """
     p = position.upper()
     if p == "TRIM_HORIZON":
         return df

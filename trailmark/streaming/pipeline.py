@@ -42,6 +42,16 @@ def stream_load(src: DataFrame, out: str, checkpoint: str, trigger: str | None =
     return _trigger(w.outputMode("append"), trigger).start()
 
 
+def stream_fan_out(src: DataFrame, sinks: dict, ledger_dir: str, checkpoint: str,
+                   trigger: str | None = None) -> StreamingQuery:
+    """Every micro-batch to every sink, each once however often it is replayed (``lake.fan_out_batch``)."""
+    from trailmark.sources.lake import fan_out_batch
+    from trailmark.streaming.ledger import Ledger
+
+    handle = fan_out_batch(sinks, Ledger(src.sparkSession, ledger_dir))
+    return _trigger(src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint), trigger).start()
+
+
 def pipeline_metrics(df: DataFrame, ts_col: str, period: str = "10 seconds", by: str = "stream",
                      watermark: str | None = "1 minute") -> DataFrame:
     """Record counts per reporting period and stream (tumbling window; watermark bounds state)."""
