@@ -76,3 +76,33 @@ def test_rank_in_group_matches_row_number(spark):
     assert j.filter(F.col("r") != F.col("r2")).count() == 0
     sizes = {r.g: r.c for r in base.groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}
     assert all(r.n == sizes[r.g] for r in got.select("g", "n").distinct().collect())
+
+
+def test_rank_in_group_reads_its_input_once_and_splits_rows_without_time(spark):
+    """Against row_number(), with hot groups, equal times and rows that lack one or both times."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from trailmark.operators.ranking import asc, rank_in_group
+
+    rng = random.Random(6)
+    t = lambda: None if rng.random() < 0.4 else datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(600))
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), t(), t(), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, dv timestamp_ntz, i int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    counted = df.mapInPandas(count, df.schema)
+    order = [asc("ts"), asc("dv"), asc("i")]
+    got = rank_in_group(counted, "g", "ts", order, "rn", count_out="n", then_col="dv").collect()
+    assert seen.value == 500
+    w = Window.partitionBy("g")
+    want = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+    assert sorted((r["i"], r["rn"], r["n"]) for r in got) == sorted((r["i"], r["rn"], r["n"]) for r in want.collect())

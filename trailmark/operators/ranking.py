@@ -47,31 +47,39 @@ def dedupe_dimension(dim: DataFrame, key: str, order: str = "name") -> DataFrame
 
 
 def rank_in_group(df: DataFrame, group: str, ts_col: str, order: Sequence[Column], out: str,
-                  count_out: str | None = None, bucket_seconds: int = 60) -> DataFrame:
+                  count_out: str | None = None, bucket_seconds: int = 60, then_col: str | None = None) -> DataFrame:
     """``row_number() over (partition by group order by ts_col, ...)`` without sorting a group in one task.
 
-    ``order`` must start with ``ts_col`` ascending, NULLs last.  Rows are cut
-    into (group, time bucket) slices; each slice is ranked on its own
-    (hash-partitioned on both keys, so a hot group spreads over many tasks),
-    then shifted by the row count of the group's earlier slices, taken from a
-    small per-group table of slice counts.  ``count_out`` adds the group size
-    (the whole-partition max of the rank).
+    ``order`` must start with ``ts_col`` ascending, NULLs last, then ``then_col`` likewise if given.  The input is
+    written once and read from there.  Rows are cut into (group, time bucket) slices, those without time by their
+    bucket of ``then_col``; each slice is ranked on its own (hash-partitioned on both keys, so a hot group spreads
+    over many tasks), then shifted by the row count of the group's earlier slices, which a second pass over the two
+    or three key columns counts.  ``count_out`` adds the group size (the whole-partition max of the rank).
     """
     from trailmark.functions.timeutil import epoch_micros, floor_div
+    from trailmark.session import materialize
 
     big = F.lit(9_223_372_036_854_775_807)
-    bucket = F.coalesce(floor_div(epoch_micros(F.col(ts_col)), bucket_seconds * 1_000_000), big)
-    d = df.withColumn("__slice", bucket)
-    counts = d.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    w_prev = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def bucket(col):
+        return F.coalesce(floor_div(epoch_micros(F.col(col)), bucket_seconds * 1_000_000), big)
+
+    later = F.when(F.col(ts_col).isNull(), bucket(then_col)) if then_col else F.lit(None).cast("bigint")
+    d = materialize(df.withColumns({"__slice": bucket(ts_col), "__then": F.coalesce(later, F.lit(0).cast("bigint"))}),
+                    "rank_input")
+    slices = ["__slice", "__then"]
+    counts = d.groupBy(group, *slices).agg(F.count(F.lit(1)).alias("__n"))
+    w_prev = Window.partitionBy(group).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_prev), F.lit(0)))
     if count_out:
         offsets = offsets.withColumn(count_out, F.sum("__n").over(Window.partitionBy(group)))
     offsets = offsets.drop("__n")
-    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(group, "__slice").orderBy(*order)))
-    j = local.join(offsets, local[group].eqNullSafe(offsets[group]) & (local["__slice"] == offsets["__slice"]))
-    j = j.drop(offsets[group]).drop(offsets["__slice"])
-    return j.withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint")).drop("__slice", "__local", "__off")
+    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(group, *slices).orderBy(*order)))
+    same = local[group].eqNullSafe(offsets[group])
+    for c in slices:
+        same = same & (local[c] == offsets[c])
+    j = local.join(offsets, same).drop(offsets[group], *[offsets[c] for c in slices])
+    return j.withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint")).drop(*slices, "__local", "__off")
 
 
 def running_total_in_group(df: DataFrame, group: str, ts_col: str, order: Sequence[Column], value: Column,

@@ -62,7 +62,7 @@ def unified_views(events: DataFrame, cfg: ModelConfig, engaged: DataFrame | None
     end = F.coalesce(c("_t_end"), c("derived_tstamp"))
     # W03 + W04: skew-safe rank (range-split by time, see rank_in_group) and session size.
     j = rank_in_group(j, "session_identifier", "derived_tstamp", order, "view_in_session_index",
-                      count_out="views_in_session")
+                      count_out="views_in_session", then_col="dvce_created_tstamp")
     j = j.withColumns({
         "end_tstamp": end,
         "engaged_time_in_s": F.coalesce(c("_t_eng"), F.lit(0.0)),
