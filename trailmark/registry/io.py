@@ -15,7 +15,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.contracts import ATOMIC_FIELDS
+from trailmark.functions.contracts import ATOMIC_FIELDS, BOOL_FIELDS, JSON_FIELDS, NUMBER_FIELDS
 from trailmark.session import checkpoint_dir
 from trailmark.sources import lake, tsv
 from trailmark.sources.dims import read_seed_csv
@@ -58,11 +58,33 @@ def _line_fields() -> dict[str, object]:
     }
 
 
+def _other_cell(name: str, i: int):
+    """Text of a field that the fixture lacks, by its type: right and wrong numbers, booleans and JSON, empty text."""
+    n = _n()
+    if name in NUMBER_FIELDS:
+        return F.when(n % 10 == i % 10, "abc").otherwise(((n + i) % 1000).cast("string"))
+    if name in BOOL_FIELDS:
+        return F.when((n + i) % 3 == 0, "true").when((n + i) % 3 == 1, "false").otherwise("x")
+    if name in JSON_FIELDS:
+        return F.when((n + i) % 4 == 0, '{"a":1}').when((n + i) % 4 == 1, "{bad").otherwise("")
+    return F.when((n + i) % 5 == 0, "").otherwise(F.concat(F.lit(f"{name}-"), n.cast("string")))
+
+
+def _other_sql(name: str, i: int) -> str:
+    if name in NUMBER_FIELDS:
+        return f"CASE WHEN {_N} % 10 = {i % 10} THEN 'abc' ELSE CAST(({_N} + {i}) % 1000 AS VARCHAR) END"
+    if name in BOOL_FIELDS:
+        return f"CASE ({_N} + {i}) % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'x' END"
+    if name in JSON_FIELDS:
+        return f"CASE ({_N} + {i}) % 4 WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN '{{bad' ELSE '' END"
+    return f"CASE WHEN ({_N} + {i}) % 5 = 0 THEN '' ELSE '{name}-' || CAST({_N} AS VARCHAR) END"
+
+
 def enriched_lines(spark, sf) -> DataFrame:
     """(origin stream, line) per fixture row; bad-stream rows are JSON bad-row documents."""
     a = atomic(spark, sf)
     f = _line_fields()
-    cells = [F.coalesce(f[name], F.lit("")) if name in f else F.lit("") for name in ATOMIC_FIELDS]
+    cells = [F.coalesce(f[name], F.lit("")) if name in f else _other_cell(name, i) for i, name in enumerate(ATOMIC_FIELDS)]
     n = _n()
     full = F.concat_ws("\t", *cells)
     ragged = F.concat_ws("\t", *cells[:RAGGED_FIELDS])
@@ -72,14 +94,9 @@ def enriched_lines(spark, sf) -> DataFrame:
     return a.select(stream.alias("stream"), F.when(n % 3 == 2, bad).otherwise(line).alias("value"))
 
 
-S01_COLS = ["app_id", "platform", "collector_tstamp", "event", "event_id", "user_ipaddress", "page_urlquery",
-            "contexts", "useragent", "br_cookies", "br_viewwidth", "doc_width", "tr_total_base", "domain_sessionid",
-            "derived_tstamp"]
-
-
 def q_read_enriched_tsv(s, sf):
     lines = enriched_lines(s, sf).filter(F.col("stream") != "enriched-bad")
-    return tsv.read_enriched_tsv(lines).select(*S01_COLS)
+    return tsv.read_enriched_tsv(lines)
 
 
 def q_union_tagged_streams(s, sf):
@@ -87,11 +104,22 @@ def q_union_tagged_streams(s, sf):
     return tsv.union_tagged_streams({k: lines.filter(F.col("stream") == k) for k in STREAM_OF.values()})
 
 
+def _json_texts(held) -> list:
+    """Text of every field of a rendered event, parsed as a map (NULL for null)."""
+    return [F.element_at(held, name).alias(name) for name in ATOMIC_FIELDS]
+
+
+def _held(document):
+    return F.from_json(document, "map<string, string>").alias("held")
+
+
 def _routed_projection(r: DataFrame) -> DataFrame:
-    return r.select("stream", "schema", F.coalesce(F.col("event_id"), F.get_json_object("data", "$.payload"))
-                    .alias("event_id"), F.get_json_object("data", "$.app_id").alias("data_app_id"),
-                    F.get_json_object("data", "$.doc_width").alias("data_doc_width"),
-                    F.get_json_object("data", "$.br_cookies").alias("data_br_cookies"))
+    """All fields of the rendered data as one text; a bad row's payload stands for its event id."""
+    r = r.select("*", _held("data"))
+    texts = [F.coalesce(c, F.lit("~")) for c in _json_texts(F.col("held"))]
+    payload = F.element_at("held", "payload")
+    return r.select("stream", "schema", F.coalesce(F.col("event_id"), payload).alias("event_id"),
+                    F.when(payload.isNull(), F.array_join(F.array(*texts), "|")).alias("fields"))
 
 
 def q_route_by_stream(s, sf):
@@ -106,11 +134,7 @@ def q_tag_schema(s, sf):
 
 def q_event_to_json(s, sf):
     parsed = tsv.read_enriched_tsv(enriched_lines(s, sf).filter(F.col("stream") == "enriched-good"))
-    j = tsv.event_to_json(parsed)
-    return parsed.select("event_id", F.get_json_object(j, "$.app_id").alias("app_id"),
-                         F.get_json_object(j, "$.br_cookies").alias("br_cookies"),
-                         F.get_json_object(j, "$.doc_width").alias("doc_width"),
-                         F.get_json_object(j, "$.mkt_medium").alias("mkt_medium"))
+    return parsed.select(_held(tsv.event_to_json(parsed))).select(*_json_texts(F.col("held")))
 
 
 def q_sink_fan_out(s, sf):
@@ -345,7 +369,7 @@ def _line_sql():
         "tr_total_base": "CAST(tr_total_base AS VARCHAR)", "domain_sessionid": "domain_sessionid",
         "derived_tstamp": "CAST(derived_tstamp AS VARCHAR)",
     }
-    cells = [f"coalesce({f[n]}, '')" if n in f else "''" for n in ATOMIC_FIELDS]
+    cells = [f"coalesce({f[n]}, '')" if n in f else _other_sql(n, i) for i, n in enumerate(ATOMIC_FIELDS)]
     full = " || chr(9) || ".join(cells)
     ragged = " || chr(9) || ".join(cells[:RAGGED_FIELDS])
     bad = f"'{{\"schema\":\"{BAD_SCHEMA}\",\"data\":{{\"payload\":\"' || event_id || '\"}}}}'"
@@ -358,7 +382,6 @@ def _field(name, typed=True):
     raw = f"string_split(value, chr(9))[{POS[name] + 1}]"
     if not typed:
         return raw
-    from trailmark.functions.contracts import BOOL_FIELDS, JSON_FIELDS, NUMBER_FIELDS
     if name in NUMBER_FIELDS:
         return f"TRY_CAST({raw} AS DOUBLE)"
     if name in BOOL_FIELDS:
@@ -369,20 +392,20 @@ def _field(name, typed=True):
 
 
 LINES = ATOMIC + [_line_sql()]
-S01_SQL = "SELECT " + ", ".join(f"{_field(c)} AS {c}" for c in S01_COLS) + " FROM lines WHERE stream <> 'enriched-bad'"
+S01_SQL = "SELECT " + ", ".join(f"{_field(c)} AS {c}" for c in ATOMIC_FIELDS) + " FROM lines WHERE stream <> 'enriched-bad'"
 
 
-def _json_num(x):
-    return f"CAST({x} AS VARCHAR)"
+def _text_sql(name: str) -> str:
+    """Text of a parsed field as JSON shows it."""
+    return f"CAST({_field(name)} AS VARCHAR)"
 
 
 ROUTED_SQL = (
     "SELECT stream, CASE stream WHEN 'enriched-good' THEN 'iglu:io.snowplow/good/jsonschema/1-0-0' "
     "ELSE 'iglu:io.snowplow/incomplete/jsonschema/1-0-0' END AS schema, "
-    f"{_field('event_id')} AS event_id, {_field('app_id')} AS data_app_id, "
-    f"{_json_num(_field('doc_width'))} AS data_doc_width, CAST({_field('br_cookies')} AS VARCHAR) AS data_br_cookies "
-    "FROM lines WHERE stream <> 'enriched-bad' "
-    f"UNION ALL SELECT stream, '{BAD_SCHEMA}', src_event_id, NULL, NULL, NULL FROM lines WHERE stream = 'enriched-bad'")
+    f"{_field('event_id')} AS event_id, array_to_string([" + ", ".join(f"coalesce({_text_sql(c)}, '~')" for c in ATOMIC_FIELDS)
+    + "], '|') AS fields FROM lines WHERE stream <> 'enriched-bad' "
+    f"UNION ALL SELECT stream, '{BAD_SCHEMA}', src_event_id, NULL FROM lines WHERE stream = 'enriched-bad'")
 
 WHOLE = with_ctes(ATOMIC, "SELECT * FROM atomic")
 SKIP_SQL = (f"SELECT event_id, 'iglu:com.acme/' || event_name || '/jsonschema/1-' || CAST({_N} % 3 AS VARCHAR) || '-' || "
@@ -408,10 +431,8 @@ ORACLE = {
     "tag_schema": with_ctes(LINES, "SELECT stream, CASE stream WHEN 'enriched-good' THEN 'iglu:io.snowplow/good/jsonschema/1-0-0' "
                                    "WHEN 'enriched-incomplete' THEN 'iglu:io.snowplow/incomplete/jsonschema/1-0-0' END AS schema, "
                                    "count(*) AS n FROM lines GROUP BY ALL"),
-    "event_to_json": with_ctes(LINES, f"SELECT {_field('event_id')} AS event_id, {_field('app_id')} AS app_id, "
-                                      f"CAST({_field('br_cookies')} AS VARCHAR) AS br_cookies, "
-                                      f"{_json_num(_field('doc_width'))} AS doc_width, {_field('mkt_medium')} AS mkt_medium "
-                                      "FROM lines WHERE stream = 'enriched-good'"),
+    "event_to_json": with_ctes(LINES, "SELECT " + ", ".join(f"{_text_sql(c)} AS {c}" for c in ATOMIC_FIELDS)
+                               + " FROM lines WHERE stream = 'enriched-good'"),
     "append_schema_data": with_ctes(LINES, "SELECT schema, event_id FROM (SELECT CASE stream WHEN 'enriched-good' THEN "
                                            "'iglu:io.snowplow/good/jsonschema/1-0-0' ELSE 'iglu:io.snowplow/incomplete/jsonschema/1-0-0' "
                                            f"END AS schema, {_field('event_id')} AS event_id FROM lines WHERE stream <> 'enriched-bad') "

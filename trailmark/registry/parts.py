@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trailmark.config import ModelConfig, fixture_config
 from trailmark.functions import rules
+from trailmark.functions.contracts import ENTITY_CATALOG, ENTITY_FIELD_TYPES, ENTITY_FLAGS, entity_columns
 from trailmark.operators.entities import extract_entities, session_identifier
 from trailmark.operators.ranking import asc, dedupe_dimension, dedupe_events, desc, top1_per_group
 from trailmark.plans.events import bot_filter, filter_app_id
@@ -88,6 +89,59 @@ def q_extract_entities(s, sf):
                      "screen_view__name", "screen_view__type", "screen_view__id")
 
 
+#: every entity switched on, the second browser schema too
+ALL_ON = ModelConfig(flags={f: True for f in (*ENTITY_FLAGS.values(), "enable_browser_context_2")})
+
+
+def _entity_value(prefix: str, field: str):
+    """Text of an entity field by a fixed rule; numbers and booleans where the catalog has such."""
+    name, n = f"{prefix}__{field}", _eid_num()
+    if ENTITY_FIELD_TYPES.get(name) == "boolean":
+        return F.when(n % 3 == 0, "true").when(n % 3 == 1, "false").otherwise("maybe")
+    if ENTITY_FIELD_TYPES.get(name) == "int":
+        return F.when(n % 4 == 0, "deep").otherwise((n % 32).cast("string"))
+    return F.when(n % 7 != 0, F.concat(F.lit(f"{name}."), n.cast("string")))
+
+
+def _full_entities(s, sf) -> DataFrame:
+    """Every source column of the catalog with every field: arrays of two elements, or a struct; some arrays are
+    empty or missing, and the browser's first schema is there for odd events only."""
+    n = _eid_num()
+    cols = []
+    for k, (prefix, (sources, fields)) in enumerate(ENTITY_CATALOG.items()):
+        for v, source in enumerate(sources):
+            whole = F.struct(*[_entity_value(prefix, f).alias(f) for f in fields])
+            if source.startswith("contexts_"):
+                other = F.struct(*[F.lit("second").alias(f) for f in fields])
+                whole = F.when(n % 11 == k % 11, F.array().cast(whole_type(fields))).otherwise(F.array(whole, other))
+            if len(sources) > 1 and v == 0:
+                whole = F.when(n % 2 == 1, whole)
+            cols.append(whole.alias(source))
+    return atomic(s, sf).select("event_id", *cols)
+
+
+def whole_type(fields) -> str:
+    return "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
+
+
+def q_extract_entities_all(s, sf):
+    return extract_entities(_full_entities(s, sf), ALL_ON).select("event_id", *entity_columns())
+
+
+def _entities_all_sql() -> str:
+    out = []
+    for k, (prefix, (sources, fields)) in enumerate(ENTITY_CATALOG.items()):
+        there = f"{_N} % 11 <> {k % 11}" if sources[0].startswith("contexts_") else "true"
+        for f in fields:
+            name = f"{prefix}__{f}"
+            kind = ENTITY_FIELD_TYPES.get(name)
+            value = (f"CASE {_N} % 3 WHEN 0 THEN true WHEN 1 THEN false END" if kind == "boolean" else
+                     f"CAST(CASE WHEN {_N} % 4 <> 0 THEN {_N} % 32 END AS INTEGER)" if kind == "int" else
+                     f"CASE WHEN {_N} % 7 <> 0 THEN '{name}.' || {_N} END")
+            out.append(f"CASE WHEN {there} THEN {value} END AS {name}")
+    return "SELECT event_id, " + ", ".join(out) + " FROM atomic"
+
+
 def q_coalesce_entity_versions(s, sf):
     cfg = fixture_config()
     ex = extract_entities(_wrapped_entities(s, sf), cfg)
@@ -186,6 +240,7 @@ QUERIES = {
     "filter_app_id": q_filter_app_id,
     "entity_toggles": q_entity_toggles,
     "extract_entities": q_extract_entities,
+    "extract_entities_all": q_extract_entities_all,
     "coalesce_entity_versions": q_coalesce_entity_versions,
     "session_identifier": q_session_identifier,
     "user_identifier": _ev_cols("user_identifier", "CAST(user_identifier AS STRING) AS stitched_user_id"),
@@ -279,6 +334,7 @@ ORACLE = {
     "extract_entities": with_ctes(ATOMIC_ONLY, "SELECT event_id, page_view__id, yauaa__device_class, "
                                   "CAST(NULL AS VARCHAR) AS yauaa__agent_class, mobile__os_type AS screen_view__name, "
                                   "platform AS screen_view__type, CAST(NULL AS VARCHAR) AS screen_view__id FROM atomic"),
+    "extract_entities_all": with_ctes(ATOMIC_ONLY, _entities_all_sql()),
     "coalesce_entity_versions": with_ctes(ATOMIC_ONLY, f"SELECT event_id, CASE WHEN {_N} % 2 = 0 THEN coalesce(br_lang, geo_country) "
                                           f"ELSE geo_country END AS browser__viewport, CASE WHEN {_N} % 2 = 0 THEN 24 ELSE 32 END "
                                           "AS browser__color_depth FROM atomic"),

@@ -30,14 +30,18 @@ def parse_field(raw: Column, name: str) -> Column:
     return raw
 
 
-def tsv_fields(value: Column) -> list[Column]:
-    parts = F.split(value, "\t", -1)
+def tsv_parts(value: Column) -> Column:
+    return F.split(value, "\t", -1)
+
+
+def tsv_fields(parts: Column) -> list[Column]:
     return [parse_field(F.get(parts, i), name).alias(name) for i, name in enumerate(ATOMIC_FIELDS)]
 
 
 def read_enriched_tsv(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """One TSV line -> 131 typed columns; a short (ragged) line gives trailing NULLs."""
-    return lines.select(*keep, *tsv_fields(F.col(value_col)))
+    split = lines.select(*keep, tsv_parts(F.col(value_col)).alias("__parts"))
+    return split.select(*keep, *tsv_fields(F.col("__parts")))
 
 
 def union_tagged_streams(streams: dict[str, DataFrame], value_col: str = "value") -> DataFrame:
@@ -67,13 +71,14 @@ def route_by_stream(records: DataFrame) -> DataFrame:
     """good/incomplete lines are parsed and rendered as (schema, data); bad rows pass through.
 
     Bad rows already are ``{"schema": …, "data": …}`` documents; their two
-    fields are lifted out unchanged.
+    fields are lifted out unchanged.  One pass: each record takes its branch.
     """
-    parsed = records.filter(F.col("stream").isin(*PARSED_STREAMS))
-    parsed = parsed.select("stream", *tsv_fields(F.col("value")))
-    good = parsed.select("stream", tag_schema(F.col("stream")).alias("schema"), event_to_json(parsed).alias("data"),
-                         F.col("event_id"))
-    bad = records.filter(F.col("stream") == BAD_STREAM).select(
-        "stream", F.get_json_object("value", "$.schema").alias("schema"),
-        F.get_json_object("value", "$.data").alias("data"), F.lit(None).cast("string").alias("event_id"))
-    return good.unionByName(bad)
+    bad = F.col("stream") == BAD_STREAM
+    split = records.filter(F.col("stream").isin(*PARSED_STREAMS, BAD_STREAM)).select(
+        "stream", "value", F.when(~bad, tsv_parts(F.col("value"))).alias("__parts"))
+    rendered = F.to_json(F.struct(*tsv_fields(F.col("__parts"))), {"ignoreNullFields": "false"})
+    return split.select(
+        "stream",
+        F.when(bad, F.get_json_object("value", "$.schema")).otherwise(tag_schema(F.col("stream"))).alias("schema"),
+        F.when(bad, F.get_json_object("value", "$.data")).otherwise(rendered).alias("data"),
+        parse_field(F.get("__parts", ATOMIC_FIELDS.index("event_id")), "event_id").alias("event_id"))
