@@ -232,3 +232,28 @@ def test_registered_queries_without_sql():
     assert set(queries.QUERIES) | {"pipeline"} <= set(e.queries())
     assert (set(queries.QUERIES) | {"pipeline"}) - set(e.oracle_sql()) == {
         "op2_quality", "op5_html", "op7_passages", "op8_language", "op10_packing", "op11_toxicity", "pipeline"}
+
+
+def test_line_dedup_gives_a_row_for_each_row(spark):
+    """Rows that share an id, with one text or several: neither precedes the other, and each comes back."""
+    from trailmark.llm import lines
+
+    rows = [(1, "All rights reserved."), (2, "All rights reserved.\nnew line here"), (2, "All rights reserved.\nnew line here"),
+            (2, "another text\nAll rights reserved."), (3, None), (3, None), (3, ""), (None, "another text"), (None, "another text"),
+            (5, "new line here\nnew line here")]
+    every = [(r, -1 if i is None else i, k, set(x.split())) for r, (i, t) in enumerate(rows) if t is not None
+             for k, x in enumerate(t.split("\n"))]
+    alike = lambda x, y: len(x | y) > 0 and 5 * len(x & y) >= 4 * len(x | y)
+    want = []
+    for r, (i, t) in enumerate(rows):
+        own = [x for x in every if x[0] == r]
+        gone = [k for _, j, k, x in own if any(alike(x, y) for _, a, m, y in every if (a, m) < (j, k))]
+        links = sum(alike(x, y) for _, j, k, x in own for q, a, m, y in every if (q, m) != (r, k))
+        want.append((i, len(own), len(gone), gone, links))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_lines"], r["n_removed"], r["removed"], r["n_links"]) for r in lines.by_document(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    kept = sorted(map(repr, [tuple(r) for r in lines.clean(docs).collect()]))
+    assert kept == sorted(map(repr, [(1, "All rights reserved."), (2, "new line here"), (2, "new line here"), (2, "another text"),
+                                     (3, None), (3, None), (3, ""), (None, "another text"), (None, "another text")][:3]
+                              + [(3, None), (3, None), (3, ""), (None, "another text"), (None, "another text")]))

@@ -17,8 +17,8 @@ the only thing that every task gets.
 
 Defined results: null or empty texts have no lines to remove; rows that share an
 id (also null, which comes first) share their place, so neither precedes the other
-at equal line numbers; repeated lines inside a document match like any others;
-other columns are ignored.
+at equal line numbers, and each has its row in the result; repeated lines inside a
+document match like any others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import written
 
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 BUCKETS = 1 << 20
 FILTER_BITS = 1 << 23
 #: pairs are confirmed in so many blocks, so that this part of their word sets lies in shuffle files at a time
@@ -240,15 +240,24 @@ def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         F.when(removed, F.col("f.doc_id")).alias("source"))
 
 
-def by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """One row per document: ``class_id`` (least id among the sources of its removed lines and itself), ``n_links``,
-    ``n_lines``, ``n_removed`` and the ``removed`` line numbers."""
+def by_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """One row for each different (document id, text), with ``copies``, how many rows have both."""
     m = matched(docs, id_col, text_col, least)
+    # each row has a first line, or none where its text is null
+    copies = F.count(F.when(F.coalesce("line_no", F.lit(0)) == 0, 1))
     return m.groupBy("doc_id", "row").agg(
-        F.coalesce(F.min(F.least("doc_id", "source")), F.first("doc_id")).alias("class_id"),
-        F.sum("n_links").alias("n_links"), F.count("line_no").alias("n_lines"),
+        copies.alias("copies"), F.coalesce(F.min(F.least("doc_id", "source")), F.first("doc_id")).alias("class_id"),
+        F.expr("sum(n_links)").alias("n_links"), F.count("line_no").alias("n_lines"),
         F.count(F.when(F.col("removed"), 1)).alias("n_removed"),
-        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias("removed"))
+        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias("removed")).withColumns(
+        {c: F.expr(f"{c} div copies") for c in ("n_links", "n_lines", "n_removed")})
+
+
+def by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """One row per document: ``class_id`` (least id among the sources of its removed lines and itself), ``n_links``,
+    ``n_lines``, ``n_removed`` and the ``removed`` line numbers."""
+    rows = by_row(docs, id_col, text_col, least)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -256,7 +265,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     A column named ``n_chars`` is brought up to date.
     """
-    gone = (by_document(docs, id_col, text_col, least).filter("n_removed > 0")
+    gone = (by_row(docs, id_col, text_col, least).filter("n_removed > 0")
             .select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.col("removed").alias("__x")))
     same = docs[id_col].eqNullSafe(gone["__d"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__r"])
     rest = F.array_join(F.filter(split_lines(F.col(text_col)), lambda x, i: ~F.array_contains("__x", i)), "\n")

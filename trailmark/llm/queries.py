@@ -155,20 +155,21 @@ FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 OP6_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i - 1 AS line_no, list_sort(list_distinct(list_filter(
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, i - 1 AS line_no, list_sort(list_distinct(list_filter(
            string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+  FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM d))),
 k AS (SELECT w, len(w) AS n, row_number() OVER () AS k, min((doc_id, line_no)) AS f, count(*) AS c
-      FROM l WHERE len(w) >= 5 GROUP BY w),
+      FROM l WHERE len(w) >= 1 GROUP BY w),
 t AS (SELECT k, n, unnest(w) AS x FROM k),
 p AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.x = b.x AND a.k <> b.k AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
       GROUP BY a.k, b.k, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
 m AS (SELECT p.a AS k, min(k.f) AS f, sum(k.c) AS c FROM p JOIN k ON k.k = p.b GROUP BY 1),
 full_k AS (SELECT k.w, least(k.f, coalesce(m.f, k.f)) AS f, k.c - 1 + coalesce(m.c, 0) AS links
            FROM k LEFT JOIN m USING (k)),
-j AS (SELECT l.doc_id, l.line_no, coalesce(full_k.links, 0) AS links,
+j AS (SELECT l.r, l.doc_id, l.line_no, coalesce(full_k.links, 0) AS links,
              coalesce(full_k.f < (l.doc_id, l.line_no), false) AS removed, full_k.f[1] AS source
       FROM l LEFT JOIN full_k ON full_k.w = l.w)
 SELECT d.doc_id,
@@ -176,7 +177,7 @@ SELECT d.doc_id,
        CAST(coalesce(sum(j.links), 0) AS BIGINT) AS n_links, CAST(count(j.line_no) AS BIGINT) AS n_lines,
        CAST(count(*) FILTER (WHERE j.removed) AS BIGINT) AS n_removed,
        coalesce(list(CAST(j.line_no AS INTEGER) ORDER BY j.line_no) FILTER (WHERE j.removed), []) AS removed
-FROM documents d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id
+FROM d LEFT JOIN j USING (r) GROUP BY d.r, d.doc_id
 """
 
 _S = syncmers
