@@ -106,3 +106,46 @@ def test_rank_in_group_reads_its_input_once_and_splits_rows_without_time(spark):
     w = Window.partitionBy("g")
     want = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
     assert sorted((r["i"], r["rn"], r["n"]) for r in got) == sorted((r["i"], r["rn"], r["n"]) for r in want.collect())
+
+
+def test_sessions_in_two_passes_equal_the_single_steps(spark):
+    """Against session_firsts, session_lasts, session_aggs, pinged_time and event_counts, with rows that lack times,
+    ids, views and sessions; the events are read twice."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from trailmark.config import fixture_config
+    from trailmark.plans import sessions as S
+
+    rng = random.Random(11)
+    when = lambda p: None if rng.random() < p else datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(90))
+    rows = [(None if rng.random() < 0.05 else f"e{rng.randrange(300)}", rng.choice([None, "s1", "s2", "s3", "s3", "s3"]),
+             rng.choice([None, "v1", "v2", "v3"]), rng.choice([None, "page_ping", "page_ping", "page_view", "screen_view", "other"]),
+             when(0.1), when(0.1), rng.choice([None, 1.0, 2.5]), rng.choice([None, True, False, False]), k) for k in range(400)]
+    rows += [(f"p{k}", "s4", "v1", "page_ping", when(0), when(0), None, None, k) for k in range(9)]  # no view: no last row
+    rows += [("x", "s5", None, "other", when(0), when(0), None, None, 0)]  # neither first nor last
+    events = spark.createDataFrame(rows, "event_id string, session_identifier string, view_id string, event_name string, "
+                                         "derived_tstamp timestamp_ntz, dvce_created_tstamp timestamp_ntz, tr_total_base double, "
+                                         "iab__spider_or_robot boolean, k int")
+    cfg, key = fixture_config(), "session_identifier"
+
+    def table(df, *cols):
+        return sorted(repr((r[key], *[r[c] for c in cols])) for r in df.collect())
+
+    numbers = S.session_numbers(S.session_parts(events, cfg), cfg)
+    aggs = S.session_aggs(events)
+    same = ["total_events", "views", "cv_view_page_volume", "cv_view_page_total", "cv_view_page_first_conversion", "cv_view_page_converted"]
+    assert table(numbers, "a_start", "a_end", "a_abs", *same) == table(aggs, "start_tstamp", "end_tstamp", "absolute_time_in_s", *same)
+    engaged = numbers.filter("engaged_time_in_s is not null")
+    assert table(engaged, "engaged_time_in_s") == table(S.pinged_time(events, cfg), "engaged_time_in_s")
+    named = numbers.filter(f"event_counts is not null and {key} is not null")
+    assert table(named, "event_counts", "event_counts_string") == table(
+        S.event_counts(events).filter(f"{key} is not null"), "event_counts", "event_counts_string")
+    rows = S.first_and_last(events, ["event_id", "derived_tstamp"], ["event_id", "derived_tstamp"])
+    assert table(rows.select(key, "first.*"), "event_id", "derived_tstamp") == table(
+        S.session_firsts(events), "event_id", "derived_tstamp")
+    assert table(rows.filter("last is not null").select(key, "last.*"), "event_id", "derived_tstamp") == table(
+        S.session_lasts(events), "event_id", "derived_tstamp")
+    assert rows.filter(F.col("last").isNull()).select(key).collect()[0][0] == "s4"

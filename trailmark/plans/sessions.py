@@ -1,18 +1,17 @@
 """M06 unified_sessions: one row per session.
 
-Plan shape (all keyed on ``session_identifier``):
-
-* firsts / lasts -- ``row_number() = 1`` picks; Catalyst plans a partial
-  ``WindowGroupLimit`` before the exchange, so a session holding a third of
-  all events sends one candidate row per map task, not its raw rows;
-* counts, conversions, start/end -- one ``groupBy`` with map-side combine;
-* engaged time -- pre-aggregated per (session, view) first, so the distinct
-  heartbeat buckets never need a multi-distinct ``Expand``;
-* event histogram -- (session, event) counts, then a bounded per-session map
-  (one entry per distinct event name).
-
-Every side is hash-partitioned on the session key, so the final left joins
-reuse that partitioning; dimensions are broadcast after a size check.
+The events are read twice:
+
+* once for the numbers: one aggregate per (session, view, heartbeat bucket,
+  event name) with map-side combine, written once; counts, start/end, conversions,
+  engaged time and the event histogram are sums over that table, level by level,
+  so no distinct count needs an ``Expand`` and a session that holds a third of
+  all events is spread over its views and buckets first;
+* once for the first and the last row: one aggregate of least and greatest rows
+  per session, which a map task reduces to one row each before the exchange.
+
+The two meet in one join on the session.  The single steps (``session_firsts``,
+``session_aggs`` ...) are kept as operators of their own.
 """
 
 from __future__ import annotations
@@ -90,16 +89,81 @@ def event_counts(events: DataFrame) -> DataFrame:
             .withColumn("event_counts_string", F.to_json("event_counts")))
 
 
+# --- the whole in two passes ------------------------------------------------------
+
+#: columns of a session's first and last row that its output is made of, beside those of the same name
+FIRST_FIELDS = ("event_name", "user_identifier", "geo_country", "geo_region_name", "geo_city", "page_url", "page_urlquery",
+                "br_lang", "mobile__language")
+LAST_FIELDS = ("event_name", "geo_country", "geo_city", "geo_region_name", "page_url", "br_lang",
+               "screen_view__name", "screen_view__transition_type", "screen_view__type")
+GEO_FIELDS = ("latitude", "longitude", "latitude_longitude_accuracy", "altitude", "altitude_accuracy", "bearing", "speed")
+
+
+def session_parts(events: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Counts and times per (session, view, heartbeat bucket, event name); the bucket is that of a view's pings."""
+    c = F.col
+    ping = (c("event_name") == "page_ping") & c("view_id").isNotNull()
+    amount = F.coalesce(c("tr_total_base").cast("double"), F.lit(0.5))
+    return (not_robot(events)
+            .withColumn("bucket", F.when(ping, heartbeat_bucket(c("dvce_created_tstamp"), cfg.heartbeat)))
+            .groupBy(SID, "view_id", "bucket", "event_name").agg(
+                F.count(F.lit(1)).alias("n"), F.min("derived_tstamp").alias("first_at"), F.max("derived_tstamp").alias("last_at"),
+                F.sum(F.when(c("event_name") == "page_view", amount)).alias("amount")))
+
+
+def session_numbers(parts: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """One row per session: what ``session_aggs``, ``pinged_time`` and ``event_counts`` give, from ``session_parts``."""
+    c = F.col
+    pv = c("event_name") == "page_view"
+    ping = (c("event_name") == "page_ping") & c("view_id").isNotNull()
+    per_view = parts.groupBy(SID, "view_id").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n"),
+        F.sum(F.when(pv, c("n"))).alias("pv"), F.sum("amount").alias("amount"),
+        F.min(F.when(pv, c("first_at"))).alias("pv_at"), F.count("bucket").alias("buckets"),
+        F.max(ping).alias("pinged"))
+    per_session = per_view.groupBy(SID).agg(
+        F.min("first_at").alias("a_start"), F.max("last_at").alias("a_end"), F.sum("n").alias("total_events"),
+        F.count("view_id").alias("views"), F.coalesce(F.sum("pv"), F.lit(0).cast("long")).alias("cv_view_page_volume"),
+        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("cv_view_page_total"),
+        F.min("pv_at").alias("cv_view_page_first_conversion"),
+        (F.coalesce(F.sum("pv"), F.lit(0)) > 0).alias("cv_view_page_converted"),
+        F.sum("buckets").alias("buckets"), F.count(F.when(c("pinged"), 1)).alias("pinged"))
+    engaged = F.lit(cfg.heartbeat) * (c("buckets") - c("pinged")) + c("pinged") * F.lit(cfg.min_visit_length)
+    per_event = parts.filter(c("event_name").isNotNull()).groupBy(SID, "event_name").agg(F.sum("n").alias("n"))
+    counts = per_event.groupBy(SID).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "n"))))
+                                        .alias("event_counts"))
+    return (per_session.withColumn("engaged_time_in_s", F.when(c("pinged") > 0, engaged).cast("bigint"))
+            .withColumn("a_abs", seconds_between(c("a_start"), c("a_end"))).drop("buckets", "pinged")
+            .join(counts, SID, "left").withColumn("event_counts_string", F.to_json("event_counts")))
+
+
+def first_and_last(events: DataFrame, first_cols: list[str], last_cols: list[str]) -> DataFrame:
+    """``first`` and ``last`` row of each session, as ``session_firsts`` and ``session_lasts`` pick them, in one pass.
+
+    A session without a page or screen view has no ``last``.
+    """
+    c = F.col
+    seen = not_robot(events.filter(c("event_name").isin("page_ping", "page_view", "screen_view") & c("view_id").isNotNull()))
+
+    def missing(flag):  # times and ids that lack come last in either direction
+        return [x for k in ("derived_tstamp", "event_id") for x in ((c(k).isNull() if flag else c(k).isNotNull()).alias(f"_{k}"), c(k))]
+
+    viewed = c("event_name") != "page_ping"
+    return seen.groupBy(SID).agg(
+        F.min_by(F.struct(*first_cols), F.struct(*missing(True))).alias("first"),
+        F.max_by(F.struct(*last_cols), F.when(viewed, F.struct(*missing(False)))).alias("last"))
+
+
 def _last_or_first(witness: str, last: str, first: str) -> Column:
     """The last value, or the first when the whole last row is missing (witness NULL)."""
     return F.when(F.col(witness).isNull(), F.coalesce(F.col(last), F.col(first))).otherwise(F.col(last))
 
 
-def with_language_names(f: DataFrame, dims: dict[str, DataFrame], prefix: str) -> DataFrame:
-    """Country name/continent and browser-language name by case-insensitive key."""
-    f = dim_lookup(f, dims["language"], "br_lang", "lang_tag", {"name": f"{prefix}br_lang_name"},
+def with_language_names(f: DataFrame, dims: dict[str, DataFrame], prefix: str, source: str = "") -> DataFrame:
+    """Country name/continent and browser-language name by case-insensitive key; ``source``: prefix of the keys."""
+    f = dim_lookup(f, dims["language"], f"{source}br_lang", "lang_tag", {"name": f"{prefix}br_lang_name"},
                    order="name", prefix="__lang")
-    return dim_lookup(f, dims["country"], "geo_country", "alpha_2",
+    return dim_lookup(f, dims["country"], f"{source}geo_country", "alpha_2",
                       {"name": f"{prefix}geo_country_name", "region": f"{prefix}geo_continent"},
                       order="name", prefix="__ctry")
 
@@ -122,19 +186,18 @@ LAST_PAGE_FIELDS = ("title", "urlscheme", "urlhost", "urlpath", "urlquery", "url
 
 def unified_sessions(events: DataFrame, cfg: ModelConfig, dims: dict[str, DataFrame],
                      with_model_tstamp: bool = True) -> DataFrame:
+    from trailmark.session import materialize
+
     c = F.col
-    f = with_mobile_language(with_language_names(session_firsts(events), dims, ""), dims)
-    lasts = with_language_names(session_lasts(events), dims, "l_")
-    last_cols = ["event_name", "geo_country", "geo_city", "geo_region_name", "page_url", "br_lang",
-                 "screen_view__name", "screen_view__transition_type", "screen_view__type"] + \
-                [f"page_{x}" for x in LAST_PAGE_FIELDS]
-    lasts = lasts.select(SID, *[c(x).alias(f"l_{x}") for x in last_cols],
-                         "l_br_lang_name", "l_geo_country_name", "l_geo_continent")
-    a = session_aggs(events).withColumnsRenamed({"start_tstamp": "a_start", "end_tstamp": "a_end",
-                                                 "absolute_time_in_s": "a_abs"})
-    j = (f.join(lasts, SID, "left").join(a, SID, "left")
-         .join(pinged_time(events, cfg), SID, "left")
-         .join(event_counts(events), SID, "left"))
+    last_cols = [*LAST_FIELDS, *(f"page_{x}" for x in LAST_PAGE_FIELDS)]
+    wanted = {*SESSIONS_COLUMNS, *FIRST_FIELDS, *last_cols, *(f"geo__{x}" for x in GEO_FIELDS)}
+    first_cols = [x for x in events.columns if x in wanted and x != SID]
+    rows = first_and_last(events, first_cols, last_cols)
+    f = rows.select(SID, "first.*", *[c(f"last.{x}").alias(f"l_{x}") for x in last_cols])
+    f = with_mobile_language(with_language_names(f, dims, ""), dims)
+    f = with_language_names(f, dims, "l_", "l_")
+    numbers = session_numbers(materialize(session_parts(events, cfg), "session_parts"), cfg)
+    j = f.join(numbers, SID, "left")
     starts_with_ping = c("event_name") == "page_ping"
     out = {
         "first_event_name": c("event_name"),
@@ -171,8 +234,7 @@ def unified_sessions(events: DataFrame, cfg: ModelConfig, dims: dict[str, DataFr
     for x in ("name", "transition_type", "type"):
         out[f"last_screen_view__{x}"] = _last_or_first(f"l_screen_view__{x}", f"l_screen_view__{x}",
                                                        f"screen_view__{x}")
-    for x in ("latitude", "longitude", "latitude_longitude_accuracy", "altitude", "altitude_accuracy",
-              "bearing", "speed"):
+    for x in GEO_FIELDS:
         out[f"first_geo__{x}"] = c(f"geo__{x}")
     # the first-event columns are replaced by their session meaning
     j = j.withColumns(out)
