@@ -42,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_aside(df: DataFrame, names: list[str]):
+    """``df`` with its own columns of these names under others, and a function that gives a later frame ``df``'s columns back."""
+    aside = {c: f"__aside_{i}" for i, c in enumerate(df.columns) if c in names}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in df.columns])
+
+    return df.withColumnsRenamed(aside), back
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts (one small aggregate, from which task counts are derived)."""
     row = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import lists, slices, text_buffer, written
+from trailmark.llm.common import lists, put_aside, slices, text_buffer, written
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -347,5 +347,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents, same columns."""
-    return contamination(docs, benchmark, text_col).filter("n_hit = 0").select(*docs.columns)
+    """``docs`` without the contaminated documents, same columns.
+
+    Null and empty texts stay, repeated rows go or stay together, an empty benchmark removes nothing, and columns of
+    the names that ``contamination`` adds keep their own values.
+    """
+    plain, back = put_aside(docs, [c for c, _ in OUT])
+    return back(contamination(plain, benchmark, text_col).filter("n_hit = 0"))

@@ -346,7 +346,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 def clean(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group (the smallest id), same columns."""
+    """``docs`` with one document of each group (the smallest id), same columns.
+
+    Null and empty texts and rows of a null id stay; rows that share an id go or stay together.
+    """
     found = near_duplicates(docs, width, num, den, id_col, text_col)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

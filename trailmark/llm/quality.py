@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import lists, slices, text_buffer, word_hashes
+from trailmark.llm.common import lists, put_aside, slices, text_buffer, word_hashes
 
 SAMPLE = 3000  # labelled documents learned from, at most
 SAMPLE_LINES = 100_000  # and of their lines, at most (documents are taken until then)
@@ -274,3 +274,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
                 names=[f.name for f in schema.fields])
 
     return base.mapInArrow(judge, schema)
+
+
+def clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` that the classifier accepts, same columns (also those of the names that ``score`` adds)."""
+    plain, back = put_aside(docs, [c for c, _ in OUT])
+    return back(score(plain, model, text_col).filter("predicted = 1"))
