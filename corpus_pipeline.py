@@ -7,29 +7,37 @@ from trailmark.llm.common import load, written
 
 
 def quality_filter(spark, docs, sf_dir):
-    """Documents that the quality classifier accepts (it learns from all labels)."""
+    """Documents that the quality classifier accepts (it learns from all labels).
+
+    Null and empty texts are judged as one empty line; with no labels, or of one kind only, every document stays.
+    """
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.learn(load(spark, sf_dir, "documents").select("doc_id", "text"), labels)
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.clean(docs, quality.learn(load(spark, sf_dir, "documents").select("doc_id", "text"), labels))
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines that match an earlier line go, short ones too, and documents that consist of such lines only."""
+    """Lines that match an earlier line go, short ones too, and documents that consist of such lines only.
+
+    Null and empty texts stay; rows that share an id share their place, so neither costs the other a line.
+    """
     return lines.clean(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document (the smallest id) of each group of near-duplicates stays."""
+    """One document (the smallest id) of each group of near-duplicates stays.
+
+    Null and empty texts and rows of a null id stay; rows that share an id go or stay together.
+    """
     return minhash.clean(docs)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; with an empty benchmark all stay."""
     return decontamination.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def pack(spark, docs, sf_dir):
-    """Token pieces placed in sequences of 4,096."""
+    """Token pieces placed in sequences of 4,096; a null or empty text is its end id alone."""
     return packing.packed(docs)
 
 
