@@ -23,7 +23,7 @@ document match like any others; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import written
@@ -138,12 +138,13 @@ def among(wanted: DataFrame, cols: list[str]):
     return keep
 
 
-def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS,
+            whole: bool = False) -> DataFrame:
     """(doc_id, row, line_no, k1, k2, size, prefix, p) of every line, written.
 
     ``k1``/``k2`` are a 128-bit key of the word set, null for a line too short to
     compare; ``prefix`` the 32-bit codes of its rarest words; ``p`` its parity
-    bits.
+    bits; ``whole``: with all its word codes, ``codes``.
     """
     lines = text_lines(docs, id_col, text_col)
     ranks = rarity(docs, text_col)
@@ -156,16 +157,18 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     out = codes.select(
         "doc_id", "row", "line_no", F.when(long_enough, F.xxhash64("codes")).alias("k1"),
         F.when(long_enough, F.xxhash64(F.lit(1), "codes", F.lit(2))).alias("k2"), F.size("codes").alias("size"),
-        F.when(long_enough, prefix).alias("prefix"), F.when(long_enough, parity(F.col("codes"))).alias("p"))
+        F.when(long_enough, prefix).alias("prefix"), F.when(long_enough, parity(F.col("codes"))).alias("p"),
+        *([F.when(long_enough, F.col("codes")).alias("codes")] if whole else []))
     return written(out, "line-classes")
 
 
 def class_table(lines: DataFrame) -> DataFrame:
-    """One row per class: ``cid``, its key, size, prefix, first place and how many lines it has; written."""
+    """One row per class: ``cid``, its key, size, prefix (and codes, if there), first place and how many lines it has;
+    written."""
     place = F.struct("doc_id", "line_no", "row")
     out = (lines.filter("k1 is not null").groupBy("k1", "k2")
-           .agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"),
-                F.first("prefix").alias("prefix"), F.first("p").alias("p")))
+           .agg(F.min(place).alias("first"), F.count("*").alias("n"),
+                *[F.first(c).alias(c) for c in ("size", "prefix", "p", "codes") if c in lines.columns]))
     return written(out.withColumn("cid", F.monotonically_increasing_id()), "line-class")
 
 
@@ -260,12 +263,71 @@ def by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
+def earlier(a: Column, b: Column) -> Column:
+    """Whether place ``a`` stands before place ``b`` (null ids first; rows that share an id share their places)."""
+    same = a["doc_id"].eqNullSafe(b["doc_id"])
+    before = (a["doc_id"].isNull() & b["doc_id"].isNotNull()) | F.coalesce(a["doc_id"] < b["doc_id"], F.lit(False))
+    return before | (same & (a["line_no"] < b["line_no"]))
+
+
+def preceded(classes: DataFrame) -> DataFrame:
+    """(cid) of every class that matches a class which stands before it; exact, without the links among the rest.
+
+    The classes that share a prefix word are numbered by place.  First each class is compared with the first of its
+    words' lists; those that match are done, whatever else they match.  The others go on with the next seven, the next
+    56 and so on, until each that is left has met every class before it in its lists.  A group of near copies is thus
+    settled by its first member, and pairs grow with its size, not with the square.
+    """
+    post = classes.filter((DEN - NUM) * F.col("size") >= NUM).select(
+        "cid", "size", "p", "first", F.posexplode("prefix").alias("pos", "word"))
+    by_word = Window.partitionBy("word")
+    post = post.withColumn("rank", F.row_number().over(by_word.orderBy("first", "cid")) - 1).withColumn(
+        "n", F.count("*").over(by_word)).filter("n > 1").drop("n")
+    post = written(post, "line-postings")
+    codes = classes.select("cid", "codes")
+    done, low, high = None, 0, 1
+    while True:
+        left = post.filter(F.col("rank") > low)
+        left = left if done is None else left.join(done, "cid", "left_anti")
+        if left.isEmpty():
+            break
+        a, b = (df.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
+                          F.col("p").alias(f"p{x}"), F.col("first").alias(f"f{x}"), F.col("rank").alias(f"r{x}"))
+                for x, df in (("a", left), ("b", post.filter(F.col("rank").between(low, high - 1)))))
+        both = F.col("sa") + F.col("sb")
+        alike = (DEN * F.least("sa", "sb") >= NUM * F.greatest("sa", "sb"))
+        enough = (DEN + NUM) * F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= NUM * both
+        near = (DEN + NUM) * F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (DEN - NUM) * both
+        met = (F.col("rb") < F.col("ra")) & earlier(F.col("fb"), F.col("fa")) & alike & enough & near
+        pairs = a.join(b, "word").filter(met).groupBy("a", "b").agg(F.min(both).alias("s"))
+        sets = pairs.join(codes.select(F.col("cid").alias("a"), F.col("codes").alias("wa")), "a").join(
+            codes.select(F.col("cid").alias("b"), F.col("codes").alias("wb")), "b")
+        common = F.size(F.array_intersect("wa", "wb"))
+        found = sets.filter((DEN + NUM) * common >= NUM * F.col("s")).select(F.col("a").alias("cid")).distinct()
+        found = written(found, "line-preceded")
+        done = found if done is None else written(done.unionByName(found), "line-done")
+        low, high = high, 8 * high
+    return done if done is not None else classes.select("cid").limit(0)
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, row, removed): the numbers of the removed lines of each text that loses any."""
+    lines = classed(docs, id_col, text_col, least, whole=True)
+    classes = class_table(lines)
+    gone = preceded(classes).withColumn("gone", F.lit(True))
+    known = classes.join(gone, "cid", "left").filter("gone or n > 1").select("k1", "k2", F.col("first").alias("f"), "gone")
+    place = F.struct("doc_id", "line_no")
+    hit = lines.select("doc_id", "row", "line_no", "k1", "k2").join(known, ["k1", "k2"]).filter(
+        F.col("gone") | earlier(F.col("f"), place))
+    return hit.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+
+
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the removed lines, same columns; a document that loses all its lines goes.
 
     A column named ``n_chars`` is brought up to date.
     """
-    gone = (by_row(docs, id_col, text_col, least).filter("n_removed > 0")
+    gone = (removals(docs, id_col, text_col, least)
             .select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.col("removed").alias("__x")))
     same = docs[id_col].eqNullSafe(gone["__d"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__r"])
     rest = F.array_join(F.filter(split_lines(F.col(text_col)), lambda x, i: ~F.array_contains("__x", i)), "\n")
