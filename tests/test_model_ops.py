@@ -149,3 +149,32 @@ def test_sessions_in_two_passes_equal_the_single_steps(spark):
     assert table(rows.filter("last is not null").select(key, "last.*"), "event_id", "derived_tstamp") == table(
         S.session_lasts(events), "event_id", "derived_tstamp")
     assert rows.filter(F.col("last").isNull()).select(key).collect()[0][0] == "s4"
+
+
+def test_sessions_read_the_events_twice(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF
+    from trailmark.plans.sessions import unified_sessions
+    from trailmark.registry import models
+    from trailmark.session import materialize
+    from trailmark.sources.dims import fixture_dims
+
+    events = materialize(models.events(spark, SF), "events_for_count")
+    used = [f.name for f in events.schema.fields if f.dataType.simpleString() != "void"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = events.select(*used).mapInArrow(count, events.select(*used).schema)
+    got = unified_sessions(counted, models.CFG, fixture_dims(spark), with_model_tstamp=False)
+    n = got.count()
+    got.write.format("noop").mode("overwrite").save()
+    first = seen.value
+    assert n == unified_sessions(events, models.CFG, fixture_dims(spark), with_model_tstamp=False).count()
+    # once for the parts, and once for each of the two runs of the result
+    assert first == 3 * events.count()
+    assert got.filter(F.col("total_events") > 0).count() > 0

@@ -43,3 +43,16 @@ def test_dedupe_is_stable_under_ties(spark):
     cols = "event_id string, collector_tstamp string, dvce_created_tstamp string, x string"
     one = dedupe_events(spark.createDataFrame(rows, cols)).first()["x"]
     assert dedupe_events(spark.createDataFrame(rows[::-1], cols).repartition(3)).first()["x"] == one
+
+
+def test_skipped_schemas_leave_entity_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from trailmark.sources import lake
+
+    df = spark.sql("""SELECT array(named_struct('schema', 'iglu:a/b/jsonschema/1-0-0', 'v', 1),
+                                   named_struct('schema', 'iglu:a/b/jsonschema/2-0-0', 'v', 2),
+                                   named_struct('schema', CAST(NULL AS STRING), 'v', 3),
+                                   named_struct('schema', 'no key', 'v', 4)) AS e""")
+    kept = lake.skip_schema_entities(F.col("e"), ["iglu:a/b/jsonschema/1-*-*", "iglu:a/*/jsonschema/3-0-0"])
+    assert [x["v"] for x in df.select(kept.alias("e")).first()["e"]] == [2, 3, 4]
