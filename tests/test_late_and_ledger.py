@@ -54,7 +54,7 @@ def source(spark):
 def test_metrics_on_time_and_late_are_all_rows(spark, source):
     out, ck = folder(spark), folder(spark)
     late.pipeline_metrics(stream(spark, source), "ts", out, ck, "10 seconds", "s", "1 minute").awaitTermination()
-    got = {(r["period_start"].timestamp(), r["s"]): r["n"] for r in late.result(spark, out, ("s",), {"n": "sum"}).collect()}
+    got = {(r["period_start"].replace(tzinfo=timezone.utc).timestamp(), r["s"]): r["n"] for r in late.result(spark, out, ("s",), {"n": "sum"}).collect()}
     missed = sorted((r["k"], r["watermark_us"]) for r in late.late_rows(spark, out).collect())
     base = T0.replace(tzinfo=timezone.utc).timestamp()
     w35, w240 = (int((base + x) * 1e6) for x in (35, 240))
@@ -77,7 +77,7 @@ def test_latency_of_late_rows_is_not_lost(spark, source):
     out, ck = folder(spark), folder(spark)
     src = stream(spark, source).withColumn("received", F.expr("ts - make_interval(0, 0, 0, 0, 0, 0, v)"))
     late.latency_health(src, "ts", "received", out, ck, "1 minute", "1 minute").awaitTermination()
-    got = {int(r["period_start"].timestamp() - T0.replace(tzinfo=timezone.utc).timestamp()): (r["max_latency_s"], r["unhealthy"])
+    got = {int(r["period_start"].replace(tzinfo=timezone.utc).timestamp() - T0.replace(tzinfo=timezone.utc).timestamp()): (r["max_latency_s"], r["unhealthy"])
            for r in late.health(spark, out, 9).collect()}
     # one-minute windows: nothing of a window that ended after 35 is late; 239 lies in the window that ends at 240
     assert got == {0: (9.0, False), 60: (5.0, False), 300: (10.0, True), 240: (12.0, True)}

@@ -30,6 +30,11 @@ def _n():
     return F.substring(F.col("event_id"), 2, 20).cast("bigint")
 
 
+def _size(col: str):
+    """Number of elements, NULL for a NULL array whatever the session's dialect."""
+    return F.when(F.col(col).isNotNull(), F.size(col))
+
+
 def referers(spark) -> DataFrame:
     return spark.createDataFrame(REFERERS, "host string, medium string, source string")
 
@@ -137,7 +142,7 @@ def q_sql_json_path(s, sf):
     read_table(s, sf, "orders").withColumn("o_comment_mark", F.lit("-")).createOrReplaceTempView("lookup_orders")
     got = L.sql_query_enrichment(rows, LOOKUP, "found")
     return got.select("event_id", F.get("found", 0)["data"]["o_orderkey"].cast("long").alias("orderkey"),
-                      F.get("found", 0)["data"]["status"].alias("status"), F.size("found").alias("n"),
+                      F.get("found", 0)["data"]["status"].alias("status"), _size("found").alias("n"),
                       F.col("found_failure").alias("failure"))
 
 
@@ -218,7 +223,7 @@ def q_pipeline_from_directory(s, sf):
                                          script=_script_text, script_inputs=["event_name", "platform"]))
     return done.select(
         "event_id", "mkt_medium", "mkt_source", "mkt_campaign", "event_fingerprint", "refr_medium", "refr_source",
-        "refr_domain_userid", F.size("cookie_context").alias("n_cookies"), F.size("header_context").alias("n_headers"),
+        "refr_domain_userid", _size("cookie_context").alias("n_cookies"), _size("header_context").alias("n_headers"),
         F.round("tr_total_base", 6).alias("tr_total_base"), "geo_country", "iab__reason", "iab__primary_impact",
         F.get("sql_query_context", 0)["data"]["c_name"].alias("c_name"), "user_ipaddress", "script_context", "user_id")
 

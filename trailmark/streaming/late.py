@@ -93,10 +93,11 @@ def windowed(src: DataFrame, ts_col: str, period: str, by: tuple[str, ...], part
 
 
 def result(spark: SparkSession, out: str, by: tuple[str, ...], merges: dict[str, str]) -> DataFrame:
-    """``period_start``, ``by`` and the merged aggregates of all batches so far."""
+    """``period_start`` (wall clock, UTC), ``by`` and the merged aggregates of all batches so far."""
     rows = spark.read.option("basePath", f"{out}/parts").parquet(f"{out}/parts")
     merged = rows.groupBy("__start", *by).agg(*[getattr(F, fn)(n).alias(n) for n, fn in merges.items()])
-    return merged.select(F.timestamp_micros("__start").alias("period_start"), *by, *merges)
+    start = F.timestamp_add("MICROSECOND", F.col("__start"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return merged.select(start.alias("period_start"), *by, *merges)
 
 
 def late_rows(spark: SparkSession, out: str) -> DataFrame:
