@@ -23,7 +23,7 @@ document match like any others; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import written
@@ -138,13 +138,12 @@ def among(wanted: DataFrame, cols: list[str]):
     return keep
 
 
-def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS,
-            whole: bool = False) -> DataFrame:
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, row, line_no, k1, k2, size, prefix, p) of every line, written.
 
     ``k1``/``k2`` are a 128-bit key of the word set, null for a line too short to
     compare; ``prefix`` the 32-bit codes of its rarest words; ``p`` its parity
-    bits; ``whole``: with all its word codes, ``codes``.
+    bits.
     """
     lines = text_lines(docs, id_col, text_col)
     ranks = rarity(docs, text_col)
@@ -157,47 +156,58 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     out = codes.select(
         "doc_id", "row", "line_no", F.when(long_enough, F.xxhash64("codes")).alias("k1"),
         F.when(long_enough, F.xxhash64(F.lit(1), "codes", F.lit(2))).alias("k2"), F.size("codes").alias("size"),
-        F.when(long_enough, prefix).alias("prefix"), F.when(long_enough, parity(F.col("codes"))).alias("p"),
-        *([F.when(long_enough, F.col("codes")).alias("codes")] if whole else []))
+        F.when(long_enough, prefix).alias("prefix"), F.when(long_enough, parity(F.col("codes"))).alias("p"))
     return written(out, "line-classes")
 
 
 def class_table(lines: DataFrame) -> DataFrame:
-    """One row per class: ``cid``, its key, size, prefix (and codes, if there), first place and how many lines it has;
-    written."""
+    """One row per class: ``cid``, its key, size, prefix, first place and how many lines it has; written."""
     place = F.struct("doc_id", "line_no", "row")
     out = (lines.filter("k1 is not null").groupBy("k1", "k2")
            .agg(F.min(place).alias("first"), F.count("*").alias("n"),
-                *[F.first(c).alias(c) for c in ("size", "prefix", "p", "codes") if c in lines.columns]))
+                *[F.first(c).alias(c) for c in ("size", "prefix", "p")]))
     return written(out.withColumn("cid", F.monotonically_increasing_id()), "line-class")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, s): pairs of classes (a: not smaller than b) and the sum of their sizes.
+def postings(classes: DataFrame) -> DataFrame:
+    """(cid, size, p, first, pos, word) of every word of a prefix.  Sets of fewer than four words match equal sets only,
+    which are one class."""
+    return classes.filter((DEN - NUM) * F.col("size") >= NUM).select(
+        "cid", "size", "p", "first", F.posexplode("prefix").alias("pos", "word"))
+
+
+def side(post: DataFrame, x: str) -> DataFrame:
+    return post.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
+                       F.col("p").alias(f"p{x}"), F.col("first").alias(f"f{x}"))
+
+
+def met(a: DataFrame, b: DataFrame, order: Column) -> DataFrame:
+    """(a, b, s): pairs of classes that share a prefix word, stand in ``order`` and pass the length, positional and bitmap
+    filters; ``s``: the sum of their sizes.
 
-    They share a prefix word and pass the length, positional and bitmap filters.
     The prefix of a class is size - ceil(0.8 size) + 1 words; the positional
-    filter cuts it to what a pair of these two sizes needs.  Both sides are the
-    same postings, so they are dealt out once.  Sets of fewer than four words match
-    equal sets only, which are one class.
+    filter cuts it to what a pair of these two sizes needs.
     """
-    post = classes.filter((DEN - NUM) * F.col("size") >= NUM).select("cid", "size", "p", F.posexplode("prefix").alias("pos", "word"))
-    a, b = (post.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
-                        F.col("p").alias(f"p{x}")) for x in "ab")
     both = F.col("sa") + F.col("sb")
-    larger = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))
-    alike = DEN * F.col("sb") >= NUM * F.col("sa")
+    alike = DEN * F.least("sa", "sb") >= NUM * F.greatest("sa", "sb")
     # at the first shared word no more than the rest of the shorter tail can be shared
     enough = (DEN + NUM) * F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= NUM * both
     near = (DEN + NUM) * F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (DEN - NUM) * both
-    return a.join(b, "word").filter(larger & alike & enough & near).groupBy("a", "b").agg(F.min(both).alias("s"))
+    return a.join(b, "word").filter(order & alike & enough & near).groupBy("a", "b").agg(F.min(both).alias("s"))
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a: not smaller than b).  Both sides are the same postings, so they are dealt out once."""
+    post = postings(classes)
+    larger = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))
+    return met(side(post, "a").drop("fa"), side(post, "b").drop("fb"), larger)
+
+
+def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs of different classes (a, b) whose word sets have a Jaccard similarity of 0.8 or more, and the rows of
-    ``classes`` that are in candidate pairs; both written."""
-    pairs = written(candidates(classes), "line-pairs")
+    """Those of ``pairs`` (a, b, s) whose word sets have a Jaccard similarity of 0.8 or more, and the rows of
+    ``classes`` that are in pairs; both written."""
+    pairs = written(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     places = written(classes.select("cid", "k1", "k2", "first", "n").join(wanted, "cid"), "line-places")
     of = places.select("cid", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"),
@@ -227,7 +237,7 @@ def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     lines = classed(docs, id_col, text_col, least)
     classes = class_table(lines)
-    pairs, places = links(docs, classes, id_col, text_col)
+    pairs, places = links(docs, candidates(classes), classes, id_col, text_col)
     ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     of = places.select(F.col("cid").alias("b"), F.col("first").alias("f"), F.col("n").alias("m"))
     linked = ways.join(of, "b").groupBy(F.col("a").alias("cid")).agg(F.min("f").alias("f"), F.sum("m").alias("m"))
@@ -270,51 +280,28 @@ def earlier(a: Column, b: Column) -> Column:
     return before | (same & (a["line_no"] < b["line_no"]))
 
 
-def preceded(classes: DataFrame) -> DataFrame:
+def preceded(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(cid) of every class that matches a class which stands before it; exact, without the links among the rest.
 
-    The classes that share a prefix word are numbered by place.  First each class is compared with the first of its
-    words' lists; those that match are done, whatever else they match.  The others go on with the next seven, the next
-    56 and so on, until each that is left has met every class before it in its lists.  A group of near copies is thus
-    settled by its first member, and pairs grow with its size, not with the square.
+    First each class is compared with the classes that stand first in the lists of its prefix words.  Those that match
+    one are done, whatever else they match; the others are then compared with all classes before them in those lists.
+    A group of near copies is thus settled by its first member, and its pairs grow with its size, not the square.
     """
-    post = classes.filter((DEN - NUM) * F.col("size") >= NUM).select(
-        "cid", "size", "p", "first", F.posexplode("prefix").alias("pos", "word"))
-    by_word = Window.partitionBy("word")
-    post = post.withColumn("rank", F.row_number().over(by_word.orderBy("first", "cid")) - 1).withColumn(
-        "n", F.count("*").over(by_word)).filter("n > 1").drop("n")
-    post = written(post, "line-postings")
-    codes = classes.select("cid", "codes")
-    done, low, high = None, 0, 1
-    while True:
-        left = post.filter(F.col("rank") > low)
-        left = left if done is None else left.join(done, "cid", "left_anti")
-        if left.isEmpty():
-            break
-        a, b = (df.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
-                          F.col("p").alias(f"p{x}"), F.col("first").alias(f"f{x}"), F.col("rank").alias(f"r{x}"))
-                for x, df in (("a", left), ("b", post.filter(F.col("rank").between(low, high - 1)))))
-        both = F.col("sa") + F.col("sb")
-        alike = (DEN * F.least("sa", "sb") >= NUM * F.greatest("sa", "sb"))
-        enough = (DEN + NUM) * F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= NUM * both
-        near = (DEN + NUM) * F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (DEN - NUM) * both
-        met = (F.col("rb") < F.col("ra")) & earlier(F.col("fb"), F.col("fa")) & alike & enough & near
-        pairs = a.join(b, "word").filter(met).groupBy("a", "b").agg(F.min(both).alias("s"))
-        sets = pairs.join(codes.select(F.col("cid").alias("a"), F.col("codes").alias("wa")), "a").join(
-            codes.select(F.col("cid").alias("b"), F.col("codes").alias("wb")), "b")
-        common = F.size(F.array_intersect("wa", "wb"))
-        found = sets.filter((DEN + NUM) * common >= NUM * F.col("s")).select(F.col("a").alias("cid")).distinct()
-        found = written(found, "line-preceded")
-        done = found if done is None else written(done.unionByName(found), "line-done")
-        low, high = high, 8 * high
-    return done if done is not None else classes.select("cid").limit(0)
+    post = postings(classes)
+    heads = post.groupBy("word").agg(F.min(F.struct("first", "cid", "size", "p", "pos")).alias("h")).select("word", "h.*")
+    before = earlier(F.col("fb"), F.col("fa"))
+    found, _ = links(docs, met(side(post, "a"), side(heads, "b"), before), classes, id_col, text_col)
+    done = written(found.select(F.col("a").alias("cid")).distinct(), "line-settled")
+    left = postings(classes.join(done, "cid", "left_anti"))
+    found, _ = links(docs, met(side(left, "a"), side(post, "b"), before), classes, id_col, text_col)
+    return done.unionByName(found.select(F.col("a").alias("cid")).distinct())
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, row, removed): the numbers of the removed lines of each text that loses any."""
-    lines = classed(docs, id_col, text_col, least, whole=True)
+    lines = classed(docs, id_col, text_col, least)
     classes = class_table(lines)
-    gone = preceded(classes).withColumn("gone", F.lit(True))
+    gone = preceded(docs, classes, id_col, text_col).withColumn("gone", F.lit(True))
     known = classes.join(gone, "cid", "left").filter("gone or n > 1").select("k1", "k2", F.col("first").alias("f"), "gone")
     place = F.struct("doc_id", "line_no")
     hit = lines.select("doc_id", "row", "line_no", "k1", "k2").join(known, ["k1", "k2"]).filter(
