@@ -27,8 +27,8 @@ from trailmark.llm.common import slices, written
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 40_000
-CACHED_WORDS = 400_000  # words of a generation of a worker's cache
-CHUNK = 12 << 20  # bytes of text whose words are looked up together; a longer text is cut at spaces
+CACHED_WORDS = 150_000  # words of a generation of a worker's cache, and those of one slice
+CHUNK = 6 << 20  # bytes of text whose words are looked up together; a longer text is cut at spaces
 
 # Text of these characters is stable under the tokenizer's normaliser, and splits as WORD says.
 # Lines of words: those that hold anything else, or a special token's mark, go through the whole tokenizer.
@@ -52,6 +52,10 @@ class Remembered(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def unknown(self, keys) -> list:
         return [k for k in keys if k not in self and k not in self.old]
 
@@ -183,6 +187,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(which, pa.int64())), *[pa.array(cols[:, i]) for i in range(4)]],
                 names=[f.name for f in schema.fields])
+        words.of_word.forget()  # the worker goes on to other work; the parts, from which words are made, stay
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         cut, schema)
