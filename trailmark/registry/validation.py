@@ -15,7 +15,7 @@ from trailmark.registry.io import LINES, _field, _schema_key, enriched_lines
 from trailmark.registry.oracle_base import base_ctes, with_ctes
 from trailmark.session import materialize
 from trailmark.sources import tsv
-from trailmark.sources.tables import atomic, read_table
+from trailmark.sources.tables import atomic, read_table, spread
 
 ATOMIC = base_ctes()[:2]
 
@@ -44,7 +44,7 @@ DOC_SCHEMA = {
 
 def documents(spark, sf) -> DataFrame:
     """One JSON document per event (id, doc)."""
-    e = read_table(spark, sf, "events")
+    e = spread(read_table(spark, sf, "events"))
     n = F.col("event_id")
     s = lambda c: c.cast("string")
     q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
