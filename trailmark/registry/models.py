@@ -18,14 +18,14 @@ from trailmark.plans.views import unified_views
 from trailmark.registry import oracle_models as om
 from trailmark.registry.oracle_base import EVENTS_OUTPUT, base_ctes, with_ctes
 from trailmark.sources.dims import fixture_dims
-from trailmark.sources.tables import atomic
+from trailmark.sources.tables import atomic_spread
 
 CFG = fixture_config()
 
 
 def model_input(spark: SparkSession, sf: str) -> DataFrame:
     """The lake table the model reads: ``atomic`` after campaign attribution (enabled by default)."""
-    return campaign_attribution(atomic(spark, sf))
+    return campaign_attribution(atomic_spread(spark, sf))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
