@@ -49,3 +49,50 @@ def test_fields_of_a_document_come_from_one_parse(spark):
     assert (rows[0]["app_id"], rows[0]["txn_id"], rows[0]["br_cookies"], rows[0]["contexts"]) == ("a", "1.0", "true", None)
     assert rows[1]["payload"] == "e5" and rows[2]["payload"] is None and rows[3]["payload"] is None
     assert len(held.select(*io._json_texts(held["held"])).columns) == len(ATOMIC_FIELDS)
+
+
+def test_documents_to_validate_are_spread(spark, one_group):
+    from trailmark.registry import validation
+
+    docs = validation.documents(spark, one_group)
+    assert docs.rdd.getNumPartitions() >= 4
+    assert docs.select("id").distinct().count() == 20_000
+
+
+def test_model_input_is_spread(spark, one_group):
+    from trailmark.registry import models
+
+    assert models.model_input(spark, one_group).rdd.getNumPartitions() >= 4
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark, shuffled_joins):
+    from pyspark.sql import functions as F
+
+    from trailmark.operators import intervals
+    from trailmark.operators import lookups as L
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "of int, name string").createOrReplaceTempView("round_four_names")
+    params = {"inputs": [{"placeholder": 1, "pojo": {"field": "key"}}],
+              "query": {"sql": "SELECT name FROM round_four_names WHERE CAST(of AS STRING) = ?"},
+              "output": {"expectedRows": "AT_MOST_ONE", "json": {"schema": "s"}}}
+    rows = spark.range(400).selectExpr("id", "case when id < 10 then string(id) end as key",
+                                       "case when id < 10 then id end as number")
+    got = L.sql_query_enrichment(rows, params, "found")
+    assert {r["id"]: r["found"][0]["data"]["name"] for r in got.filter(F.size("found") > 0).collect()} == {1: "a", 2: "b"}
+    assert got.columns == ["id", "key", "number", "found", "found_failure"] and got.count() == 400
+    assert got.filter("key is null").select(F.spark_partition_id()).distinct().count() >= 4
+    ranges = spark.createDataFrame([(0, 4, "low"), (-9000, -1, "none")], "lo long, hi long, owner string")
+    near = intervals.lookup(rows, ranges, F.col("number"), ["owner"])
+    assert {r["id"] for r in near.filter("owner is not null").collect()} == set(range(5)) and near.count() == 400
+    assert near.filter("number is null").select(F.spark_partition_id()).distinct().count() >= 4

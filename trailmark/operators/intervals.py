@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.joins import dealt
+
 BITS = 32
 
 
@@ -56,7 +58,11 @@ def points_in(points: DataFrame, intervals: DataFrame, number: str, outputs: lis
 
 def lookup(df: DataFrame, intervals: DataFrame, number: Column, outputs: list[str], lo: str = "lo", hi: str = "hi",
            bits: int = BITS) -> DataFrame:
-    """Left lookup: ``df`` with ``outputs`` of the narrowest interval around ``number`` (NULL where there is none)."""
-    rows = df.drop(*[o for o in outputs if o in df.columns]).withColumn("__point", number)
+    """Left lookup: ``df`` with ``outputs`` of the narrowest interval around ``number`` (NULL where there is none).
+
+    Rows without a number get one below 0, which no interval holds, each its own: nulls would all go to one task.
+    """
+    rows = df.drop(*[o for o in outputs if o in df.columns])
+    rows = rows.withColumn("__point", F.coalesce(number.cast("long"), -dealt(rows)))
     near = points_in(rows, intervals, "__point", outputs, lo, hi, bits)
     return rows.join(near, "__point", "left").drop("__point")

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators.ranking import asc, top1_per_group
 
 
+DEALS = 4096
+
+
+def dealt(df: DataFrame) -> Column:
+    """A number from 1 to ``DEALS`` by the row's own values, for rows that a left join would all send to one task.
+
+    The same in a retried task; maps and variants have no hash and are left out.
+    """
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+             and "variant" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(DEALS)) + 1
+
+
 def keyed_dimension(dim: DataFrame, key: str, outputs: dict[str, str], order: str | None = None,
                     prefix: str = "__d") -> DataFrame:
     """Dimension reduced to one row per lower-cased key, columns renamed ``outputs`` (dim col -> out)."""

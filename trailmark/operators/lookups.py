@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.ip import cidr_bounds, ipv4_to_long
 from trailmark.operators import intervals
+from trailmark.operators.joins import dealt
 from trailmark.operators.patterns import UserAgentLists
 
 # --- reference lists ----------------------------------------------------------
@@ -192,17 +193,21 @@ def sql_query_enrichment(df: DataFrame, params: dict, out: str = "sql_query_cont
     expected = output.get("expectedRows", "AT_MOST_ONE")
     entity = F.struct(F.lit(output.get("json", {}).get("schema")).alias("schema"), F.col("__row").alias("data"))
     found = answers.groupBy(*names).agg(F.count("*").alias("__n"), F.array_sort(F.collect_list(entity)).alias("__found"))
-    j = rows.join(found, names, "left")
     asked = F.lit(True)
     for n in names:
         asked = asked & F.col(n).isNotNull()
+    # events that are not looked up are dealt out, not sent to one task; an answer's number is 0 (no constant, which
+    # the optimizer would take out of the join's keys)
+    rows = rows.withColumn("__deal", F.when(asked, F.lit(0).cast("long")).otherwise(dealt(rows)))
+    found = found.withColumn("__deal", F.least(F.col("__n"), F.lit(0).cast("long")))
+    j = rows.join(found, [*names, "__deal"], "left")
     n = F.coalesce("__n", F.lit(0))
     broken = {"EXACTLY_ONE": n != 1, "AT_MOST_ONE": n > 1, "AT_LEAST_ONE": n < 1}.get(expected, F.lit(False))
     none = F.array().cast(found.schema["__found"].dataType)
     return j.withColumns({
         out: F.when(asked & ~broken, F.coalesce("__found", none)),
         f"{out}_failure": F.when(asked & broken, F.concat(F.lit(f"expected {expected}, found "), n.cast("string"))),
-    }).drop(*names, "__n", "__found")
+    }).drop(*names, "__n", "__found", "__deal")
 
 
 # --- J11 / E08 dated rates ----------------------------------------------------------

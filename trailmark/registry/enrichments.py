@@ -18,7 +18,7 @@ from trailmark.operators import enrich_config as C
 from trailmark.operators import intervals
 from trailmark.operators import lookups as L
 from trailmark.registry.oracle_base import base_ctes, with_ctes
-from trailmark.sources.tables import atomic, read_table
+from trailmark.sources.tables import atomic, atomic_spread, read_table
 
 ATOMIC = base_ctes()[:2]
 _N = "CAST(substr(event_id, 2) AS BIGINT)"
@@ -211,7 +211,7 @@ def _script_text(pdf: pd.DataFrame) -> pd.Series:
 
 def q_pipeline_from_directory(s, sf):
     """All thirteen enrichments, loaded by name from a folder; one is then switched off by a newer file of its name."""
-    a = with_headers(atomic(s, sf)).withColumn("page_url", F.concat("page_url", F.when(_n() % 3 == 0, F.concat(
+    a = with_headers(atomic_spread(s, sf)).withColumn("page_url", F.concat("page_url", F.when(_n() % 3 == 0, F.concat(
         F.lit("?_sp="), F.col("domain_userid"), F.lit(".1700000000000"))).otherwise(F.lit(""))))
     read_table(s, sf, "customer").withColumn(
         "key", F.concat(F.lit("login"), F.col("c_custkey").cast("string"))).createOrReplaceTempView("lookup_customers")
