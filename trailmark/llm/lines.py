@@ -8,9 +8,10 @@ default, as in the query's SQL; the pipeline compares every line of a word or mo
 
 Equal sets are one class.  A class is joined with others over its prefix: its
 words in order of rarity, of which so many come first that a match must share one
-of them.  Length and positional filters follow, then a bitmap filter (64 bits of
-word parity, of which two sets differ in no more than they differ in words), and
-then the Jaccard similarity of the whole word sets, words standing for themselves as
+of them.  Length and positional filters follow, then a bitmap filter (128 bits of
+word parity, of which two sets differ in no more than they differ in words; 64 bits
+tell nothing of lines of over a hundred words, which differ in half of them by
+chance), and then the Jaccard similarity of the whole word sets, words standing for themselves as
 64-bit hashes.  The order of rarity need only be the same for all lines, so
 word counts are kept in a table of fixed size (counts of hashed words), which is
 the only thing that every task gets.
@@ -106,10 +107,15 @@ def shifted(x: Column, by: Column, name: str = "shiftleft") -> Column:
     return F.call_function(name, x, by.cast("int"))
 
 
-def parity(codes: Column) -> Column:
-    """Sixty-four bits: the parity of how many words fall on each."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shifted(one, x.bitwiseAND(63))))
+def parity(codes: Column, half: int) -> Column:
+    """One half of 128 bits: the parity of how many words fall on each."""
+    flip = F.lit(1 - half).cast("long")
+
+    def add(acc: Column, x: Column) -> Column:
+        mine = F.shiftright(x, 6).bitwiseXOR(flip).bitwiseAND(F.lit(1).cast("long"))
+        return acc.bitwiseXOR(shifted(mine, x.bitwiseAND(63)))
+
+    return F.aggregate(codes, F.lit(0).cast("long"), add)
 
 
 def table_of(df: DataFrame, key: str, value: str, size: int, none: Column) -> Column:
@@ -139,11 +145,11 @@ def among(wanted: DataFrame, cols: list[str]):
 
 
 def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, row, line_no, k1, k2, size, prefix, p) of every line, written.
+    """(doc_id, row, line_no, k1, k2, size, prefix, p, q) of every line, written.
 
     ``k1``/``k2`` are a 128-bit key of the word set, null for a line too short to
-    compare; ``prefix`` the 32-bit codes of its rarest words; ``p`` its parity
-    bits.
+    compare; ``prefix`` the 32-bit codes of its rarest words; ``p`` and ``q`` its
+    parity bits.
     """
     lines = text_lines(docs, id_col, text_col)
     ranks = rarity(docs, text_col)
@@ -156,7 +162,8 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     out = codes.select(
         "doc_id", "row", "line_no", F.when(long_enough, F.xxhash64("codes")).alias("k1"),
         F.when(long_enough, F.xxhash64(F.lit(1), "codes", F.lit(2))).alias("k2"), F.size("codes").alias("size"),
-        F.when(long_enough, prefix).alias("prefix"), F.when(long_enough, parity(F.col("codes"))).alias("p"))
+        F.when(long_enough, prefix).alias("prefix"),
+        *[F.when(long_enough, parity(F.col("codes"), half)).alias(c) for half, c in enumerate("pq")])
     return written(out, "line-classes")
 
 
@@ -165,20 +172,21 @@ def class_table(lines: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no", "row")
     out = (lines.filter("k1 is not null").groupBy("k1", "k2")
            .agg(F.min(place).alias("first"), F.count("*").alias("n"),
-                *[F.first(c).alias(c) for c in ("size", "prefix", "p")]))
+                *[F.first(c).alias(c) for c in ("size", "prefix", "p", "q")]))
     return written(out.withColumn("cid", F.monotonically_increasing_id()), "line-class")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(cid, size, p, first, pos, word) of every word of a prefix.  Sets of fewer than four words match equal sets only,
-    which are one class."""
+    """(cid, size, p, q, first, pos, word) of every word of a prefix; ``first``: the first place without its text's hash.
+    Sets of fewer than four words match equal sets only, which are one class."""
     return classes.filter((DEN - NUM) * F.col("size") >= NUM).select(
-        "cid", "size", "p", "first", F.posexplode("prefix").alias("pos", "word"))
+        "cid", "size", "p", "q", F.struct("first.doc_id", "first.line_no").alias("first"),
+        F.posexplode("prefix").alias("pos", "word"))
 
 
 def side(post: DataFrame, x: str) -> DataFrame:
     return post.select("word", F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"),
-                       F.col("p").alias(f"p{x}"), F.col("first").alias(f"f{x}"))
+                       F.col("p").alias(f"p{x}"), F.col("q").alias(f"q{x}"), F.col("first").alias(f"f{x}"))
 
 
 def met(a: DataFrame, b: DataFrame, order: Column) -> DataFrame:
@@ -192,7 +200,8 @@ def met(a: DataFrame, b: DataFrame, order: Column) -> DataFrame:
     alike = DEN * F.least("sa", "sb") >= NUM * F.greatest("sa", "sb")
     # at the first shared word no more than the rest of the shorter tail can be shared
     enough = (DEN + NUM) * F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= NUM * both
-    near = (DEN + NUM) * F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (DEN - NUM) * both
+    apart = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
+    near = (DEN + NUM) * apart <= (DEN - NUM) * both
     return a.join(b, "word").filter(order & alike & enough & near).groupBy("a", "b").agg(F.min(both).alias("s"))
 
 
@@ -288,7 +297,7 @@ def preceded(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_c
     A group of near copies is thus settled by its first member, and its pairs grow with its size, not the square.
     """
     post = postings(classes)
-    heads = post.groupBy("word").agg(F.min(F.struct("first", "cid", "size", "p", "pos")).alias("h")).select("word", "h.*")
+    heads = post.groupBy("word").agg(F.min(F.struct("first", "cid", "size", "p", "q", "pos")).alias("h")).select("word", "h.*")
     before = earlier(F.col("fb"), F.col("fa"))
     found, _ = links(docs, met(side(post, "a"), side(heads, "b"), before), classes, id_col, text_col)
     done = written(found.select(F.col("a").alias("cid")).distinct(), "line-settled")

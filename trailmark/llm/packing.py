@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import slices, written
+from trailmark.llm.common import giving_back, slices, written
 
 WINDOW = 4096
 END_ID = 2
@@ -190,7 +190,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         words.of_word.forget()  # the worker goes on to other work; the parts, from which words are made, stay
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        cut, schema)
+        giving_back(cut), schema)
 
 
 class OpenWindows:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import lists, put_aside, slices, text_buffer, word_hashes
+from trailmark.llm.common import giving_back, lists, put_aside, slices, text_buffer, word_hashes
 
 SAMPLE = 3000  # labelled documents learned from, at most
 SAMPLE_LINES = 100_000  # and of their lines, at most (documents are taken until then)
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
                  lists(pa.array((at - offs[doc]).astype(np.int32)), np.bincount(doc, minlength=len(n_lines)))],
                 names=[f.name for f in schema.fields])
 
-    return base.mapInArrow(judge, schema)
+    return base.mapInArrow(giving_back(judge), schema)
 
 
 def clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
