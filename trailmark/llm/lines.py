@@ -128,20 +128,21 @@ def table_of(df: DataFrame, key: str, value: str, size: int, none: Column) -> Co
 
 
 def among(wanted: DataFrame, cols: list[str]):
-    """A filter that passes every row of ``wanted`` (and few others while its 2**23 bits are sparse)."""
+    """A function that adds a column to a frame: true for every row of ``wanted`` (and for few others while its 2**23 bits
+    are sparse), so that a join with ``wanted`` deals out few rows."""
     place = lambda: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
     at = wanted.select(place().alias("h"))
     words = at.groupBy(F.shiftright("h", 6).alias("w")).agg(
         F.bit_or(shifted(F.lit(1).cast("long"), F.col("h").bitwiseAND(63))).alias("m"))
     bits = table_of(words, "w", "m", FILTER_BITS // 64, F.lit(0).cast("long"))
 
-    def keep(df: DataFrame) -> DataFrame:
+    def marked(df: DataFrame, name: str = "in") -> DataFrame:
         df = df.withColumn("__h", place()).withColumn("__bits", bits)
         word = F.get("__bits", F.shiftright("__h", 6).cast("int"))
-        return df.filter(shifted(word, F.col("__h").bitwiseAND(63), "shiftrightunsigned").bitwiseAND(1) == 1).drop(
-            "__h", "__bits")
+        bit = shifted(word, F.col("__h").bitwiseAND(63), "shiftrightunsigned").bitwiseAND(1)
+        return df.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__h", "__bits")
 
-    return keep
+    return marked
 
 
 def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -218,11 +219,12 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str = "
     ``classes`` that are in pairs; both written."""
     pairs = written(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    places = written(classes.select("cid", "k1", "k2", "first", "n").join(wanted, "cid"), "line-places")
+    some = among(wanted, ["cid"])(classes.select("cid", "k1", "k2", "first", "n")).filter("`in`").drop("in")
+    places = written(some.join(wanted, "cid"), "line-places")
     of = places.select("cid", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"),
                        F.col("first.line_no").alias("l"))
     lines = among(of.select(F.col("d").alias("doc_id"), F.col("r").alias("row"), F.col("l").alias("line_no")),
-                  ["doc_id", "row", "line_no"])(text_lines(docs, id_col, text_col))
+                  ["doc_id", "row", "line_no"])(text_lines(docs, id_col, text_col)).filter("`in`")
     same = (lines["line_no"] == of["l"]) & (lines["row"] == of["r"]) & lines["doc_id"].eqNullSafe(of["d"])
     found = lines.join(of, same).select("cid", word_hashes(F.col("line")).alias("words")).dropDuplicates(["cid"])
     sets = written(found, "line-sets")
@@ -301,7 +303,8 @@ def preceded(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_c
     before = earlier(F.col("fb"), F.col("fa"))
     found, _ = links(docs, met(side(post, "a"), side(heads, "b"), before), classes, id_col, text_col)
     done = written(found.select(F.col("a").alias("cid")).distinct(), "line-settled")
-    left = postings(classes.join(done, "cid", "left_anti"))
+    told = among(done, ["cid"])(classes)
+    left = postings(told.filter("not `in`").unionByName(told.filter("`in`").join(done, "cid", "left_anti")).drop("in"))
     found, _ = links(docs, met(side(left, "a"), side(post, "b"), before), classes, id_col, text_col)
     return done.unionByName(found.select(F.col("a").alias("cid")).distinct())
 
@@ -310,8 +313,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """(doc_id, row, removed): the numbers of the removed lines of each text that loses any."""
     lines = classed(docs, id_col, text_col, least)
     classes = class_table(lines)
-    gone = preceded(docs, classes, id_col, text_col).withColumn("gone", F.lit(True))
-    known = classes.join(gone, "cid", "left").filter("gone or n > 1").select("k1", "k2", F.col("first").alias("f"), "gone")
+    gone = written(preceded(docs, classes, id_col, text_col), "line-gone")
+    some = among(gone, ["cid"])(classes).filter("`in` or n > 1").select("cid", "k1", "k2", F.col("first").alias("f"), "n")
+    known = some.join(gone.withColumn("gone", F.lit(True)), "cid", "left").filter("gone or n > 1").select("k1", "k2", "f", "gone")
     place = F.struct("doc_id", "line_no")
     hit = lines.select("doc_id", "row", "line_no", "k1", "k2").join(known, ["k1", "k2"]).filter(
         F.col("gone") | earlier(F.col("f"), place))
