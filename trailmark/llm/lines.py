@@ -24,7 +24,10 @@ document match like any others; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import written
@@ -34,6 +37,8 @@ BUCKETS = 1 << 20
 FILTER_BITS = 1 << 23
 #: pairs are confirmed in so many blocks, so that this part of their word sets lies in shuffle files at a time
 BLOCKS = 4
+#: so are the words of the prefixes, each block with its lists in shuffle files at a time
+WORD_BLOCKS = 3
 #: white space within a line, besides the blank
 SPACES = "\t\x0b\x0c\r"
 #: similarity as whole numbers: NUM / DEN = 0.8
@@ -177,12 +182,13 @@ def class_table(lines: DataFrame) -> DataFrame:
     return written(out.withColumn("cid", F.monotonically_increasing_id()), "line-class")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(cid, size, p, q, first, pos, word) of every word of a prefix; ``first``: the first place without its text's hash.
-    Sets of fewer than four words match equal sets only, which are one class."""
-    return classes.filter((DEN - NUM) * F.col("size") >= NUM).select(
+def postings(classes: DataFrame, block: int) -> DataFrame:
+    """(cid, size, p, q, first, pos, word) of every word of a prefix that falls into a block of words; ``first``: the first
+    place without its text's hash.  Sets of fewer than four words match equal sets only, which are one class."""
+    every = classes.filter((DEN - NUM) * F.col("size") >= NUM).select(
         "cid", "size", "p", "q", F.struct("first.doc_id", "first.line_no").alias("first"),
         F.posexplode("prefix").alias("pos", "word"))
+    return every.filter(F.pmod(F.xxhash64("word"), F.lit(WORD_BLOCKS)) == block)
 
 
 def side(post: DataFrame, x: str) -> DataFrame:
@@ -190,9 +196,9 @@ def side(post: DataFrame, x: str) -> DataFrame:
                        F.col("p").alias(f"p{x}"), F.col("q").alias(f"q{x}"), F.col("first").alias(f"f{x}"))
 
 
-def met(a: DataFrame, b: DataFrame, order: Column) -> DataFrame:
-    """(a, b, s): pairs of classes that share a prefix word, stand in ``order`` and pass the length, positional and bitmap
-    filters; ``s``: the sum of their sizes.
+def near(sides: DataFrame, order: Column) -> DataFrame:
+    """(a, b, s): pairs of classes (two sides that share a prefix word) that stand in ``order`` and pass the length,
+    positional and bitmap filters; ``s``: the sum of their sizes.
 
     The prefix of a class is size - ceil(0.8 size) + 1 words; the positional
     filter cuts it to what a pair of these two sizes needs.
@@ -202,22 +208,35 @@ def met(a: DataFrame, b: DataFrame, order: Column) -> DataFrame:
     # at the first shared word no more than the rest of the shorter tail can be shared
     enough = (DEN + NUM) * F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= NUM * both
     apart = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
-    near = (DEN + NUM) * apart <= (DEN - NUM) * both
-    return a.join(b, "word").filter(order & alike & enough & near).groupBy("a", "b").agg(F.min(both).alias("s"))
+    close = (DEN + NUM) * apart <= (DEN - NUM) * both
+    return sides.filter(order & alike & enough & close).groupBy("a", "b").agg(F.min(both).alias("s"))
+
+
+def met(a: DataFrame, b: DataFrame, order: Column) -> DataFrame:
+    return near(a.join(b, "word"), order)
+
+
+def gathered(pairs: Callable[[int], DataFrame]) -> DataFrame:
+    """The pairs of all blocks of words, each block written before the next one's lists are dealt out; written."""
+    parts = [written(pairs(block), "line-pairs") for block in range(WORD_BLOCKS)]
+    return written(reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.min("s").alias("s")), "line-pairs")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Pairs of classes (a: not smaller than b).  Both sides are the same postings, so they are dealt out once."""
-    post = postings(classes)
     larger = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))
-    return met(side(post, "a").drop("fa"), side(post, "b").drop("fb"), larger)
+
+    def pairs(block: int) -> DataFrame:
+        post = postings(classes, block)
+        return met(side(post, "a").drop("fa"), side(post, "b").drop("fb"), larger)
+
+    return gathered(pairs)
 
 
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Those of ``pairs`` (a, b, s) whose word sets have a Jaccard similarity of 0.8 or more, and the rows of
+    """Those of the written ``pairs`` (a, b, s) whose word sets have a Jaccard similarity of 0.8 or more, and the rows of
     ``classes`` that are in pairs; both written."""
-    pairs = written(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     some = among(wanted, ["cid"])(classes.select("cid", "k1", "k2", "first", "n")).filter("`in`").drop("in")
     places = written(some.join(wanted, "cid"), "line-places")
@@ -298,14 +317,22 @@ def preceded(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_c
     one are done, whatever else they match; the others are then compared with all classes before them in those lists.
     A group of near copies is thus settled by its first member, and its pairs grow with its size, not the square.
     """
-    post = postings(classes)
-    heads = post.groupBy("word").agg(F.min(F.struct("first", "cid", "size", "p", "q", "pos")).alias("h")).select("word", "h.*")
     before = earlier(F.col("fb"), F.col("fa"))
-    found, _ = links(docs, met(side(post, "a"), side(heads, "b"), before), classes, id_col, text_col)
+
+    def with_heads(block: int) -> DataFrame:
+        # a window deals the postings out once; a grouped table of the heads would be dealt out beside them
+        head = F.min(F.struct("first", "cid", "size", "p", "q", "pos")).over(Window.partitionBy("word"))
+        names = dict(a="cid", sa="size", ia="pos", pa="p", qa="q", fa="first")
+        return near(postings(classes, block).withColumn("h", head).select(
+            *[F.col(c).alias(x) for x, c in names.items()],
+            *[F.col(f"h.{c}").alias(x.replace("a", "b")) for x, c in names.items()]), before)
+
+    found, _ = links(docs, gathered(with_heads), classes, id_col, text_col)
     done = written(found.select(F.col("a").alias("cid")).distinct(), "line-settled")
     told = among(done, ["cid"])(classes)
-    left = postings(told.filter("not `in`").unionByName(told.filter("`in`").join(done, "cid", "left_anti")).drop("in"))
-    found, _ = links(docs, met(side(left, "a"), side(post, "b"), before), classes, id_col, text_col)
+    left = told.filter("not `in`").unionByName(told.filter("`in`").join(done, "cid", "left_anti")).drop("in")
+    found, _ = links(docs, gathered(lambda block: met(
+        side(postings(left, block), "a"), side(postings(classes, block), "b"), before)), classes, id_col, text_col)
     return done.unionByName(found.select(F.col("a").alias("cid")).distinct())
 
 
