@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import giving_back, slices, written
+from trailmark.llm.common import give_back, giving_back, slices, written
 
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 40_000
 CACHED_WORDS = 150_000  # words of a generation of a worker's cache, and those of one slice
+LEARNED = 20_000  # new words in hand at a time
 CHUNK = 6 << 20  # bytes of text whose words are looked up together; a longer text is cut at spaces
 
 # Text of these characters is stable under the tokenizer's normaliser, and splits as WORD says.
@@ -73,16 +74,20 @@ class Words:
         from tokenizers import Tokenizer, pre_tokenizers
         from tokenizers.normalizers import Sequence
 
-        self.whole = Tokenizer.from_file(path)
-        self.parts = Tokenizer.from_file(path)
-        self.parts.normalizer = Sequence([])
-        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # one vocabulary in memory, used in two ways
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.parts = Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.of_word, self.of_part = Remembered(), Remembered()
 
+    def _use(self, way: tuple) -> None:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = way
+
     def _encode_parts(self, parts: list[str]) -> None:
+        self._use(self.parts)
         for i in range(0, len(parts), 2000):
             some = parts[i:i + 2000]
-            e = self.parts.encode(some, is_pretokenized=True, add_special_tokens=False)
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids, which = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
             cut = (np.searchsorted(which, np.arange(len(some) + 1)) * 4).tolist()
             for p, a, z in zip(some, cut, cut[1:]):
@@ -92,9 +97,14 @@ class Words:
         """Afterwards each of ``words`` (none holds a line feed) is in one of the two generations."""
         self.of_word.turn()
         self.of_part.turn()
+        give_back()  # of the slice before: workers of other steps wait beside this one
+        new = self.of_word.unknown(words)
+        for i in range(0, len(new), LEARNED):
+            self._learn(new[i:i + LEARNED])
+
+    def _learn(self, new: list[str]) -> None:
         known = self.of_part
         known["\n"] = b""
-        new = self.of_word.unknown(words)
         odd = set(ODD.findall("\n".join(new)))
         plain = [w for w in new if w not in odd] if odd else new
         parts = WORD.findall("\n".join(plain).lower())
@@ -106,9 +116,10 @@ class Words:
         whole = b"".join(ids)
         self.of_word.update(zip(plain, [whole[a:z] for a, z in zip(cut, cut[1:])]))
         odd = list(odd)
+        self._use(self.whole)
         for i in range(0, len(odd), 2000):
             some = odd[i:i + 2000]
-            for w, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False)):
+            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 self.of_word[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: pa.Array) -> list[bytes]:
@@ -116,14 +127,16 @@ class Words:
         import pyarrow.compute as pc
 
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
         words = lists.flatten().dictionary_encode()
-        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del lists  # the words of a slice are several times its text
+        different, words = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices
         self.learn(different)
-        found = pa.array(list(map(self.of_word.__getitem__, different)), pa.large_binary()).take(words.indices)
+        found = pa.array(list(map(self.of_word.__getitem__, different)), pa.large_binary()).take(words)
+        del different, words
         if len(found) == 0:
             return [b""] * len(texts)
         ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
         at = ends[np.concatenate([[0], np.cumsum(size)])].tolist()
         data = memoryview(found.buffers()[2]) if found.buffers()[2] is not None else memoryview(b"")
         return [bytes(data[a:z]) for a, z in zip(at, at[1:])]
