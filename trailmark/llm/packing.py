@@ -27,9 +27,9 @@ from trailmark.llm.common import give_back, giving_back, slices, written
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 40_000
-CACHED_WORDS = 150_000  # words of a generation of a worker's cache, and those of one slice
+CACHED_WORDS = 100_000  # words of a generation of a worker's cache, and those of one slice
 LEARNED = 20_000  # new words in hand at a time
-CHUNK = 6 << 20  # bytes of text whose words are looked up together; a longer text is cut at spaces
+CHUNK = 4 << 20  # bytes of text whose words are looked up together; a longer text is cut at spaces
 
 # Text of these characters is stable under the tokenizer's normaliser, and splits as WORD says.
 # Lines of words: those that hold anything else, or a special token's mark, go through the whole tokenizer.
