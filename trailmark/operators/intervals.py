@@ -60,9 +60,11 @@ def lookup(df: DataFrame, intervals: DataFrame, number: Column, outputs: list[st
            bits: int = BITS) -> DataFrame:
     """Left lookup: ``df`` with ``outputs`` of the narrowest interval around ``number`` (NULL where there is none).
 
-    Rows without a number get one below 0, which no interval holds, each its own: nulls would all go to one task.
+    Rows without a number get one below 0, which no interval holds, each its own: nulls would all go to one task.  The
+    intervals are asked for the plain numbers: a filter on a number that takes in the whole row would be pushed down and
+    multiplied by the optimizer once for each column that it reads.
     """
     rows = df.drop(*[o for o in outputs if o in df.columns])
+    near = points_in(rows.select(number.cast("long").alias("__point")), intervals, "__point", outputs, lo, hi, bits)
     rows = rows.withColumn("__point", F.coalesce(number.cast("long"), -dealt(rows)))
-    near = points_in(rows, intervals, "__point", outputs, lo, hi, bits)
     return rows.join(near, "__point", "left").drop("__point")
