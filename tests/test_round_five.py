@@ -1,10 +1,15 @@
-"""Lookups by interval over rows of many computed columns."""
+"""Lookups by interval over rows of many computed columns; files of the routed streams."""
+
+import os
 
 from pyspark.sql import functions as F
 
 from trailmark.operators import intervals
 from trailmark.operators import lookups as L
+from trailmark.registry import io
 from trailmark.sources.tables import atomic_from_events
+from trailmark.sources.tsv import route_by_stream
+from trailmark.streaming.pipeline import stream_parse_route
 
 
 def events(spark, n):
@@ -30,3 +35,19 @@ def test_lookups_over_events_can_be_planned(spark):
     names = {r["event_id"]: r["name"] for r in L.ip_range_lookup(a, ranges, ["name"]).collect()}
     assert flags == {f"e{i}": i % 5 in (0, 1) for i in range(40)}
     assert names == {f"e{i}": "ten" if i % 5 == 0 else None for i in range(40)}
+
+
+def test_streams_and_their_table_are_compressed(spark, tmp_path):
+    """On disk they are the largest part of the query; the lines stay the same."""
+    events(spark, 60).write.parquet(f"{tmp_path}/events.parquet")
+    dirs = io._stream_dirs(spark, str(tmp_path))
+    out = f"{tmp_path}/routed"
+    stream_parse_route(spark, dirs, out, f"{tmp_path}/ck").awaitTermination()
+    for folder, end in [*((d, ".txt.gz") for d in dirs.values()), (out, ".zstd.parquet")]:
+        files = [f for f in os.listdir(folder) if f.startswith("part-")]
+        assert files and all(f.endswith(end) for f in files)
+    lines = io.enriched_lines(spark, str(tmp_path))
+    for name, folder in dirs.items():
+        assert sorted(r[0] for r in spark.read.text(folder).collect()) == sorted(
+            r["value"] for r in lines.filter(F.col("stream") == name).collect())
+    assert sorted(spark.read.parquet(out).collect()) == sorted(route_by_stream(lines).collect())
